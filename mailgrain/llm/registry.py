@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .packing import op6_packing
 from .token_store import op1_token_store
 
 QUERIES = {
     "op1_token_store": op1_token_store,
+    "op3_exact_dedup": op3_exact_dedup,
     "op6_packing": op6_packing,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op3_exact_dedup": OP3_SQL}
