@@ -5,10 +5,12 @@ from __future__ import annotations
 from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .packing import op6_packing
 from .token_store import op1_token_store
+from .toxicity import op4_toxicity
 
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_toxicity": op4_toxicity,
     "op6_packing": op6_packing,
 }
 SQL: dict[str, str] = {"op3_exact_dedup": OP3_SQL}
