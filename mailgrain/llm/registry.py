@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .packing import op6_packing
+from .secret_scan import op8_secret_scan
 from .token_store import op1_token_store
 from .toxicity import op4_toxicity
 
@@ -12,5 +13,6 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_toxicity": op4_toxicity,
     "op6_packing": op6_packing,
+    "op8_secret_scan": op8_secret_scan,
 }
 SQL: dict[str, str] = {"op3_exact_dedup": OP3_SQL}
