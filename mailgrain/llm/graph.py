@@ -1,0 +1,32 @@
+"""Connected components of an edge table by alternating star contraction; every round is written to the shared folder."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import written
+
+
+def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(a, b) edges → (node, root): root is the smallest node of the component. Nodes without an edge have no row.
+
+    Large-star and small-star rounds in turn: neighbours are sent to the smallest node seen, until no edge changes.
+    A hot node's edges are only aggregated (min) and joined on, never listed in one task.
+    """
+    now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    before = None
+    for _ in range(max_rounds):
+        # Large star: each node's larger neighbours go to the smallest of it and its neighbours.
+        both = now.union(now.select("v", "u")).toDF("n", "x")
+        low = both.groupBy("n").agg(F.least(F.min("x"), F.first("n")).alias("m"))
+        large = both.join(low, "n").filter("x > n").select(F.col("x").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        # Small star: each node and its smaller neighbours go to the smallest of these.
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        moved = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        now = written(moved.filter("u <> v").distinct())
+        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if mark == before:
+            break
+        before = mark
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v")).distinct()

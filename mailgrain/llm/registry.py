@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .exact_dedup import OP3_SQL, op3_exact_dedup
+from .ngram_join import op9_ngram_join
 from .packing import op6_packing
 from .secret_scan import op8_secret_scan
 from .token_store import op1_token_store
@@ -14,5 +15,6 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op6_packing": op6_packing,
     "op8_secret_scan": op8_secret_scan,
+    "op9_ngram_join": op9_ngram_join,
 }
 SQL: dict[str, str] = {"op3_exact_dedup": OP3_SQL}
