@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from .exact_dedup import OP3_SQL, op3_exact_dedup
+from .media import op5_media
 from .ngram_join import op9_ngram_join
 from .packing import op6_packing
 from .pieces import op7_pieces
+from .pii import op2_pii
 from .secret_scan import op8_secret_scan
 from .token_store import op1_token_store
 from .toxicity import op4_toxicity
 
 QUERIES = {
     "op1_token_store": op1_token_store,
+    "op2_pii": op2_pii,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_toxicity": op4_toxicity,
+    "op5_media": op5_media,
     "op6_packing": op6_packing,
     "op7_pieces": op7_pieces,
     "op8_secret_scan": op8_secret_scan,
