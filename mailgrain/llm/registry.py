@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .exact_dedup import OP3_SQL, op3_exact_dedup
+from .lm_scoring import op10_lm_scoring
 from .media import op5_media
 from .ngram_join import op9_ngram_join
 from .packing import op6_packing
@@ -22,5 +23,6 @@ QUERIES = {
     "op7_pieces": op7_pieces,
     "op8_secret_scan": op8_secret_scan,
     "op9_ngram_join": op9_ngram_join,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 SQL: dict[str, str] = {"op3_exact_dedup": OP3_SQL}
