@@ -118,6 +118,28 @@ def link_block(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return out[out["links"] > 0]
 
 
+def only(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``rows`` whose ``local`` is in ``wanted``, without shuffling them.
+
+    A number is its task's part and a count, so the wanted ones are a bit each, in one array of words per part. These arrays (an
+    eighth of a byte a document) are written and joined by part: Spark broadcasts them if their files are under its threshold, else it shuffles.
+    """
+
+    def words(frame: pd.DataFrame) -> pd.DataFrame:
+        at = frame["local"].to_numpy() & (2**40 - 1)
+        bits = np.zeros(int(at.max()) // 64 + 1, np.uint64)
+        np.bitwise_or.at(bits, at // 64, np.uint64(1) << (at % 64).astype(np.uint64))
+        return pd.DataFrame({"part": [frame["part"].iloc[0]], "words": [bits.view(np.int64)]})
+
+    part = F.shiftright("local", 40)
+    bits = written(wanted.select("local", part.alias("part")).groupBy("part").applyInPandas(words, "part long, words array<long>"))
+    k = F.col("local").bitwiseAND(F.lit(2**40 - 1))
+    word = F.get("words", F.floor(k / 64).cast("int"))
+    hit = F.coalesce(F.expr("shiftright(word, cast(k % 64 as int)) & 1"), F.lit(0)) == 1
+    marked = rows.withColumn("part", part).join(bits, "part").withColumns({"word": word, "k": k})
+    return marked.filter(hit).drop("part", "words", "word", "k")
+
+
 def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, recall: float = 0.9999, block: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, class_id, n_links, kept (the first row of its class), fp (xxhash64 of its text)."""
     depth = prefix_depth(threshold, trees, recall=recall)
@@ -152,7 +174,8 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, trees: int
 
     # Candidates: texts that share a prefix in a tree are linked to the smallest of them.
     heads = rows.filter("head").select("local", "keys", "shingles")
-    prefixes = heads.select(F.col("local").alias("rep"), "keys").join(reps.select("rep"), "rep").select("rep", F.explode("keys").alias("key"))
+    own = reps.select(F.col("rep").alias("local"))
+    prefixes = only(heads.select("local", "keys"), own).select(F.col("local").alias("rep"), F.explode("keys").alias("key"))
     buckets = prefixes.groupBy("key").agg(F.min("rep").alias("low"), F.count("*").alias("n")).filter("n > 1").select("key", "low")
     edges = prefixes.join(buckets, "key").filter("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
     groups = written(components(edges))
@@ -162,7 +185,8 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, trees: int
     dealt = groups.join(sizes, "root").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pairs = dealt.select("root", "blocks", F.col("node").alias("rep"), "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     pairs = pairs.select("root", "rep", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") == F.col("other")).alias("own"), (F.col("mine") < F.col("other")).alias("first"), (F.col("blocks") > 1).alias("split"))
-    payload = pairs.join(heads.select(F.col("local").alias("rep"), "shingles"), "rep").join(reps.select("rep", "copies"), "rep")
+    sets = only(heads.select("local", "shingles"), groups.select(F.col("node").alias("local")))
+    payload = pairs.join(sets.withColumnRenamed("local", "rep"), "rep").join(reps.select("rep", "copies"), "rep")
 
     def verify(frame: pd.DataFrame) -> pd.DataFrame:
         return link_block(frame.sort_values("rep", ignore_index=True), threshold).assign(split=bool(frame["split"].iloc[0]))
