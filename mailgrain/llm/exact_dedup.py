@@ -100,6 +100,17 @@ class PatriciaTrie:
             stack.extend(x.children.values())
         return total
 
+    @staticmethod
+    def records(file) -> Iterator:
+        """What a subtree's file holds; it is closed at the end."""
+        file.seek(0)
+        while True:
+            try:
+                yield pickle.load(file)
+            except EOFError:
+                break
+        file.close()
+
     def spill(self) -> None:
         """Move the heaviest subtree below the first branching to a file; later strings of that subtree go there too."""
         node = self.root
@@ -114,6 +125,10 @@ class PatriciaTrie:
         stack = [(top, b"")]
         while stack:
             x, prefix = stack.pop()
+            if x.file is not None:  # a part of it was spilled before
+                for key, value in self.records(x.file):
+                    pickle.dump((prefix + key, value), file)
+                continue
             if x.value is not None:
                 pickle.dump((prefix, x.value), file)
             stack += [(c, prefix + c.edge) for c in x.children.values()]
@@ -127,14 +142,9 @@ class PatriciaTrie:
         while stack:
             x = stack.pop()
             if x.file is not None:
-                x.file.seek(0)
                 below = PatriciaTrie(self.merge, self.max_bytes, self.depth + 1)
-                while True:
-                    try:
-                        below.insert(*pickle.load(x.file))
-                    except EOFError:
-                        break
-                x.file.close()
+                for key, value in self.records(x.file):
+                    below.insert(key, value)
                 yield from below.values()
                 continue
             if x.value is not None:
