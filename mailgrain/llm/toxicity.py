@@ -1,9 +1,9 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features of a text are the presence of its words, of neighbouring pairs and of pairs with one or two words between,
-hashed to ``BITS`` bits. FTRL-proximal keeps a learning rate per coordinate and an L1 penalty, which leaves few
-weights; these alone go to the executors (at most 12 bytes for each of 2**BITS coordinates, 12 MB). Scoring is one
-pass over the texts with no shuffle.
+hashed to 32 bits, so that a long clean text hardly ever meets a weight by accident. FTRL-proximal keeps a learning rate per
+coordinate and an L1 penalty, which leaves few weights; these alone go to the executors (12 bytes for each coordinate of the
+bounded sample that keeps a weight). Scoring is one pass over the texts with no shuffle.
 
 Training takes at most ``max_rows`` labelled rows, those with the smallest hashes of doc_id; that bound, and that the
 rows' features go to the driver, is the only place where rows are left out.
@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 
 from .common import doc_texts, table
 
-BITS = 20
 FOLDS = 5
 _EDGES = string.punctuation + "¡¿«»“”„‘’…–—"
 _words: dict[str, int] = {}
@@ -48,19 +47,21 @@ def word_hashes(text: str) -> np.ndarray:
     return h[h >= 0].astype(np.uint64)
 
 
-def feature_hashes(text: str, bits: int = BITS) -> np.ndarray:
-    """Coordinates of words, pairs and skip pairs, repeated as they occur."""
+def feature_hashes(text: str) -> np.ndarray:
+    """32-bit coordinates of words, pairs and skip pairs, repeated as they occur."""
     h = word_hashes(text)
     mixed = [h * np.uint64(0x9E3779B97F4A7C15)]
     for gap in (1, 2, 3):
         if len(h) > gap:
             mixed.append((h[:-gap] * np.uint64(0xC2B2AE3D27D4EB4F) + h[gap:] * np.uint64(0x165667B19E3779F9)) * np.uint64(2 * min(gap, 2) + 1))
-    return (np.concatenate(mixed) >> np.uint64(64 - bits)).astype(np.int64)
+    return (np.concatenate(mixed) >> np.uint64(32)).astype(np.uint32)
 
 
-def ftrl_fit(rows: list[np.ndarray], labels: list[int], bits: int = BITS, alpha: float = 1.0, beta: float = 1.0, l1: float = 10.0, l2: float = 0.5, epochs: int = 5) -> tuple[np.ndarray, np.ndarray, float]:
+def ftrl_fit(rows: list[np.ndarray], labels: list[int], alpha: float = 1.0, beta: float = 1.0, l1: float = 10.0, l2: float = 0.5, epochs: int = 5) -> tuple[np.ndarray, np.ndarray, float]:
     """Sparse weights (coordinates, values) and bias of presence features, by FTRL-proximal; the bias has no penalty."""
-    n, z, bias_n, bias_z = np.zeros(2**bits), np.zeros(2**bits), 0.0, 0.0
+    known, index = np.unique(np.concatenate(rows), return_inverse=True)
+    rows = np.split(index, np.cumsum([len(x) for x in rows])[:-1])
+    n, z, bias_n, bias_z = np.zeros(len(known)), np.zeros(len(known)), 0.0, 0.0
 
     def weights(zi, ni):
         return np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((beta + np.sqrt(ni)) / alpha + l2))
@@ -79,7 +80,7 @@ def ftrl_fit(rows: list[np.ndarray], labels: list[int], bits: int = BITS, alpha:
             bias_n += g * g
     w = weights(z, n)
     at = np.flatnonzero(w)
-    return at.astype(np.int32), w[at], float(-bias_z * alpha / (beta + np.sqrt(bias_n)))
+    return known[at], w[at], float(-bias_z * alpha / (beta + np.sqrt(bias_n)))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000, target: str = "toxic"):
@@ -89,7 +90,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000, target: str
 
     def features(batches):
         for b in batches:
-            x = [np.unique(feature_hashes(t)).astype(np.int32) for t in b.column("text").to_pylist()]
+            x = [np.unique(feature_hashes(t)).view(np.int32) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(x, pa.list_(pa.int32()))], names=["doc_id", "y", "x"])
 
     sample = doc_texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text").mapInArrow(features, "doc_id long, y int, x array<int>")
@@ -97,7 +98,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000, target: str
     if not got.num_rows:
         return None
     flat = got["x"].combine_chunks()
-    values, at = flat.flatten().to_numpy(), flat.offsets.to_numpy()
+    values, at = flat.flatten().to_numpy().view(np.uint32), flat.offsets.to_numpy()
     return ftrl_fit([values[a - at[0] : b - at[0]] for a, b in zip(at[:-1], at[1:], strict=True)], got["y"].to_pylist())
 
 
@@ -106,15 +107,17 @@ def scorer(model):
     if model is None:
         return lambda texts: np.zeros(len(texts))
     at, values, bias = model
-    dense = np.zeros(2**BITS, np.float32)
-    dense[at] = values
+    near = np.zeros(2**16, bool)  # a first look at the upper half of a coordinate spares most searches
+    near[at >> 16] = True
 
     def score(texts):
         out = np.empty(len(texts))
         for i, t in enumerate(texts):
             x = feature_hashes(t)
-            x = x[dense[x] != 0]
-            out[i] = bias + (dense[np.unique(x)].sum() if len(x) else 0)
+            x = np.unique(x[near[x >> 16]])
+            k = np.searchsorted(at, x)
+            k = k[(k < len(at)) & (at[np.minimum(k, len(at) - 1)] == x)] if len(at) else k[:0]
+            out[i] = bias + values[k].sum()
         return 1 / (1 + np.exp(-np.clip(out, -35, 35)))
 
     return score
