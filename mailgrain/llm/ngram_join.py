@@ -220,3 +220,18 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
+#: The same by an exact self-join of shingles: classes by recursion, for small tables.
+OP9_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, coalesce(text, '') AS text, [y FOR y IN [regexp_replace(x, '^[!-/:-@\[-`{-~¡¿«»“”„‘’…–—]+|[!-/:-@\[-`{-~¡¿«»“”„‘’…–—]+$', '', 'g') FOR x IN regexp_split_to_array(lower(coalesce(text, '')), '\s+')] IF y <> ''] AS l
+  FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(l) = 0 THEN ['=' || text] WHEN len(l) < 5 THEN [array_to_string(l, ' ')]
+  ELSE [array_to_string(l[i : i + 4], ' ') FOR i IN range(1, len(l) - 3)] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS c FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS hit FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE hit >= 0.8 * (a.c + b.c - hit) - 1e-9),
+r AS (SELECT doc_id AS x, doc_id AS c FROM documents UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.x)
+SELECT d.doc_id, (SELECT min(c) FROM r WHERE r.x = d.doc_id) AS class_id, (SELECT count(*) FROM e WHERE e.x = d.doc_id) AS n_links FROM documents d
+"""

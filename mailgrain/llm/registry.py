@@ -5,7 +5,7 @@ from __future__ import annotations
 from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .lm_scoring import op10_lm_scoring
 from .media import op5_media
-from .ngram_join import op9_ngram_join
+from .ngram_join import OP9_SQL, op9_ngram_join
 from .packing import op6_packing
 from .pieces import op7_pieces
 from .pii import op2_pii
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_ngram_join": op9_ngram_join,
     "op10_lm_scoring": op10_lm_scoring,
 }
-SQL: dict[str, str] = {"op3_exact_dedup": OP3_SQL}
+SQL: dict[str, str] = {"op9_ngram_join": OP9_SQL, "op3_exact_dedup": OP3_SQL}
