@@ -22,7 +22,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(a, b) edges → (node, root), the smallest node of each component. Nodes without an edge have no row."""
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     before = None
-    for _ in range(max_rounds):
+    for _ in range(0 if now.isEmpty() else max_rounds):
         both = now.union(now.select("v", "u")).toDF("n", "x")
         low = both.groupBy("n").agg(F.least(F.min("x"), F.first("n")).alias("m"))
         large = both.join(low, "n").filter("x > n").select(F.col("x").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()

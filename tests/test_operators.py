@@ -158,3 +158,19 @@ def test_plan(spark):
     agg = spark.createDataFrame(rows, "sender_id string, method string, unsubscribe_uri string, suspicious boolean")
     got = {r.sender_id: r.result for r in review.unsubscribe_plan(agg, AT("2026-01-01T00:00:00Z")).collect()}
     assert got == {"a": "planned_post", "b": "planned_mail", "c": "failed", "d": "skipped_suspicious"}
+
+
+def test_read_eml(spark, tmp_path):
+    from mailgrain.sources import mail
+
+    for name in ("7-a.eml", "b.eml"):
+        (tmp_path / name).write_bytes(b"From: A <a@x.example>\r\nMessage-ID: <" + name.encode() + b">\r\n\r\nhi")
+    rows = {r.id: r for r in mail.parsed_mail(mail.read_eml(spark, str(tmp_path))).collect()}
+    assert rows["<7-a.eml>"].uid == 7 and rows["<b.eml>"].uid > 0 and rows["<b.eml>"].from_address == "a@x.example"
+
+
+def test_renormalize_keeps_owners(spark):
+    stored = spark.createDataFrame([("a", "normalized_key", "addr:x@e"), ("b", "normalized_key", "addr:y@e")], "sender_id string, kind string, value string")
+    again = spark.createDataFrame([("a", "normalized_key", "addr:*@e", 1), ("b", "normalized_key", "addr:*@e", 2), ("b", "normalized_key", "addr:x@e", 3)], "sender_id string, kind string, value string, ord long")
+    got = sorted(tuple(r) for r in senders.renormalize(stored, again).collect())
+    assert got == [("a", "normalized_key", "addr:*@e"), ("a", "normalized_key", "addr:x@e"), ("b", "normalized_key", "addr:y@e")]

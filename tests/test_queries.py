@@ -3,8 +3,9 @@
 import duckdb
 import pytest
 
-from mailgrain.plans import queries
+from mailgrain.plans import queries, values
 
+assert values.query is queries.query  # its queries are registered with the others
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
