@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +19,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(a, b) edges → (node, root), the smallest node of each component. Nodes without an edge have no row."""
+def components(edges: DataFrame, max_rounds: int = 60, cut: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
+    """(a, b) edges → (node, root), the smallest node of each component. Nodes without an edge have no row.
+
+    Large star: each node's larger neighbours go to the smallest of it and its neighbours; small star: each node and its smaller
+    neighbours go to the smallest of these; in turn, until no edge changes. ``cut`` ends the lineage of each round. A hot node's edges
+    are only aggregated (min) and joined on, never listed in one task.
+    """
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     before = None
     for _ in range(0 if now.isEmpty() else max_rounds):
