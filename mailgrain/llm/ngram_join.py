@@ -28,8 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import table, written
-from .graph import components
 from .toxicity import word_hashes
 
 SHINGLE = 5
@@ -178,7 +178,7 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, trees: int
     prefixes = only(heads.select("local", "keys"), own).select(F.col("local").alias("rep"), F.explode("keys").alias("key"))
     buckets = prefixes.groupBy("key").agg(F.min("rep").alias("low"), F.count("*").alias("n")).filter("n > 1").select("key", "low")
     edges = prefixes.join(buckets, "key").filter("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
-    groups = written(components(edges))
+    groups = written(components(edges, cut=written))
 
     # Verification: blocks of each candidate group against each other.
     sizes = groups.groupBy("root").agg(F.count("*").alias("size")).select("root", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
@@ -196,7 +196,7 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, trees: int
 
     # Classes: a group of one block has its forest already; others join theirs.
     whole = linked.filter("NOT split").select(F.col("rep").alias("node"), F.col("parent").alias("root"))
-    joined = components(linked.filter("split").select(F.col("rep").alias("a"), F.col("parent").alias("b")))
+    joined = components(linked.filter("split").select(F.col("rep").alias("a"), F.col("parent").alias("b")), cut=written)
     roots = whole.unionByName(joined)
     classed = reps.join(roots, F.col("rep") == F.col("node"), "left").join(counts, "rep", "left").select("rep", "first", F.coalesce("root", "rep").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     lead = classed.groupBy("root").agg(F.min(F.struct("first", "rep")).alias("lead"))

@@ -7,8 +7,10 @@ import duckdb
 import pytest
 from pyspark.sql import types as T
 
-from mailgrain.llm import exact_dedup, graph, ngram_join
+from mailgrain.llm import exact_dedup, ngram_join
+from mailgrain.llm.common import written
 from mailgrain.llm.registry import SQL
+from mailgrain.operators import graph
 
 from .test_token_ops import edge_docs
 
@@ -123,7 +125,7 @@ def test_prefix_depth():
 
 def test_components(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(500, 300), (300, 400), (7, 7)], "a long, b long")
-    got = dict(graph.components(chain).collect())
+    got = dict(graph.components(chain, cut=written).collect())
     assert set(got.values()) == {0, 300} and len(got) == 104
     assert graph.components(chain.limit(0)).count() == 0
 
