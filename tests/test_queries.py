@@ -1,6 +1,7 @@
 """Every registered mail query against its SQL."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from mailgrain.plans import queries, values
@@ -19,7 +20,7 @@ def con(sf):
 
 def rows(frame):
     def plain(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return None
         return float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
