@@ -15,8 +15,10 @@ def shared_dir(spark: SparkSession) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        context = spark.sparkContext
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
+        base = context.getCheckpointDir()
     return f"{base.rstrip('/')}/mailgrain-{uuid.uuid4().hex}"
 
 
