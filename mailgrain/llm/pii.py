@@ -8,7 +8,8 @@ features (neighbouring characters and words). The trees learn from candidates th
 held-out fifth of the documents turns scores into probabilities, and a span is added where that is at least ``threshold``, best first,
 if it overlaps nothing chosen before.
 
-Training takes at most ``max_rows`` candidates, those with the smallest hashes over all documents.
+Training takes the candidates of about ``max_docs`` documents, chosen by a hash of doc_id (all, where there are no more), and of each
+document at most ``per_doc``, those with the smallest hashes; this bounded sample is all that reaches the driver.
 
 Defined results: null and empty texts have no spans; repeated rows are reported alike; null doc_ids stay null and are
 left out of training; without candidates nothing is added; an empty table gives no rows; other columns are not read.
@@ -24,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .boosting import Boosted, fit
 from .common import doc_texts, table
@@ -111,31 +113,36 @@ def features(text: str, kind: int, start: int, end: int) -> list[float]:
     ]
 
 
-def label(kind: int, start: int, end: int, base: list[tuple[int, int, int]]) -> int | None:
+def _key(doc_id: int, kind: int, start: int, end: int) -> int:
+    return xxhash.xxh64_intdigest(f"{doc_id}:{kind}:{start}".encode()) >> 1
+
+
+def label(kind: int, start: int, end: int, base: set[tuple[int, int, int]]) -> int | None:
     """1 where a base span of the kind is the candidate, 0 where no base span touches it, else nothing to learn."""
     if (kind, start, end) in base:
         return 1
     return None if any(a < end and start < b for _, a, b in base) else 0
 
 
-def train(docs: DataFrame, max_rows: int = 12_000, folds: int = 5) -> Boosted | None:
-    """Boosted trees on at most ``max_rows`` candidates; None where there is nothing to tell apart."""
+def train(docs: DataFrame, max_docs: int = 40_000, per_doc: int = 16, folds: int = 5) -> Boosted | None:
+    """Boosted trees on a bounded sample of candidates; None where there is nothing to tell apart."""
+    texts = doc_texts(docs)
+    share = min(1.0, max_docs / max(1, docs.count()))
+    chosen = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003)
 
     def sample(batches):
         for b in batches:
             out: list[list] = [[], [], [], []]
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 got = candidates(text) if doc_id is not None else []
-                base = base_spans(text) if got else []
-                for kind, start, end in got:
-                    y = label(kind, start, end, base)
-                    if y is not None:
-                        key = xxhash.xxh64_intdigest(f"{doc_id}:{kind}:{start}".encode()) >> 1
-                        for c, v in zip(out, (key, y, zlib.crc32(str(doc_id).encode()) % folds == 0, features(text, kind, start, end)), strict=True):
-                            c.append(v)
+                base = set(base_spans(text)) if got else set()
+                known = [(k, x, y) for k, x in ((_key(doc_id, *x), x) for x in got) if (y := label(*x, base)) is not None]
+                for key, (kind, start, end), y in sorted(known)[:per_doc]:
+                    for c, v in zip(out, (key, y, zlib.crc32(str(doc_id).encode()) % folds == 0, features(text, kind, start, end)), strict=True):
+                        c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.bool_()), pa.array(out[3], pa.list_(pa.float64()))], names=["key", "y", "held", "x"])
 
-    rows = doc_texts(docs).mapInArrow(sample, "key long, y int, held boolean, x array<double>").orderBy("key").limit(max_rows).toPandas()
+    rows = chosen.mapInArrow(sample, "key long, y int, held boolean, x array<double>").toPandas().sort_values("key", ignore_index=True)
     if rows["y"].nunique() < 2:
         return None
     return fit(np.array(rows["x"].tolist(), float), rows["y"].to_numpy(), rows["held"].to_numpy(bool))
