@@ -1,14 +1,16 @@
 """Cross-entropy difference: two matched bigram models over one vocabulary score every document.
 
-Words are what stands between blanks, in lower case and with its punctuation, which tells prose from junk. The vocabulary is the
-``size - 2`` most frequent words of all documents, with <s> and <unk>; the background model counts the
-bigrams of all documents, the target model those of the documents labelled good, outside the held-out fold. Both
-smooth alike: p(w | v) = (c(v, w) + mu p(w)) / (c(v) + mu), p(w) = (c(w) + 1) / (N + size). A document's score is the mean over its
-words of target loss minus background loss: below zero is closer to the target.
-
-Tasks count with arrays and send what is not zero; the counts are summed by range of cells as they stream in, so
-neither a word nor a cell is a hot key. What reaches the driver and the workers is bounded by the vocabulary alone: two tables of
-size x size 32-bit floats, 32 MB at 2048 words.
+Words are what stands between blanks, in lower case and with its punctuation, which tells prose from junk. The vocabulary is every
+word of all documents, with <s> and <unk>; ``size`` bounds it to the ``size - 2`` most frequent words, the others being <unk>. The
+background model counts the bigrams of all documents, the target model those of the documents labelled good, outside the held-out
+fold. Both smooth alike: p(w | v) = (c(v, w) + mu p(w)) / (c(v) + mu), p(w) = (c(w) + 1) / (N + V), V the vocabulary with <s> and
+<unk>. A document's score is the mean over its words of target loss minus background loss: below zero is closer to the target.
+
+The models are tables that grow with the documents. Tasks cut their documents into chunks of about ``chunk_words`` words and send each
+chunk's distinct words and bigrams with their counts, packed by range of their 64-bit hashes; every range is summed by itself and
+answers each chunk with the sums of just the keys it sent. A chunk then meets its answers and scores its documents. A key is sent once
+a chunk, so that neither a word nor a bigram is a hot key; there are more ranges where there is more text, so that a range stays small.
+The driver gets three totals.
 
 Defined results: null and empty texts, and texts without words, have 0 tokens, losses and score 0; rows labelled null or
 with null doc_id are not target; a doc_id labelled twice counts by its highest label; repeated rows count as often as they
@@ -17,38 +19,45 @@ occur; without target rows the target model is uniform; an empty table gives no
 
 from __future__ import annotations
 
+import gc
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import doc_texts, table, written
 
-SIZE = 2048
-RANGES = 64
 FOLDS = 5
+START, UNK = 0, 1  # in place of a word's hash
 SCORED = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
 
-
 _words: dict[str, int] = {}
 
 
+def word_hash(word: str) -> int:
+    """64 bits, the upper 32 of them the CRC; 0 and 1 are taken."""
+    data = word.encode()
+    return max(2, zlib.crc32(data) << 32 | xxhash.xxh32_intdigest(data))
+
+
 def word_hashes(text: str) -> np.ndarray:
-    """A 32-bit hash of each word; a worker keeps those it has met."""
+    """The hash of each word; a worker keeps those it has met."""
     found = text.lower().split()
     try:
         h = [_words[w] for w in found]
     except KeyError:
-        if len(_words) > 1_000_000:
+        if len(_words) > 400_000:
             _words.clear()
-        _words.update((w, zlib.crc32(w.encode())) for w in set(found).difference(_words))
+        _words.update((w, word_hash(w)) for w in set(found).difference(_words))
         h = [_words[w] for w in found]
-    return np.array(h, np.int64)
+    return np.array(h, np.uint64)
 
 
-def word_counts(docs: DataFrame, flush_words: int = 4_000_000) -> DataFrame:
+def word_counts(docs: DataFrame, flush_words: int = 2_000_000) -> DataFrame:
     """(hash, n) of every word of every text."""
 
     def run(batches):
@@ -56,13 +65,12 @@ def word_counts(docs: DataFrame, flush_words: int = 4_000_000) -> DataFrame:
 
         def rows():
             h, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(n.astype(np.int64))], names=["hash", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["hash", "n"])
 
         for b in batches:
             for t in b.column("text").to_pylist():
-                h = word_hashes(t)
-                held.append(h.astype(np.uint32))
-                size += len(h)
+                held.append(word_hashes(t))
+                size += len(held[-1])
             if size > flush_words:
                 yield rows()
                 held, size = [], 0
@@ -72,76 +80,118 @@ def word_counts(docs: DataFrame, flush_words: int = 4_000_000) -> DataFrame:
     return doc_texts(docs).select("text").mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(docs: DataFrame, size: int = SIZE) -> np.ndarray:
-    """Sorted hashes of the most frequent words; ids 0 and 1 are <s> and <unk>."""
+def vocabulary(docs: DataFrame, size: int) -> np.ndarray:
+    """Sorted hashes of the ``size - 2`` most frequent words, equally frequent ones by their CRC."""
     # Written first: collecting a sorted limit would send every partition's top rows to the driver.
-    top = written(word_counts(docs).orderBy(F.desc("n"), "hash").limit(size - 2))
-    return np.sort(np.array([r.hash for r in top.collect()], np.int64))
+    top = written(word_counts(docs).orderBy(F.desc("n"), F.shiftrightunsigned("hash", 32), "hash").limit(size - 2))
+    return np.sort(np.array([r.hash for r in top.collect()], np.int64).view(np.uint64))
 
 
-def word_ids(text: str, vocab: np.ndarray) -> np.ndarray:
-    h = word_hashes(text)
-    if not len(vocab):
-        return np.ones(len(h), np.int64)
-    at = np.minimum(np.searchsorted(vocab, h), len(vocab) - 1)
-    return np.where(vocab[at] == h, at + 2, 1)
+def pair_keys(tokens: np.ndarray, hashes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a chunk's words (as places in ``hashes``, whose first is <s>): the word before each, the distinct bigrams, and each word's bigram."""
+    before = np.zeros(len(tokens), np.int64)
+    before[1:] = tokens[:-1]
+    ends = np.cumsum(lengths)
+    before[(ends - lengths)[lengths > 0]] = 0
+    x = hashes[before] * np.uint64(0x9E3779B97F4A7C15) + hashes[tokens]
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    keys, pair = np.unique(x ^ (x >> np.uint64(31)), return_inverse=True)
+    return before, keys, pair
 
 
-def bigram_cells(ids: np.ndarray, size: int) -> np.ndarray:
-    return np.concatenate([[0], ids[:-1]]) * size + ids if len(ids) else ids
+def squeezed(counts: np.ndarray) -> bytes:
+    """Counts in the narrowest type that holds them, column by column; the first byte is the type's width."""
+    width = next(w for w in (1, 2, 4, 8) if int(counts.max(initial=0)) < 1 << 8 * w - (w == 8))
+    return bytes([width]) + zlib.compress(counts.T.astype(f"<u{width}").tobytes(), 1)
 
 
-def bigram_counts(docs: DataFrame, target: DataFrame, vocab: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of every cell in the target and in all documents, as size x size arrays."""
-    width = size * size // RANGES
-    shared = docs.sparkSession.sparkContext.broadcast(vocab)
+def expanded(column, columns: int) -> np.ndarray:
+    parts = [np.frombuffer(zlib.decompress(memoryview(x)[1:]), f"<u{x[0]}").reshape(columns, -1).T.astype(np.int64) for x in column.to_pylist()]
+    return np.concatenate([np.zeros((0, columns), np.int64), *parts])
 
-    def count(batches):
-        tables = np.zeros((2, size * size), np.int64)
-        for b in batches:
-            held: list[list] = [[], []]
-            for t, good in zip(b.column("text").to_pylist(), b.column("good").to_pylist(), strict=True):
-                cells = bigram_cells(word_ids(t, shared.value), size)
-                held[0].append(cells)
-                if good:
-                    held[1].append(cells)
-            for k in (0, 1):
-                if held[k]:
-                    cells, n = np.unique(np.concatenate(held[k]), return_counts=True)
-                    tables[k, cells.astype(np.int64)] += n
-        for k in (0, 1):
-            for r in range(RANGES):
-                part = tables[k, r * width : (r + 1) * width]
-                at = np.flatnonzero(part)
-                if len(at):
-                    yield pa.RecordBatch.from_pydict({"model": [k], "range": [r], "at": pa.array([at.astype("<u2" if width <= 65536 else "<u4").tobytes()], pa.binary()), "n": pa.array([part[at].astype("<i8" if part.max() > 2**31 - 1 else "<i4").tobytes()], pa.binary()), "cells": [len(at)]})
-
-    def add(batches):
-        sums: dict[tuple, np.ndarray] = {}
+
+def cut_chunks(marked: DataFrame, vocab: np.ndarray | None, chunk_words: int) -> DataFrame:
+    """A row for each chunk: its documents' ids and lengths, and its words as places among its distinct words' hashes."""
+    shared = marked.sparkSession.sparkContext.broadcast(vocab)
+
+    def run(batches):
+        number, known = TaskContext.get().partitionId() << 32, shared.value
+        held: list[tuple] = []
+
+        def row():
+            h = np.concatenate([h for _, _, h in held])
+            if known is not None:
+                at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+                h = np.where(known[at] == h, h, np.uint64(UNK)) if len(known) else np.full(len(h), UNK, np.uint64)
+            hashes, tokens = np.unique(np.concatenate([[np.uint64(START)], h]), return_inverse=True)
+            planes = np.ascontiguousarray(tokens[1:].astype("<u4").view(np.uint8).reshape(-1, 4).T)
+            docs = np.array([(i is not None, i or 0, bool(g), len(h)) for i, g, h in held], np.int64)
+            return pa.RecordBatch.from_pydict({"chunk": [number], "docs": [docs.tobytes()], "tokens": [pa.compress(planes.tobytes(), codec="zstd", asbytes=True)], "hashes": [hashes.tobytes()]})
+
+        size = 0
         for b in batches:
-            for row in b.to_pylist():
-                part = sums.setdefault((row["model"], row["range"]), np.zeros(width, np.int64))
-                at = np.frombuffer(row["at"], f"<u{len(row['at']) // row['cells']}")
-                part[at] += np.frombuffer(row["n"], f"<i{len(row['n']) // row['cells']}")
-        for (k, r), part in sums.items():
-            yield pa.RecordBatch.from_pydict({"model": [k], "range": [r], "n": pa.array([part.tobytes()], pa.binary())})
+            for i, t, g in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("good").to_pylist(), strict=True):
+                held.append((i, g, word_hashes(t)))
+                size += len(held[-1][2]) + 8
+                if size > chunk_words:
+                    yield row()
+                    number, held, size = number + 1, [], 0
+        if held:
+            yield row()
+
+    return marked.mapInArrow(run, "chunk long, docs binary, tokens binary, hashes binary")
 
-    # Sorted and written, the ids take about a byte each: Spark broadcasts them if their files are under its threshold, else it shuffles.
-    target = written(target.select("doc_id").repartitionByRange("doc_id").sortWithinPartitions("doc_id"))
-    marked = doc_texts(docs).join(target.select("doc_id", F.lit(True).alias("good")), "doc_id", "left").select("text", "good")
-    parts = marked.mapInArrow(count, "model long, range long, at binary, n binary, cells long")
-    summed = parts.repartition("range", "model").mapInArrow(add, "model long, range long, n binary")
-    out = np.zeros((2, size * size), np.int64)
-    for row in summed.collect():
-        out[row.model, row.range * width : (row.range + 1) * width] = np.frombuffer(row.n, np.int64)
-    return out[1].reshape(size, size), out[0].reshape(size, size)
 
+def read_chunk(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk's documents (known id, id, good, words), its words, and the hashes that they are places of."""
+    docs = np.frombuffer(row["docs"], np.int64).reshape(-1, 4)
+    n = int(docs[:, 3].sum())
+    planes = np.frombuffer(pa.decompress(row["tokens"], 4 * n, codec="zstd", asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
+    return docs, np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel().astype(np.int64), np.frombuffer(row["hashes"], np.uint64)
 
-def losses(counts: np.ndarray, mu: float = 1000.0) -> np.ndarray:
-    """-log p(w | v) of each cell (v, w)."""
-    size, total = len(counts), counts.sum()
-    word = (counts.sum(0) + 1.0) / (total + size)
-    return -np.log((counts + mu * word) / (counts.sum(1, keepdims=True) + mu)).astype(np.float32)
+
+def send_keys(chunks: DataFrame, bits: int) -> DataFrame:
+    """Of each chunk, for each range of hashes that it has any of, its distinct words and bigrams with their counts."""
+
+    def run(batches):
+        edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+        for b in batches:
+            for row in b.to_pylist():
+                docs, tokens, hashes = read_chunk(row)
+                if not len(tokens):
+                    continue
+                before, keys, pair = pair_keys(tokens, hashes, docs[:, 3])
+                good = np.repeat(docs[:, 2] > 0, docs[:, 3])
+                count = lambda x, n: np.stack([np.bincount(x, minlength=n), np.bincount(x[good], minlength=n)], 1)
+                word_n, pair_n = np.concatenate([count(tokens, len(hashes)), count(before, len(hashes))], 1), count(pair, len(keys))
+                out: list[tuple] = []
+                at = [np.concatenate([[0], np.searchsorted(k, edges), [len(k)]]) for k in (hashes, keys)]
+                for r in np.flatnonzero(np.diff(at[0]) + np.diff(at[1])).tolist():
+                    w, p = (slice(x[r], x[r + 1]) for x in at)
+                    out.append((row["chunk"], r, hashes[w].tobytes(), squeezed(word_n[w]), keys[p].tobytes(), squeezed(pair_n[p])))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["chunk", "range", "words", "word_n", "pairs", "pair_n"])
+
+    return chunks.mapInArrow(run, "chunk long, range long, words binary, word_n binary, pairs binary, pair_n binary")
+
+
+def answer_keys(sent: DataFrame) -> DataFrame:
+    """For each chunk and range, the sums over all chunks of the keys that the chunk sent, in their order; and the range's own totals."""
+
+    def add(group: pa.Table) -> pa.Table:
+        out, totals = {"chunk": group.column("chunk"), "range": group.column("range")}, (0, 0, 0)
+        for k, n, width in (("words", "word_n", 4), ("pairs", "pair_n", 2)):
+            ends = np.cumsum([len(x) // 8 for x in group.column(k).to_pylist()])
+            keys, at = np.unique(np.frombuffer(b"".join(group.column(k).to_pylist()), np.uint64), return_inverse=True)
+            counts = expanded(group.column(n), width)
+            sums = np.stack([np.bincount(at, counts[:, c], len(keys)) for c in range(width)], 1).astype(np.int64)
+            out[n] = pa.array([squeezed(x) for x in np.split(sums[at], ends[:-1])], pa.binary())
+            if k == "words":
+                totals = (int((keys > UNK).sum()), int(sums[:, 0].sum()), int(sums[:, 1].sum()))
+        first = np.arange(group.num_rows) == 0
+        return pa.Table.from_pydict(out | {c: pa.array(np.where(first, t, 0)) for c, t in zip(("n_words", "total", "good"), totals, strict=True)})
+
+    return sent.groupBy("range").applyInArrow(add, "chunk long, range long, word_n binary, pair_n binary, n_words long, total long, good long")
 
 
 def good_documents(labels: DataFrame, folds: int = FOLDS, label: str = "quality") -> DataFrame:
@@ -149,25 +199,42 @@ def good_documents(labels: DataFrame, folds: int = FOLDS, label: str = "quality"
     return known.filter((F.col("y") == 1) & (F.crc32(F.col("doc_id").cast("string")) % folds != 0)).select("doc_id")
 
 
-def cross_entropy_difference(docs: DataFrame, target: DataFrame, size: int = SIZE, mu: float = 1000.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, size: int | None = None, mu: float = 1000.0, id_col: str = "doc_id", text_col: str = "text", chunk_words: int = 2_000_000) -> DataFrame:
     """One row per document: tokens, mean losses under both models, and their difference."""
     texts = doc_texts(docs, id_col, text_col)
-    vocab = vocabulary(texts, size)
-    tables = np.stack([losses(c, mu).ravel() for c in bigram_counts(texts, target, vocab, size)])
-    shared = docs.sparkSession.sparkContext.broadcast((vocab, tables))
-
-    def run(batches):
-        vocab, (good, every) = shared.value
-        for b in batches:
-            out = []
-            for t in b.column("text").to_pylist():
-                cells = bigram_cells(word_ids(t, vocab), size)
-                n = len(cells)
-                out.append((n, float(good[cells].sum(dtype=np.float64)) / n, float(every[cells].sum(dtype=np.float64)) / n) if n else (0, 0.0, 0.0))
-            n, g, e = map(np.array, zip(*out, strict=True)) if out else (np.zeros(0),) * 3
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(g), pa.array(e), pa.array(g - e)], names=[f.split()[0] for f in SCORED.split(", ")])
-
-    return texts.mapInArrow(run, SCORED)
+    vocab = None if size is None else vocabulary(texts, size)
+    # About 4 MB of text a range, and at least 1024 ranges, which deal evenly.
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    bits = max(10, (chars >> 22).bit_length())
+    # Sorted and written, the ids take about a byte each: Spark broadcasts them if their files are under its threshold, else it shuffles.
+    target = written(target.select("doc_id").repartitionByRange("doc_id").sortWithinPartitions("doc_id"))
+    marked = texts.join(target.select("doc_id", F.lit(True).alias("good")), "doc_id", "left").select("doc_id", "text", "good")
+    chunks = written(cut_chunks(marked, vocab, chunk_words))
+    answers = written(answer_keys(send_keys(chunks, bits)))
+    n_words, *n = (x or 0 for x in answers.agg(F.sum("n_words"), F.sum("good"), F.sum("total")).first())
+    width = size if size is not None else n_words + 2
+    # The keys' shuffle files are as large as the input; they go when the driver has collected what refers to them.
+    gc.collect()
+    docs.sparkSession.sparkContext._jvm.System.gc()
+
+    def score(chunk: pa.Table, answered: pa.Table) -> pa.Table:
+        docs, tokens, hashes = read_chunk(chunk.to_pylist()[0])
+        lengths = docs[:, 3]
+        before, keys, pair = pair_keys(tokens, hashes, lengths)
+        answered = answered.sort_by("range")
+        word_n, pair_n = expanded(answered.column("word_n"), 4), expanded(answered.column("pair_n"), 2)
+        first = np.zeros(len(keys), np.int64)
+        first[pair] = np.arange(len(pair))  # one place of each bigram
+        v, w = before[first], tokens[first]
+        doc, means = np.repeat(np.arange(len(lengths)), lengths), []
+        for k, total in ((1, n[0]), (0, n[1])):  # target, background
+            p = mu * (word_n[w, k] + 1.0) / (total + width)
+            loss = -np.log((pair_n[:, k] + p) / (word_n[v, 2 + k] + mu))
+            means.append(np.bincount(doc, loss[pair], len(lengths)) / np.maximum(lengths, 1))
+        g, e = means
+        return pa.Table.from_arrays([pa.array(docs[:, 1], mask=docs[:, 0] == 0), pa.array(lengths), pa.array(g), pa.array(e), pa.array(g - e)], names=[f.split()[0] for f in SCORED.split(", ")])
+
+    return chunks.groupBy("chunk").cogroup(answers.select("chunk", "range", "word_n", "pair_n").groupBy("chunk")).applyInArrow(score, SCORED)
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

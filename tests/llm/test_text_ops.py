@@ -235,6 +235,33 @@ def test_scores_equal_brute_force(spark):
         assert got[i].score == pytest.approx(want[0] - want[1], abs=1e-5)
 
 
+def test_scores_tell_rare_words_apart(spark):
+    """More words than any fixed table would hold; every one of them counts, across chunks."""
+    r = random.Random(9)
+    rows = [(i, " ".join(f"w{r.randint(0, 5999)}" for _ in range(40))) for i in range(300)] + [(300, None), (None, "w1 w2"), (301, "w5 rare1"), (302, "w5 rare2"), (303, "w5 rare1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    good = {i for i in range(300) if i % 3 == 0} | {303}
+    target = spark.createDataFrame([(i,) for i in good], "doc_id long")
+    got = {x.doc_id: x for x in lm_scoring.cross_entropy_difference(docs, target, chunk_words=500).collect()}
+    seq = {i: ["<s>", *(t or "").split()] for i, t in rows}
+    size = len({w for s in seq.values() for w in s[1:]}) + 2
+    assert size > 4000 and len(got) == len(rows)
+    want = {i: [] for i in seq}
+    for keep in (good, set(seq)):
+        pairs = Counter(p for i, s in seq.items() if i in keep for p in zip(s, s[1:], strict=False))
+        before, word = Counter(), Counter()
+        for (v, w), k in pairs.items():
+            before[v] += k
+            word[w] += k
+        p = lambda w: (word[w] + 1) / (sum(word.values()) + size)
+        for i, s in seq.items():
+            want[i].append(sum(-math.log((pairs[v, w] + 1000 * p(w)) / (before[v] + 1000)) for v, w in zip(s, s[1:], strict=False)) / max(1, len(s) - 1))
+    for i in seq:
+        assert got[i].n_tokens == len(seq[i]) - 1
+        assert [got[i].target_loss, got[i].background_loss] == pytest.approx(want[i], abs=1e-9)
+    assert got[301].score < got[302].score and got[301].score == got[303].score
+
+
 def test_scoring_edges(spark):
     docs, none = edge_docs(spark), spark.createDataFrame([], "doc_id long")
     rows = lm_scoring.cross_entropy_difference(docs, none, size=64).collect()
