@@ -2,11 +2,13 @@
 
 Base spans are exact patterns with checks (octets, Luhn, digit counts) and always stay. Generators also propose spans that the
 patterns miss: spelled-out addresses ("name (at) host (dot) org"), telephone numbers without a plus, numbers split in
-unusual places, addresses with a port. Each candidate gets format features (lengths, digit groups, separators, checks) and context
-features (neighbouring characters and words). The trees learn from candidates that coincide with base spans
-(label 1) or with none (0), for each kind, so that they know the format and the company that real ones keep; isotonic calibration on a
-held-out fifth of the documents turns scores into probabilities, and a span is added where that is at least ``threshold``, best first,
-if it overlaps nothing chosen before.
+unusual places. Each candidate gets format features (lengths, digit groups, separators, checks) and context
+features (neighbouring characters and words). There are no labels: the trees learn as positives base spans rewritten into the kinds
+that the patterns miss (@ and dots spelled out, the plus dropped, separators moved), each in its own place in the text, and as
+negatives candidates that touch no base span and follow no word that announces one, rewritten cards with a wrong digit, and
+candidates that only overlap a rewritten span. Isotonic calibration on a held-out fifth of the documents turns scores into
+probabilities, for this mixture, and a span is added where that is at least ``threshold``, best first, if it overlaps nothing chosen
+before. A candidate that touches a base span, such as an address with a port, is never added.
 
 Training takes the candidates of about ``max_docs`` documents, chosen by a hash of doc_id (all, where there are no more), and of each
 document at most ``per_doc``, those with the smallest hashes; this bounded sample is all that reaches the driver.
@@ -18,6 +20,7 @@ left out of training; without candidates nothing is added; an empty table gives
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -106,7 +109,7 @@ def features(text: str, kind: int, start: int, end: int) -> list[float]:
     host = s.rsplit("@", 1)[-1]
     return [
         kind, len(s), len(digits), len(groups), max(groups, default=0), min(groups, default=0), len(set(digits)),
-        sum(c in " ()" for c in s), s.count("."), s.count("-"), s.startswith("+"), s.count("@"), "at" in s and "@" not in s, ":" in s,
+        sum(c in " ()" for c in s), s.count("."), s.count("-"), ":" in s, s.count(". ") + s.count(" ."),
         float(luhn(digits)) if len(digits) > 11 else -1.0, max([int(g) for g in re.findall("[0-9]{1,9}", s)] or [0]) <= 255,
         host.count("."), len(host.rsplit(".", 1)[-1]), before[-1:].isalnum(), after[:1].isalnum(), before[-1:] in " \n(<:", after[:1] in " \n.,)>;",
         *[float(any(c[k] for c in cue)) for k in range(4)], sum(c.isdigit() for c in before), sum(c.isdigit() for c in after), sum(c.isupper() for c in s),
@@ -117,11 +120,53 @@ def _key(doc_id: int, kind: int, start: int, end: int) -> int:
     return xxhash.xxh64_intdigest(f"{doc_id}:{kind}:{start}".encode()) >> 1
 
 
-def label(kind: int, start: int, end: int, base: set[tuple[int, int, int]]) -> int | None:
-    """1 where a base span of the kind is the candidate, 0 where no base span touches it, else nothing to learn."""
-    if (kind, start, end) in base:
-        return 1
-    return None if any(a < end and start < b for _, a, b in base) else 0
+def _touches(start: int, end: int, spans) -> bool:
+    return any(a < end and start < b for _, a, b in spans)
+
+
+def unannounced(text: str, kind: int, start: int, end: int) -> bool:
+    """A candidate that is like a number or an address, but not in personal company: no announcing word, and no spelled-out host."""
+    if kind == 0 and ". " not in text[start:end]:
+        return False
+    return not _CUES.search(text[max(0, start - 24) : start])
+
+
+def rewrite(kind: int, s: str, r: random.Random) -> list[tuple[str, int]]:
+    """A base span as the patterns miss it, with label 1, and for a card also with a wrong digit, with label 0."""
+    if kind == 0:
+        local, host = s.rsplit("@", 1)
+        return [(local + r.choice((" (at) ", "(at)", " [at] ", " @ ")) + host.replace(".", r.choice((" (dot) ", "(dot)", " [dot] ", "."))), 1)]
+    digits = "".join(c for c in s if c.isdigit())
+    if kind == 3:
+        bare, between = s[1:], r.choice((None, " ", "-", "."))
+        groups = re.findall("[0-9]+", bare)
+        if len(groups) > 2 and r.random() < 0.4:  # as dialled inside the country
+            return [("0" + (between or " ").join(groups[1:]), 1)]
+        return [(r.choice(("", "", "00")) + (bare if between is None else between.join(groups)), 1)]
+    if kind == 2:
+        cuts = sorted(r.sample(range(2, len(digits) - 1), r.randint(2, 4)))
+        between, at = r.choice((".", " - ", ". ", "  ", "--"))[:2], r.randrange(len(digits))
+        wrong = digits[:at] + str((int(digits[at]) + r.randint(1, 9)) % 10) + digits[at + 1 :]
+        return [(between.join(d[a:b] for a, b in zip([0, *cuts], [*cuts, len(d)], strict=True)), y) for d, y in ((digits, 1), (wrong, 0))]
+    return []
+
+
+def examples(doc_id: int, text: str) -> list[tuple[int, int, list[float]]]:
+    """(key, label, features) of what a document teaches."""
+    out, base = [], base_spans(text)
+    for c in candidates(text):
+        if not _touches(c[1], c[2], base) and unannounced(text, *c):
+            out.append((_key(doc_id, *c), 0, features(text, *c)))
+    for kind, a, b in base:
+        key = _key(doc_id, kind, a, b)
+        for new, y in rewrite(kind, text[a:b], random.Random(key)):
+            left = text[max(0, a - 80) : a]
+            near, start, end = left + new + text[b : b + 80], len(left), len(left) + len(new)
+            kept = base_spans(near)
+            for c in candidates(near):
+                if _touches(*c[1:], [(kind, start, end)]) and not _touches(*c[1:], kept):
+                    out.append((key, y if c == (kind, start, end) else 0, features(near, *c)))
+    return out
 
 
 def train(docs: DataFrame, max_docs: int = 40_000, per_doc: int = 16, folds: int = 5) -> Boosted | None:
@@ -134,11 +179,9 @@ def train(docs: DataFrame, max_docs: int = 40_000, per_doc: int = 16, folds: int
         for b in batches:
             out: list[list] = [[], [], [], []]
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                got = candidates(text) if doc_id is not None else []
-                base = set(base_spans(text)) if got else set()
-                known = [(k, x, y) for k, x in ((_key(doc_id, *x), x) for x in got) if (y := label(*x, base)) is not None]
-                for key, (kind, start, end), y in sorted(known)[:per_doc]:
-                    for c, v in zip(out, (key, y, zlib.crc32(str(doc_id).encode()) % folds == 0, features(text, kind, start, end)), strict=True):
+                known = examples(doc_id, text) if doc_id is not None and _HINT.search(text) else []
+                for key, y, x in sorted(known)[:per_doc]:
+                    for c, v in zip(out, (key, y, zlib.crc32(str(doc_id).encode()) % folds == 0, x), strict=True):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.bool_()), pa.array(out[3], pa.list_(pa.float64()))], names=["key", "y", "held", "x"])
 
@@ -163,14 +206,14 @@ def find_personal(docs: DataFrame, model: Boosted | None, threshold: float = 0.9
             bases = [base_spans(t) for t in texts]
             new = []  # (row, span) of candidates that touch no base span
             if trees is not None:
-                new = [(i, c) for i, t in enumerate(texts) for c in candidates(t) if not any(a < c[2] and c[1] < b for _, a, b in bases[i])]
+                new = [(i, c) for i, t in enumerate(texts) for c in candidates(t) if not _touches(c[1], c[2], bases[i])]
             p = trees.probability(np.array([features(texts[i], *c) for i, c in new], float)) if new else []
             added: dict[int, list] = {}
             for k in sorted(range(len(new)), key=lambda k: (-p[k], new[k])):
                 i, (kind, start, end) = new[k]
                 if p[k] < threshold:
                     break
-                if not any(a < end and start < b for _, a, b in added.get(i, ())):
+                if not _touches(start, end, added.get(i, ())):
                     added.setdefault(i, []).append((kind, start, end))
             count = lambda k: pa.array([sum(s[0] == k for s in b) for b in bases], pa.int64())
             digests = [hashlib.sha256(joined(b).encode()).hexdigest() for b in bases]

@@ -96,6 +96,26 @@ def test_pii_documents(spark):
     assert {x.spans for x in pii.find_personal(edges, None).collect()} == {""} and pii.find_personal(edges.limit(0), model).count() == 0
 
 
+def test_pii_adds_what_the_patterns_miss(spark):
+    r, rows = random.Random(7), []
+    for i in range(1200):
+        digits = "".join(r.choice("0123456789") for _ in range(15))
+        card = next(digits + c for c in "0123456789" if pii.luhn(digits + c))
+        real = [f"write to user{i}@mail{i % 7}.example", f"call +49 30 {r.randint(100, 999)} {r.randint(1000, 9999)}", f"card {card[:4]} {card[4:8]} {card[8:12]} {card[12:]}", f"id {r.randint(10**6, 10**7 - 1)}", f"order {r.randint(10**9, 10**10 - 1)}"][i % 5]
+        rows.append((i, f"{words(r, 6)} {real} {words(r, 6)}"))
+    missed = ["write to jane (at) mail3 (dot) example", "call 030 555 1234", "call 0049 30 555 1234", "card 41.11111.1111.11111"]
+    clean = ["id 5550123", "order 4930555123", "id 7654321"]
+    rows += [(2000 + i, f"{words(r, 6)} {t} {words(r, 6)}") for i, t in enumerate(missed)] + [(3000 + i, f"{words(r, 6)} {t} {words(r, 6)}") for i, t in enumerate(clean)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x for x in pii.find_personal(docs, pii.train(docs)).collect()}
+    assert [got[2000 + i].n_added for i in range(len(missed))] == [1] * len(missed)
+    text = dict(rows)[2000]
+    start = text.index("jane")
+    assert got[2000].spans == f"email:{start}:{text.index('example') + 7}"
+    assert all(got[3000 + i].n_added == 0 for i in range(len(clean)))
+    assert sum(got[i].n_added for i in range(1200) if i % 5 > 2) == 0
+
+
 def test_boosting():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 4))
