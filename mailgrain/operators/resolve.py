@@ -2,23 +2,26 @@
 
 The first message that uses a key owns it, and a message goes to the owner of its best key (list_id, from_address,
 normalized_key); it claims its free keys and never takes an owned one. Only the distinct (list, address, key) tuples and the order of
-their first use matter. Tuples influence each other only through keys that nobody owns yet, so each connected component
-over such keys is walked on its own, in order. An address met in one tuple alone influences nobody: of the tuples of a rotating
-sender only the first is walked, and the others join the owner of their key afterwards, so a busy rotating sender is no large component.
+their first use matter. They are decided in rounds: a tuple that is the earliest undecided one on each of its free keys can't be
+influenced by any other, so all such tuples are decided at once, and their claims are joined back as owners. The earliest tuple of all
+is always among them, so the rounds end; they are as many as the longest chain of tuples that wait for each other. No group of tuples
+is ever in one task's hands. An address met in one tuple alone influences nobody: of the tuples of a rotating sender only the first
+takes part, and the others join the owner of their key afterwards.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identity import RESOLVING, normalize_list_id, normalized_key, split_address
 from ..functions.rules import DEFAULT_RULES, Rules
 from ..functions.text import let
-from .graph import components, cut
+from .graph import cut
 
-WALKED = "tuple long, sender_id string, outcome string, also_matched array<string>"
+NAMED = ("list_key", "address_key", "norm_key")
 
 
 def message_keys(messages: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
@@ -36,23 +39,33 @@ def sender_key(mailbox: str, key):
     return F.sha2(F.concat_ws("\x1f", F.lit(mailbox), key), 256)
 
 
-def walk(frame: pd.DataFrame) -> pd.DataFrame:
-    """One component, in order: a small grouped helper. ``known`` are the stored owners of its tuples' keys."""
-    owner: dict[tuple, str] = {}
-    out = []
-    in_order = sorted(frame.itertuples(index=False), key=lambda r: (tuple(r.first_ord.values()) if isinstance(r.first_ord, dict) else r.first_ord, r.tuple))
-    for row in in_order:
-        keys = [(k, v) for k, v in zip(RESOLVING, (row.list_key, row.address_key, row.norm_key), strict=True) if v is not None]
-        for key, known in zip(keys, row.known, strict=True):
-            if known is not None:
-                owner.setdefault(key, known)
-        matched = [owner[k] for k in keys if k in owner]
-        sender = matched[0] if matched else row.new_id
-        for k in keys:
-            owner.setdefault(k, sender)
-        others = sorted(set(matched) - {sender})
-        out.append((row.tuple, sender, "new" if not matched else "ambiguous" if others else "existing", others))
-    return pd.DataFrame(out, columns=["tuple", "sender_id", "outcome", "also_matched"])
+def decide(tuples: DataFrame) -> DataFrame:
+    """(tuple, sender_id, outcome, also_matched) for tuples with first_ord, new_id, their keys, and each key's stored owner in own_<key>."""
+    free = {c: F.col(c).isNotNull() & F.col(f"own_{c}").isNull() for c in NAMED}
+    keys = F.filter(F.array(*[F.when(free[c], F.struct(F.lit(k).alias("kind"), F.col(c).alias("value"))) for k, c in zip(RESOLVING, NAMED, strict=True)]), lambda x: x.isNotNull())
+    owned = F.filter(F.array(*[F.when(F.col(c).isNotNull(), F.col(f"own_{c}")) for c in NAMED]), lambda o: o.isNotNull())
+    best = F.get(owned, F.lit(0))
+    others = F.array_sort(F.array_except(F.array_distinct(owned), F.array(best)))
+    outcome = F.when(best.isNull(), "new").when(F.size(others) > 0, "ambiguous").otherwise("existing")
+    none = F.array().cast("array<string>")
+
+    todo, parts = cut(tuples.select("tuple", "first_ord", "new_id", *NAMED, *[f"own_{c}" for c in NAMED])), []
+    while True:
+        # Aggregated before the shuffle and joined by tuple, so that a key that very many tuples share is no hot key.
+        leads = todo.select("tuple", "first_ord", F.explode(keys).alias("key")).groupBy("key").agg(F.min(F.struct("first_ord", "tuple"))["tuple"].alias("tuple"))
+        marked = todo.join(leads.groupBy("tuple").agg(F.count("*").alias("leads")), "tuple", "left").withColumn("ready", F.coalesce("leads", F.lit(0)) == F.size(keys))
+        marked = cut(marked.withColumns({"sender_id": F.coalesce(best, "new_id"), "outcome": outcome, "also_matched": F.when(best.isNull(), none).otherwise(others)}))
+        done = marked.filter("ready")
+        parts.append(done.select("tuple", "sender_id", "outcome", "also_matched"))
+        if len(parts) > 16:
+            parts = [cut(reduce(DataFrame.unionByName, parts))]
+        todo = marked.filter("NOT ready")
+        if todo.isEmpty():
+            return reduce(DataFrame.unionByName, parts)
+        todo = todo.drop("leads", "ready", "sender_id", "outcome", "also_matched")
+        for c in NAMED:
+            claims = done.filter(free[c]).select(c, F.col("sender_id").alias("claimed"))
+            todo = todo.join(claims, c, "left").withColumn(f"own_{c}", F.coalesce(f"own_{c}", "claimed")).drop("claimed")
 
 
 def resolve_senders(messages: DataFrame, identities: DataFrame, mailbox: str = "", rules: Rules = DEFAULT_RULES) -> DataFrame:
@@ -64,7 +77,7 @@ def resolve_senders(messages: DataFrame, identities: DataFrame, mailbox: str = "
     usable = F.col("norm_key").isNotNull() | F.col("list_key").isNotNull() | F.col("address_key").isNotNull()
     stored = identities.filter(F.col("kind").isin(*RESOLVING)).select("kind", "value", "sender_id")
 
-    named = ["list_key", "address_key", "norm_key"]
+    named = list(NAMED)
     distinct = keyed.filter(usable).groupBy(*named).agg(F.min("ord").alias("first_ord"))
     tuples = distinct.withColumn("tuple", F.xxhash64(*[F.coalesce(c, F.lit("\x00")) for c in named]))
     for kind, c in zip(RESOLVING, named, strict=True):
@@ -80,21 +93,7 @@ def resolve_senders(messages: DataFrame, identities: DataFrame, mailbox: str = "
 
     first = F.coalesce(*[F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{k}\x1f"), F.col(c))) for k, c in zip(RESOLVING, named, strict=True)])
     walked = marked.filter("NOT later").withColumn("new_id", sender_key(mailbox, first))
-    free = F.filter(F.array(*[F.when(F.col(f"own_{c}").isNull() & F.col(c).isNotNull(), F.xxhash64(F.lit(k), F.col(c))) for k, c in zip(RESOLVING, named, strict=True)]), lambda x: x.isNotNull())
-    links = walked.select("tuple", F.explode(free).alias("key"))
-    low = links.groupBy("key").agg(F.min("tuple").alias("low"))
-    groups = components(links.join(low, "key").filter("tuple <> low").select(F.col("tuple").alias("a"), F.col("low").alias("b")))
-    walked = walked.join(groups, F.col("tuple") == F.col("node"), "left")
-
-    owners = F.array(*[f"own_{c}" for c in named])
-    known = F.transform(F.filter(F.arrays_zip(F.array(*named).alias("k"), owners.alias("o")), lambda p: p["k"].isNotNull()), lambda p: p["o"])
-    owned = F.filter(owners, lambda o: o.isNotNull())
-    best = F.get(owned, F.lit(0))
-    others = F.array_sort(F.array_except(F.array_distinct(owned), F.array(best)))
-    outcome = F.when(best.isNull(), "new").when(F.size(others) > 0, "ambiguous").otherwise("existing")
-    alone = walked.filter("root IS NULL").select("tuple", F.coalesce(best, F.col("new_id")).alias("sender_id"), outcome.alias("outcome"), F.when(best.isNull(), F.array().cast("array<string>")).otherwise(others).alias("also_matched"))
-    grouped = walked.filter("root IS NOT NULL").select("root", "tuple", "first_ord", *named, "new_id", known.alias("known"))
-    decided = cut(alone.unionByName(grouped.groupBy("root").applyInPandas(walk, WALKED)))
+    decided = cut(decide(walked))
 
     # Later tuples of a family: the stored owner of their list or key, else the sender of the family's first tuple.
     by_lead = decided.select(F.col("tuple").alias("__lead"), F.col("sender_id").alias("__sender"))

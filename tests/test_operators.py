@@ -99,6 +99,25 @@ def test_resolution_equals_sequence(spark):
     assert len(set(names.values())) == len(names)
 
 
+def test_one_large_component_is_no_group(spark, monkeypatch):
+    """Shared lists and platform addresses tie everything together; no task may be handed the whole of it."""
+    from pyspark.sql.group import GroupedData
+
+    def refuse(*_):
+        raise AssertionError("a component in one Python group")
+
+    monkeypatch.setattr(GroupedData, "applyInPandas", refuse)
+    r = random.Random(11)
+    rows = [(str(i), i, r.choice([None, "l1", "l2", "l3"]), r.choice(["a@b.example", "c@b.example", f"bounce-{i % 9}@b.example", f"d{r.randint(1, 20)}@b.example"])) for i in range(200)]
+    stored = [("S", "from_address", "d3@b.example"), ("T", "list_id", "l3")]
+    mail = spark.createDataFrame(rows, "id string, ord long, list_id string, from_address string")
+    got = {x.id: x.sender_id for x in resolve.resolve_senders(mail, spark.createDataFrame(stored, "sender_id string, kind string, value string")).collect()}
+    names: dict = {}
+    for mid, sender in sequential(rows, stored).items():
+        assert (got[mid] == sender) if sender in "ST" else names.setdefault(sender, got[mid]) == got[mid], mid
+    assert len(set(names.values())) == len(names)
+
+
 def eml(uid, extra="", sender="n", folder="INBOX", body="hi", mid=None):
     head = f"From: {sender} <{sender}@x.example>\r\nMessage-ID: <{mid or uid}@x>\r\n{extra}\r\n"
     return (folder, 42, uid, f"2026-08-{uid % 28 + 1:02d} 00:00:00", head + body)
