@@ -132,9 +132,9 @@ def difference_hash(image: np.ndarray) -> str:
 
 
 def npy_tile(image: np.ndarray, side: int = 16) -> bytes:
-    """The image resized to side x side 8-bit samples, as an NPY file."""
+    """The image resized to side x side samples of its own type (8 bits, or 16 where it has them), as an NPY file."""
     out = io.BytesIO()
-    np.save(out, np.clip(np.rint(area_resize(image, side, side)), 0, 255).astype(np.uint8))
+    np.save(out, np.clip(np.rint(area_resize(image, side, side)), 0, np.iinfo(image.dtype).max).astype(image.dtype))
     return out.getvalue()
 
 

@@ -204,6 +204,14 @@ def test_area_resize():
     assert np.allclose(media.area_resize(image, 8, 9), want)
 
 
+def test_tiles_keep_16_bits():
+    image = np.arange(256, dtype=np.uint16).reshape(16, 16) * 257
+    raw = b"P5 16 16 65535\n" + image.astype(">u2").tobytes()
+    tile = np.load(io.BytesIO(media.npy_tile(media.decode(raw))))
+    assert tile.dtype == np.uint16 and (tile == image).all()
+    assert np.load(io.BytesIO(media.npy_tile(image.astype(np.uint8)))).dtype == np.uint8
+
+
 def test_media_documents(spark):
     docs = edge_docs(spark)
     got = media.read_stored(media.store_texts(docs)).collect()
