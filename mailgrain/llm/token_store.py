@@ -8,7 +8,7 @@ A store is a folder of Parquet rows, each a shard: first the position columns, t
 (``Shard.to_bytes``). Spark's committers write them, so a lost executor leaves no half-written shard.
 
 Defined results: a null or empty text holds the end id only; repeated doc_ids stay repeated rows, next to each other,
-ordered by text; null doc_ids come first; an empty table gives no rows; other columns are not read.
+ordered by a hash of the text and the text, which also parts a hot doc_id among tasks; null doc_ids come first; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -119,7 +119,7 @@ class Shard:
 def write_token_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, shard_tokens: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every text, append ``end_id``, and write shards in ascending doc_id order.
 
-    Range partitions by doc_id, sorted inside: one shuffle of the texts. A task holds one shard at a time;
+    Range partitions by doc_id and text hash, sorted inside: one shuffle of the texts. A task holds one shard at a time;
     a shard is closed at ``shard_tokens``, after a whole document.
     """
     end = np.array([end_id], "<u4").tobytes()
@@ -144,7 +144,8 @@ def write_token_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
         if ids:
             yield image()
 
-    ordered = doc_texts(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    order = (F.col("doc_id"), F.xxhash64("text"))
+    ordered = doc_texts(docs, id_col, text_col).repartitionByRange(*order).sortWithinPartitions(*order, "text")
     ordered.mapInArrow(shards, STORE).write.option("compression", "zstd").parquet(path)
 
 

@@ -32,7 +32,6 @@ def edge_docs(spark):
 @pytest.fixture(scope="module")
 def library():
     t = Tokenizer.from_file(BPE)
-    t.encode_special_tokens = True
     return t
 
 
@@ -41,7 +40,8 @@ def ids_of(library, text, end):
 
 
 def test_bpe_equals_library(library):
-    enc, sample = Encoder(BPE, max_entries=200), texts(4000) + ["<|endoftext|> x", "a" * 3000, "word " * 500]
+    added = [f"{a}<|endoftext|>{b}" for a in ("", "a", "a ", "a. ", "\n", "<|endoftext|>") for b in ("", " b", "b", "\nb", "<|", "|>")]
+    enc, sample = Encoder(BPE, max_bytes=20_000), texts(4000) + added + ["<|endoftext", "a" * 3000, "word " * 500, "one, two; naïve don't x2 y\nz"]
     for start in range(0, len(sample), 100):
         part = sample[start : start + 100]
         got = [np.frombuffer(x, "<u4").tolist() for x in enc.encode_batch(part)]
