@@ -5,12 +5,13 @@ hashed to 32 bits, so that a long clean text hardly ever meets a weight by accid
 coordinate and an L1 penalty, which leaves few weights; these alone go to the executors (12 bytes for each coordinate of the
 bounded sample that keeps a weight). Scoring is one pass over the texts with no shuffle.
 
-Training takes at most ``max_rows`` labelled rows, those with the smallest hashes of doc_id; that bound, and that the
-rows' features go to the driver, is the only place where rows are left out.
+Training takes at most ``max_rows`` labelled rows, those with the smallest hashes, and ``max_features`` coordinates; that
+bound is the only place where rows are left out. What reaches the driver is below it, however often a doc_id is repeated.
 
 Defined results: null and empty texts have no features and score as the bias alone; rows whose label or doc_id is null
-don't train; a doc_id labelled twice counts by its highest label; with no training rows every score is 0; repeated rows
-score alike; an empty table gives no rows; other columns are never inputs.
+don't train; a doc_id labelled twice counts by its highest label; rows of equal doc_id and text train once; with no
+training rows every score is 0; repeated rows score alike; an empty table gives no rows; other columns are never inputs, and
+``drop_toxic`` returns them as they are.
 """
 
 from __future__ import annotations
@@ -20,12 +21,13 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import doc_texts, table
+from .common import doc_texts, table, written
 
 FOLDS = 5
+ALPHA, L1, EPOCHS = 1.0, 10.0, 5
 _EDGES = string.punctuation + "¡¿«»“”„‘’…–—"
 _words: dict[str, int] = {}
 
@@ -57,10 +59,10 @@ def feature_hashes(text: str) -> np.ndarray:
     return (np.concatenate(mixed) >> np.uint64(32)).astype(np.uint32)
 
 
-def ftrl_fit(rows: list[np.ndarray], labels: list[int], alpha: float = 1.0, beta: float = 1.0, l1: float = 10.0, l2: float = 0.5, epochs: int = 5) -> tuple[np.ndarray, np.ndarray, float]:
+def ftrl_fit(rows: list[np.ndarray], labels: list[int], alpha: float = ALPHA, beta: float = 1.0, l1: float = L1, l2: float = 0.5, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
     """Sparse weights (coordinates, values) and bias of presence features, by FTRL-proximal; the bias has no penalty."""
-    known, index = np.unique(np.concatenate(rows), return_inverse=True)
-    rows = np.split(index, np.cumsum([len(x) for x in rows])[:-1])
+    known = np.unique(np.concatenate(rows))
+    rows = [np.searchsorted(known, x).astype(np.int32) for x in rows]
     n, z, bias_n, bias_z = np.zeros(len(known)), np.zeros(len(known)), 0.0, 0.0
 
     def weights(zi, ni):
@@ -83,23 +85,44 @@ def ftrl_fit(rows: list[np.ndarray], labels: list[int], alpha: float = 1.0, beta
     return known[at], w[at], float(-bias_z * alpha / (beta + np.sqrt(bias_n)))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000, target: str = "toxic"):
-    """Sparse weights from the labelled rows outside the held-out fold; None without any."""
+def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int, max_features: int, target: str = "toxic") -> DataFrame:
+    """(doc_id, fp, y, x) of the sample that trains: a row for each different text of a labelled doc_id outside the held-out fold.
+
+    Labelled ids, then their rows, are taken in the order of their hashes, up to ``max_rows`` of either, and up to ``max_features``
+    coordinates in all. The last choice needs only the rows' sizes, at most ``max_rows`` of them.
+    """
     known = labels.filter(F.col(target).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(target).cast("int").alias("y"))
     chosen = known.filter(F.crc32(F.col("doc_id").cast("string")) % FOLDS != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
 
     def features(batches):
         for b in batches:
             x = [np.unique(feature_hashes(t)).view(np.int32) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(x, pa.list_(pa.int32()))], names=["doc_id", "y", "x"])
-
-    sample = doc_texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text").mapInArrow(features, "doc_id long, y int, x array<int>")
-    got = sample.toArrow().sort_by("doc_id")
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("fp"), b.column("y"), pa.array([len(v) for v in x], pa.int64()), pa.array(x, pa.list_(pa.int32()))], names=["doc_id", "fp", "y", "size", "x"])
+
+    # A doc_id may have very many rows: equal ones are one, and of different ones the first by hash are taken.
+    different = doc_texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", F.xxhash64("text").alias("fp"), "y", "text").dropDuplicates(["doc_id", "fp"])
+    rows = written(different.mapInArrow(features, "doc_id long, fp long, y int, size long, x array<int>"))
+    place = (F.xxhash64("doc_id", "fp"), F.col("doc_id"), F.col("fp"))
+    first = rows.select("doc_id", "fp", "size").orderBy(*place).limit(max_rows)
+    upto = F.sum("size").over(Window.orderBy(*place).rowsBetween(Window.unboundedPreceding, 0))
+    fits = first.withColumn("upto", upto).filter(F.col("upto") <= max_features).select("doc_id", "fp")
+    return rows.join(F.broadcast(fits), ["doc_id", "fp"], "left_semi").select("doc_id", "fp", "y", "x")
+
+
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000, max_features: int = 12_000_000, target: str = "toxic"):
+    """Sparse weights from the labelled rows outside the held-out fold; None without any.
+
+    A coordinate's sum of gradients is at most one a row and epoch, so one that is in no more than L1 / EPOCHS rows never
+    passes the penalty: Spark counts the rows of each coordinate, and only the others go to the driver, with the same weights.
+    """
+    rows = training_rows(docs, labels, max_rows, max_features, target)
+    each = rows.select("doc_id", "fp", F.explode("x").alias("x"))
+    common = each.groupBy("x").agg(F.count("*").alias("n")).filter(F.col("n") > L1 / EPOCHS).select("x")
+    kept = written(each.join(common, "x").groupBy("doc_id", "fp").agg(F.collect_list("x").alias("x")))
+    got = rows.select("doc_id", "fp", "y").join(kept, ["doc_id", "fp"], "left").select("doc_id", "fp", "y", F.sort_array(F.coalesce("x", F.array().cast("array<int>"))).alias("x")).toArrow().sort_by([("doc_id", "ascending"), ("fp", "ascending")])
     if not got.num_rows:
         return None
-    flat = got["x"].combine_chunks()
-    values, at = flat.flatten().to_numpy().view(np.uint32), flat.offsets.to_numpy()
-    return ftrl_fit([values[a - at[0] : b - at[0]] for a, b in zip(at[:-1], at[1:], strict=True)], got["y"].to_pylist())
+    return ftrl_fit([v.values.to_numpy().view(np.uint32) for v in got["x"]], got["y"].to_pylist())
 
 
 def scorer(model):

@@ -45,6 +45,46 @@ def test_toxicity_learns_and_keeps_folds(spark):
     assert sorted(r.doc_id for r in toxicity.drop_toxic(docs, model).collect()) == [i for i, _, y in rows if not y]
 
 
+def plain_ftrl(rows, labels, alpha=1.0, beta=1.0, l1=10.0, l2=0.5, epochs=5):
+    """FTRL-proximal with a dictionary, coordinate by coordinate, over all coordinates."""
+    n, z = Counter(), Counter()
+
+    def weight(i):
+        lazy = 0.0 if i == "bias" else l1
+        if i == "bias":
+            return -z[i] * alpha / (beta + math.sqrt(n[i]))
+        return 0.0 if abs(z[i]) <= lazy else -(z[i] - math.copysign(lazy, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    order = np.random.default_rng(7)
+    for _ in range(epochs):
+        for k in order.permutation(len(rows)):
+            w = {i: weight(i) for i in [*rows[k], "bias"]}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - labels[k]
+            for i, v in w.items():
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * v
+                n[i] += g * g
+    return {i: weight(i) for i in n if weight(i)}
+
+
+def test_toxicity_weights_equal_plain_ftrl(spark):
+    """Repeated rows, and rows of one doc_id with many texts, on the way through Spark."""
+    rows = toxic_rows(260)
+    rows += [rows[6]] * 50 + [(7, f"seven {i}", 0) for i in range(30)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows[:260]], "doc_id long, toxic int")
+    at, values, bias = toxicity.train(docs, labels)
+    from pyspark.sql import functions as F
+
+    fp = {(r.doc_id, r.text): r.fp for r in docs.select("doc_id", "text", F.xxhash64("text").alias("fp")).collect()}
+    used = sorted({(i, fp[i, t], t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 5})
+    want = plain_ftrl([set(toxicity.feature_hashes(t).tolist()) for *_, t, _ in used], [y for *_, y in used])
+    assert bias == pytest.approx(want.pop("bias")) and set(at.tolist()) == set(want) and len(want) > 1
+    assert values.tolist() == pytest.approx([want[i] for i in at.tolist()])
+    assert toxicity.training_rows(docs, labels, 20, 10**6).count() == 20
+    sizes = [len(r.x) for r in toxicity.training_rows(docs, labels, 1000, 500).collect()]
+    assert 0 < sum(sizes) <= 500
+
+
 def test_toxicity_edges(spark):
     docs, labels = edge_docs(spark), spark.createDataFrame([(3, 1), (3, None), (None, 1), (5, 0)], "doc_id long, toxic int")
     for model in (toxicity.train(docs, labels), toxicity.train(docs, labels.limit(0))):
