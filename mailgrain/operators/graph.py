@@ -10,21 +10,23 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in spark.checkpoint.dir; a folder of our own only where the session names none, as in tests."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    """Checkpoint in spark.checkpoint.dir; a folder of our own only where the session names none and its master is local, as in tests."""
+    spark, context = df.sparkSession, df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+        context.setCheckpointDir(base or "file://" + tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
 
-def components(edges: DataFrame, max_rounds: int = 60, cut: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 200, cut: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
     """(a, b) edges → (node, root), the smallest node of each component. Nodes without an edge have no row.
 
     Large star: each node's larger neighbours go to the smallest of it and its neighbours; small star: each node and its smaller
     neighbours go to the smallest of these; in turn, until no edge changes. ``cut`` ends the lineage of each round. A hot node's edges
-    are only aggregated (min) and joined on, never listed in one task.
+    are only aggregated (min) and joined on, never listed in one task. Rounds grow with the logarithm of the longest path;
+    should ``max_rounds`` not do, that is an error, never an unfinished result.
     """
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     before = None
@@ -39,4 +41,7 @@ def components(edges: DataFrame, max_rounds: int = 60, cut: Callable[[DataFrame]
         if mark == before:
             break
         before = mark
+    else:
+        if before is not None:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v")).distinct()
