@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """A new path under the folder that the whole cluster shares (spark.checkpoint.dir).
 
-    Only where the session names none, as in tests, a folder of our own is made and set.
+    Only where the session names none and its master is local, as in tests, a folder of our own is made and set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         context = spark.sparkContext
         if context.getCheckpointDir() is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
             context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
         base = context.getCheckpointDir()
     return f"{base.rstrip('/')}/mailgrain-{uuid.uuid4().hex}"
@@ -30,6 +32,17 @@ def written(df: DataFrame, path: str | None = None, compression: str = "zstd") -
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names for the time of a job that clash with none of ``df``'s, upper and lower case being one."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+        taken.add(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_texts, table, written
+from .common import doc_texts, free_names, table, written
 
 BLANKS = b" \t\n\r\x0b\x0c"
 GATHERED = "doc_id long, local long, head boolean, copies long, n_bytes long, content_hash long, text binary"
@@ -196,8 +196,8 @@ def exact_groups(docs: DataFrame, gather_bytes: int = 64 << 20, trie_bytes: int
 
     def own(batches):
         def merge(old, new):
-            best = min(old[0], new[0])
-            return best, old[1] + new[1], old[2] + new[2], old[3]
+            old[2].extend(new[2])
+            return min(old[0], new[0]), old[1] + new[1], old[2], old[3]
 
         trie = PatriciaTrie(merge, trie_bytes)
         for batch in batches:
@@ -223,18 +223,22 @@ def exact_groups(docs: DataFrame, gather_bytes: int = 64 << 20, trie_bytes: int
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of equal texts, all columns as they were.
+    """``docs`` with one row of each group of equal texts, all columns as they were: that with the smallest doc_id, then the smallest raw text.
 
-    Joined on doc_id and content hash; equal rows with equal doc_ids meet in the same partition, so dropping them costs no further shuffle.
+    Of rows equal in both any one stays. Joined on doc_id and content hash; equal rows with equal doc_ids meet in the same partition,
+    so choosing among them costs no further shuffle.
     """
+    key, row = free_names(docs, "key", "row")
 
-    def key(doc_id, sha):
+    def joined(doc_id, sha):
         return F.concat_ws(":", F.coalesce(doc_id.cast("long").cast("string"), F.lit("null")), sha)
 
-    text = F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), r"[ \t-\r]+", " ")
-    stay = exact_groups(docs, id_col=id_col, text_col=text_col).filter("kept").select(key(F.col("doc_id"), F.col("text_sha256")).alias("__key"))
-    marked = docs.withColumn("__key", key(F.col(id_col), F.sha2(text.cast("binary"), 256)))
-    return marked.join(stay, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    raw = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text = F.regexp_replace(raw, r"[ \t-\r]+", " ")
+    stay = exact_groups(docs, id_col=id_col, text_col=text_col).filter("kept").select(joined(F.col("doc_id"), F.col("text_sha256")).alias(key))
+    marked = docs.withColumn(key, joined(F.col(id_col), F.sha2(text.cast("binary"), 256)))
+    one = marked.join(stay, key, "left_semi").groupBy(key).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), raw).alias(row))
+    return one.select(f"{row}.*")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

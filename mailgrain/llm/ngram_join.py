@@ -1,19 +1,24 @@
 """Jaccard similarity self-join of texts on word shingles: MinHash LSH forest, then exact verification.
 
-1. Each text becomes a set of 32-bit shingle fingerprints (five words each) and a MinHash signature, cut into trees.
-   A tree is the set of signature slices in prefix order; two texts meet in it where they share a prefix. The prefix is
-   shortened from ``max_depth`` until a pair at the threshold is found with at least the target recall over all trees.
+1. Each text becomes a set of 32-bit shingle fingerprints (five words each) and, for each tree, a label of ``max_depth`` MinHash values.
+   A tree is the sorted labels, that is a prefix trie; two texts meet in it at the length of their common prefix. No pair needs a
+   shorter prefix than the floor, at which one at the threshold meets in some tree with probability ``recall``.
 2. Texts with equal sets are copies: one stands for all, with their number.
-3. Texts that meet in any tree are linked to the smallest of their bucket, and the connected components of these links
-   are the candidate groups, so each set travels once, however many trees it matched in.
-4. Within a group all pairs are compared exactly, in blocks: a group of g texts is dealt to blocks of ``block`` texts, and
-   each pair of blocks is one task's unit. Only link counts and a spanning forest leave it, never pairs.
-5. Classes are the connected components of the verified links.
+3. Spark groups what meets at the floor: texts of one floor prefix are linked to the smallest of them, and the connected
+   components of these links are the candidate groups, so each set travels once, however many subtries it lies in.
+4. A group's labels are sorted, and its pairs compared exactly by falling length of their common prefix, only those that share
+   one. The prefix is shortened until the links still missing, estimated from the similarities of those found (a link of
+   similarity s is met at depth d with probability 1 - (1 - s^d)^trees), are below ``missed`` of them, or the floor is reached.
+5. A group over ``block`` texts or ``block_bytes`` is compared in blocks. Before, the sets near its centre (the shingles that most of
+   one block hold) are taken out: sets within half the allowed distance of one centre are linked by the triangle inequality,
+   so near copies of one text, however many, travel twice and are never compared with each other. Only the other texts
+   of the group, n of them, meet each block: n x (group / block) rows, which for a group that is no such ball is quadratic.
+6. Classes are the connected components of the verified links. Only link counts and forests leave a task, never pairs.
 
 Words are split at blanks, in lower case, without punctuation at their ends. Defined results: a text with one to four
 words is one shingle; a text without words (null, empty, punctuation only) is compared as a whole, so null and empty
 texts form one class; repeated rows count as links of each other; class_id is the smallest doc_id of the class, null only if
-all are; an empty table gives no rows; other columns are not read.
+all are; an empty table gives no rows; other columns are not read, and ``drop_near_copies`` returns them as they are.
 """
 
 from __future__ import annotations
@@ -29,19 +34,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import table, written
+from .common import free_names, table, written
 from .toxicity import word_hashes
 
 SHINGLE = 5
 TREES = 32
 THRESHOLD = 0.8
-ROWS = "doc_id long, fp long, local long, head boolean, copies long, same binary, keys array<long>, shingles binary"
+MAX_DEPTH = 8
+ROWS = "doc_id long, fp long, local long, head boolean, size int, same binary, keys array<long>, deeper binary, shingles binary"
 
 
-def prefix_depth(threshold: float = THRESHOLD, trees: int = TREES, max_depth: int = 12, recall: float = 0.9999) -> int:
+def meeting(similarity, depth: int, trees: int = TREES):
+    """Chance that a pair shares a prefix of ``depth`` in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
+def floor_depth(threshold: float = THRESHOLD, trees: int = TREES, max_depth: int = MAX_DEPTH, recall: float = 0.9999) -> int:
     """The longest prefix at which a pair at the threshold still meets in some tree with the target recall."""
     for depth in range(max_depth, 0, -1):
-        if 1 - (1 - threshold**depth) ** trees >= recall:
+        if meeting(threshold, depth, trees) >= recall:
             return depth
     raise ValueError("more trees are needed for this recall")
 
@@ -60,32 +71,62 @@ def shingles(text: str) -> np.ndarray:
 
 
 class Forest:
-    """Prefix keys of a set in each tree."""
+    """Labels of a set in each tree: a hash of the floor prefix, and the values after it."""
 
-    def __init__(self, trees: int, depth: int):
+    def __init__(self, trees: int, floor: int, depth: int):
         rng = np.random.default_rng(11)
-        self.trees, self.depth = trees, depth
-        self.mul = rng.integers(1, 2**63, (trees * depth, 1), np.uint64) * np.uint64(2) + np.uint64(1)
-        self.add = rng.integers(0, 2**63, (trees * depth, 1), np.uint64)
-
-    def keys(self, sets: np.ndarray) -> list[int]:
-        low = np.full(self.trees * self.depth, 2**32 - 1, np.uint64)
-        for a in range(0, len(sets), 512):
-            low = np.minimum(low, ((sets[None, a : a + 512].astype(np.uint64) * self.mul + self.add) >> np.uint64(32)).min(1))
+        self.trees, self.floor, self.depth = trees, floor, depth
+        self.mul = rng.integers(1, 2**31, (trees * depth, 1), np.uint32) * np.uint32(2) + np.uint32(1)
+        self.add = rng.integers(0, 2**32, (trees * depth, 1), np.uint32)
+
+    def labels(self, sets: np.ndarray) -> tuple[list[int], bytes]:
+        low = np.full(self.trees * self.depth, 2**32 - 1, np.uint32)
+        for a in range(0, len(sets), 1024):
+            low = np.minimum(low, (sets[None, a : a + 1024] * self.mul + self.add).min(1))
         slices = low.astype("<u4").reshape(self.trees, self.depth)
-        return [xxhash.xxh64_intdigest(slices[t].tobytes(), t) - 2**63 for t in range(self.trees)]
+        keys = [xxhash.xxh64_intdigest(slices[t, : self.floor].tobytes(), t) - 2**63 for t in range(self.trees)]
+        return keys, slices[:, self.floor :].astype("<u2").tobytes()
+
+
+def common_prefixes(keys: np.ndarray, deeper: np.ndarray, floor: int) -> np.ndarray:
+    """Longest common prefix of each pair over all trees, 0 below the floor: from the sorted labels, (text x tree) and (text x tree x level)."""
+    n, trees = keys.shape
+    tree, row = np.repeat(np.arange(trees), n), np.tile(np.arange(n), trees)
+    levels = [deeper[:, :, k].T.ravel() for k in range(deeper.shape[2])]
+    order = np.lexsort((*levels[::-1], keys.T.ravel(), tree))
+    row, same = row[order], np.ones(n * trees - 1, bool)
+    out = np.zeros((n, n), np.int8)
+    for depth, label in enumerate((tree, keys.T.ravel(), *levels), floor - 1):
+        label = label[order]
+        same = same & (label[1:] == label[:-1])
+        if depth < floor:
+            continue
+        subtrie = np.concatenate([[0], np.cumsum(~same)])
+        for k in range(1, n):
+            hit = subtrie[k:] == subtrie[:-k]
+            if not hit.any():
+                break
+            a, b = row[:-k][hit], row[k:][hit]
+            out[a, b] = out[b, a] = depth
+    return out
 
 
-def link_block(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
+def link_block(frame: pd.DataFrame, threshold: float, floor: int, missed: float = 1e-5) -> pd.DataFrame:
     """Counts and forest of the links within one block, or between two: rows (rep, links, parent)."""
-    own = frame["own"].to_numpy()
+    own, first = frame["own"].to_numpy(), frame["first"].to_numpy()
     sets = [np.frombuffer(b, "<u4") for b in frame["shingles"]]
     sizes = np.array([len(s) for s in sets])
-    first = frame["first"].to_numpy()
+    keys = np.stack([np.asarray(k) for k in frame["keys"]])
+    n, trees = keys.shape
+    deeper = np.stack([np.frombuffer(b, "<u2").reshape(trees, -1) for b in frame["deeper"]])
+    depths = common_prefixes(keys, deeper, floor)
+    wanted = np.triu(own[:, None] & own, 1) | (first[:, None] & ~first & ~own)
+    wanted &= np.minimum(sizes[:, None], sizes) >= threshold * np.maximum(sizes[:, None], sizes) - 1e-9
+    depths[~wanted] = 0
     flat, at = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.concatenate([[0], np.cumsum(sizes)])
     mask, reps, copies = np.zeros(len(flat), bool), frame["rep"].to_numpy(), frame["copies"].to_numpy()
-    links, parent = np.zeros(len(reps), np.int64), np.arange(len(reps))
+    links, parent, expected, found = np.zeros(n, np.int64), np.arange(n), 0.0, []
 
     def find(x):
         while parent[x] != x:
@@ -93,31 +134,43 @@ def link_block(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
             x = parent[x]
         return x
 
-    for i in range(len(reps)):
-        if own[i]:
-            others = np.arange(i + 1, len(reps))  # one block with itself
-        elif first[i]:
-            others = np.flatnonzero(~first)
-        else:
-            continue
-        others = others[np.minimum(sizes[others], sizes[i]) >= threshold * np.maximum(sizes[others], sizes[i]) - 1e-9]
-        if not len(others):
-            continue
-        mask[at[starts[i] : starts[i + 1]]] = True
-        hit = np.concatenate([[0], np.cumsum(mask[at])])
-        both = hit[starts[others + 1]] - hit[starts[others]]
-        mask[at[starts[i] : starts[i + 1]]] = False
-        near = others[both >= threshold * (sizes[others] + sizes[i] - both) - 1e-9]
-        links[i] += copies[near].sum()
-        links[near] += copies[i]
-        for j in near:
-            a, b = find(i), find(j)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-    out = pd.DataFrame({"rep": reps, "links": links, "parent": reps[[find(i) for i in range(len(reps))]]})
+    for depth in range(floor + deeper.shape[2], floor - 1, -1):
+        for i in np.flatnonzero((depths == depth).any(1)).tolist():
+            others = np.flatnonzero(depths[i] == depth)
+            mask[at[starts[i] : starts[i + 1]]] = True
+            both = np.array([np.count_nonzero(mask[at[starts[j] : starts[j + 1]]]) for j in others.tolist()])
+            mask[at[starts[i] : starts[i + 1]]] = False
+            union = sizes[others] + sizes[i] - both
+            good = both >= threshold * union - 1e-9
+            near = others[good]
+            found.append(both[good] / union[good])
+            links[i] += copies[near].sum()
+            links[near] += copies[i]
+            for j in near.tolist():
+                a, b = find(i), find(j)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+        met = meeting(np.concatenate([*found, [threshold]]), depth, trees)  # one more at the threshold, for what none was found of
+        expected = float(((1 - met) / met).sum())
+        if expected <= missed * (len(met) - 1):
+            break
+    out = pd.DataFrame({"rep": reps, "links": links, "parent": reps[[find(i) for i in range(n)]]})
     return out[out["links"] > 0]
 
 
+def centre(frame: pd.DataFrame) -> pd.DataFrame:
+    """The shingles that more than half of a block's sets hold."""
+    values, n = np.unique(np.concatenate([np.frombuffer(b, "<u4") for b in frame["shingles"]]), return_counts=True)
+    return pd.DataFrame({"root": [frame["root"].iloc[0]], "middle": [values[n > len(frame) / 2].astype("<u4").tobytes()]})
+
+
+def is_near(sets: bytes, middle: bytes, threshold: float) -> bool:
+    """Within half the distance that a link may have."""
+    a, b = np.frombuffer(sets, "<u4"), np.frombuffer(middle, "<u4")
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= (1 + threshold) / 2 * (len(a) + len(b) - both) - 1e-9
+
+
 def only(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """``rows`` whose ``local`` is in ``wanted``, without shuffling them.
 
@@ -140,26 +193,66 @@ def only(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return marked.filter(hit).drop("part", "words", "word", "k")
 
 
-def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, recall: float = 0.9999, block: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deal_blocks(groups: DataFrame, rows: DataFrame, reps: DataFrame, threshold: float, block: int, block_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(root, rep, near, mine, others, whole): the block of each text of a group and those it meets; and the links inside balls."""
+    size = only(rows.select("local", "size"), groups.select(F.col("node").alias("local")))
+    of_root = groups.join(size, F.col("node") == F.col("local")).groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("words") * 4 / block_bytes)).cast("int")
+    sizes = written(of_root.select("root", blocks.alias("blocks")))
+    part = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    members = groups.select("root", F.col("node").alias("rep"))
+    zero = F.lit(0)
+    whole = members.join(sizes.filter("blocks = 1"), "root").select("root", "rep", F.lit(False).alias("near"), zero.alias("mine"), F.array(zero).alias("others"), F.lit(True).alias("whole"))
+    large = sizes.filter("blocks > 1")
+    none = whole.select("rep", F.lit(0).cast("long").alias("links"), F.col("rep").alias("parent"), "whole").limit(0)
+    if large.isEmpty():
+        return whole, none
+
+    def nearness(batches):
+        for b in batches:
+            near = [is_near(s, m, threshold) for s, m in zip(b.column("shingles").to_pylist(), b.column("middle").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("root"), b.column("rep"), pa.array(near)], names=["root", "rep", "near"])
+
+    dealt = written(members.join(large, "root").withColumn("mine", part(F.col("blocks"))))
+    sets = only(rows.select("local", "shingles"), dealt.select(F.col("rep").alias("local"))).withColumnRenamed("local", "rep")
+    placed = dealt.select("root", "rep", "mine").join(sets, "rep")
+    middles = placed.filter("mine = 0").groupBy("root").applyInPandas(centre, "root long, middle binary")
+    # A row for each block: the group's number alone would be a hot key.
+    middles = middles.join(large, "root").select("root", "middle", F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("mine"))
+    near = written(placed.join(middles, ["root", "mine"]).select("root", "rep", "shingles", "middle").mapInArrow(nearness, "root long, rep long, near boolean"))
+    ball = near.filter("near").join(reps.select("rep", "copies"), "rep")
+    inside = ball.groupBy("root").agg(F.sum("copies").alias("all"), F.min("rep").alias("parent"))
+    links = ball.join(inside, "root").select("rep", (F.col("all") - F.col("copies")).alias("links"), "parent", F.lit(False).alias("whole"))
+    count = near.groupBy("root").agg(F.count_if("near").alias("n_near"), F.count_if(~F.col("near")).alias("n_far")).join(large, "root").join(of_root.select("root", "n"), "root")
+    share = lambda c: F.ceil(F.col("blocks") * F.col(c) / F.col("n")).cast("int")
+    count = count.select("root", share("n_far").alias("far_blocks"), share("n_near").alias("near_blocks")).filter("far_blocks > 0")
+    placed = near.join(count, "root").withColumn("mine", F.when(F.col("near"), F.col("far_blocks") + part(F.greatest("near_blocks", F.lit(1)))).otherwise(part(F.col("far_blocks"))))
+    last = F.col("far_blocks") + F.when(F.col("near"), 0).otherwise(F.col("near_blocks")) - 1
+    split = placed.select("root", "rep", "near", "mine", F.sequence(zero, last).alias("others"), F.lit(False).alias("whole"))
+    return whole.unionByName(split), links
+
+
+def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, recall: float = 0.9999, block: int = 1024, block_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, class_id, n_links, kept (the first row of its class), fp (xxhash64 of its text)."""
-    depth = prefix_depth(threshold, trees, recall=recall)
+    floor = floor_depth(threshold, trees, recall=recall)
 
     def sketch(batches):
-        forest, base, made = Forest(trees, depth), TaskContext.get().partitionId() << 40, 0
+        forest, base, made = Forest(trees, floor, MAX_DEPTH), TaskContext.get().partitionId() << 40, 0
         seen: dict[bytes, int] = {}
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
         for b in batches:
-            cols: list[list] = [[] for _ in range(8)]
+            cols: list[list] = [[] for _ in kinds]
             for doc_id, fp, text in zip(b.column("doc_id").to_pylist(), b.column("fp").to_pylist(), b.column("text").to_pylist(), strict=True):
                 s = shingles(text)
                 same = xxhash.xxh3_128_digest(s.tobytes())
                 local = seen.get(same)
-                head = local is None
-                if head:
+                head = (None,) * 3
+                if local is None:
                     local = seen[same] = base + made
                     made += 1
-                for c, v in zip(cols, (doc_id, fp, local, head, 1, same, forest.keys(s) if head else None, s.astype("<u4").tobytes() if head else None), strict=True):
+                    head = (*forest.labels(s), s.astype("<u4").tobytes())
+                for c, v in zip(cols, (doc_id, fp, local, head[0] is not None, len(s), same, *head), strict=True):
                     c.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[f.split()[0] for f in ROWS.split(", ")])
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -172,31 +265,30 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, trees: int
     of_local = written(local.select("local", "same").join(reps, "same").select("local", "rep", "copies", "first"))
     reps = of_local.filter("local = rep").select("rep", "copies", "first")
 
-    # Candidates: texts that share a prefix in a tree are linked to the smallest of them.
-    heads = rows.filter("head").select("local", "keys", "shingles")
+    # Candidate groups: texts that share a floor prefix in a tree are linked to the smallest of them.
+    heads = rows.filter("head")
     own = reps.select(F.col("rep").alias("local"))
     prefixes = only(heads.select("local", "keys"), own).select(F.col("local").alias("rep"), F.explode("keys").alias("key"))
     buckets = prefixes.groupBy("key").agg(F.min("rep").alias("low"), F.count("*").alias("n")).filter("n > 1").select("key", "low")
     edges = prefixes.join(buckets, "key").filter("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
     groups = written(components(edges, cut=written))
 
-    # Verification: blocks of each candidate group against each other.
-    sizes = groups.groupBy("root").agg(F.count("*").alias("size")).select("root", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
-    dealt = groups.join(sizes, "root").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    pairs = dealt.select("root", "blocks", F.col("node").alias("rep"), "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    pairs = pairs.select("root", "rep", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") == F.col("other")).alias("own"), (F.col("mine") < F.col("other")).alias("first"), (F.col("blocks") > 1).alias("split"))
-    sets = only(heads.select("local", "shingles"), groups.select(F.col("node").alias("local")))
+    # Verification: in a group, or blocks of it against each other.
+    dealt, ball = deal_blocks(groups, heads, reps, threshold, block, block_bytes)
+    pairs = dealt.select("root", "rep", "mine", F.explode("others").alias("other"), "whole")
+    pairs = pairs.select("root", "rep", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") == F.col("other")).alias("own"), (F.col("mine") < F.col("other")).alias("first"), "whole")
+    sets = only(heads.select("local", "keys", "deeper", "shingles"), groups.select(F.col("node").alias("local")))
     payload = pairs.join(sets.withColumnRenamed("local", "rep"), "rep").join(reps.select("rep", "copies"), "rep")
 
     def verify(frame: pd.DataFrame) -> pd.DataFrame:
-        return link_block(frame.sort_values("rep", ignore_index=True), threshold).assign(split=bool(frame["split"].iloc[0]))
+        return link_block(frame.sort_values("rep", ignore_index=True), threshold, floor).assign(whole=bool(frame["whole"].iloc[0]))
 
-    linked = written(payload.groupBy("root", "i", "j").applyInPandas(verify, "rep long, links long, parent long, split boolean"))
+    linked = written(payload.groupBy("root", "i", "j").applyInPandas(verify, "rep long, links long, parent long, whole boolean").unionByName(ball))
     counts = linked.groupBy("rep").agg(F.sum("links").alias("links"))
 
     # Classes: a group of one block has its forest already; others join theirs.
-    whole = linked.filter("NOT split").select(F.col("rep").alias("node"), F.col("parent").alias("root"))
-    joined = components(linked.filter("split").select(F.col("rep").alias("a"), F.col("parent").alias("b")), cut=written)
+    whole = linked.filter("whole").select(F.col("rep").alias("node"), F.col("parent").alias("root"))
+    joined = components(linked.filter("NOT whole").select(F.col("rep").alias("a"), F.col("parent").alias("b")), cut=written)
     roots = whole.unionByName(joined)
     classed = reps.join(roots, F.col("rep") == F.col("node"), "left").join(counts, "rep", "left").select("rep", "first", F.coalesce("root", "rep").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     lead = classed.groupBy("root").agg(F.min(F.struct("first", "rep")).alias("lead"))
@@ -208,14 +300,15 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, trees: int
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each class: that with the smallest doc_id."""
+    """``docs`` with one row of each class: that with the smallest doc_id, then the smallest hash of its text; of rows equal in both, any one."""
+    (key,) = free_names(docs, "key")
 
-    def key(doc_id, fp):
+    def joined(doc_id, fp):
         return F.concat_ws(":", F.coalesce(doc_id.cast("long").cast("string"), F.lit("null")), fp)
 
-    stay = similar_documents(docs, id_col=id_col, text_col=text_col).filter("kept").select(key(F.col("doc_id"), F.col("fp")).alias("__key"))
-    marked = docs.withColumn("__key", key(F.col(id_col), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))))
-    return marked.join(stay, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    stay = similar_documents(docs, id_col=id_col, text_col=text_col).filter("kept").select(joined(F.col("doc_id"), F.col("fp")).alias(key))
+    marked = docs.withColumn(key, joined(F.col(id_col), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))))
+    return marked.join(stay, key, "left_semi").dropDuplicates([key]).drop(key)
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import re
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import types as T
 
@@ -42,6 +43,11 @@ def test_exact_edges(spark):
     assert exact_dedup.exact_groups(docs.limit(0)).count() == 0
 
 
+def test_exact_ties(spark):
+    docs = spark.createDataFrame([(1, "b  c", 1), (1, "b c", 2), (1, "b\tc", 3), (2, "b c", 4)], "doc_id long, text string, row int").repartition(3)
+    assert [tuple(r) for r in exact_dedup.drop_exact_copies(docs).collect()] == [(1, "b\tc", 3)]
+
+
 def test_exact_sql(spark, sf):
     got = exact_dedup.op3_exact_dedup(spark, sf).select("doc_id", "group_size", "keep_id", "kept", "text_sha256").collect()
     con = duckdb.connect()
@@ -117,10 +123,61 @@ def test_join_edges(spark):
     assert ngram_join.similar_documents(docs.limit(0)).count() == 0
 
 
-def test_prefix_depth():
-    assert 1 - (1 - 0.8 ** ngram_join.prefix_depth()) ** ngram_join.TREES >= 0.9999
+def test_floor_depth():
+    assert ngram_join.meeting(0.8, ngram_join.floor_depth()) >= 0.9999 > ngram_join.meeting(0.8, ngram_join.floor_depth() + 1)
     with pytest.raises(ValueError):
-        ngram_join.prefix_depth(0.1, trees=2)
+        ngram_join.floor_depth(0.1, trees=2)
+
+
+def test_common_prefixes():
+    """The sorted labels against a comparison of every pair, tree by tree."""
+    rng = np.random.default_rng(3)
+    keys, deeper = rng.integers(0, 4, (30, 5)), rng.integers(0, 2, (30, 5, 2)).astype(np.uint16)
+    keys += np.arange(5) * 100
+    got = ngram_join.common_prefixes(keys, deeper, 6)
+    for i in range(30):
+        for j in range(30):
+            want = max((0 if keys[i, t] != keys[j, t] else 6 if deeper[i, t, 0] != deeper[j, t, 0] else 7 + int(deeper[i, t, 1] == deeper[j, t, 1])) for t in range(5))
+            assert i == j or got[i, j] == want
+
+
+def test_forest_meets_as_often_as_it_should():
+    """Pairs of known similarity against the formula, so that the recall at 0.8 is what the floor promises."""
+    rng, floor, met = np.random.default_rng(5), ngram_join.floor_depth(), 0
+    forest = ngram_join.Forest(ngram_join.TREES, floor, ngram_join.MAX_DEPTH)
+    shares = []
+    for _ in range(300):
+        x = rng.integers(0, 2**32, 100, np.uint32)
+        a, b = x[:90], np.concatenate([x[:80], x[90:]])  # similarity 0.8
+        (ka, da), (kb, db) = forest.labels(a), forest.labels(b)
+        equal = [i for i in range(forest.trees) if ka[i] == kb[i]]
+        shares.append(len(equal) / forest.trees)
+        met += bool(equal)
+    assert met == 300 and np.mean(shares) == pytest.approx(0.8**floor, abs=0.02)
+
+
+def test_large_group_is_taken_by_its_centre(spark):
+    """Near copies of one text need no comparison with each other; strays of the group meet every block."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    base, rows = [word() for _ in range(120)], []
+    for k in range(90):
+        text = list(base)
+        for _ in range(1 if k < 70 else r.randint(2, 6)):
+            text[r.randrange(len(text))] = word()
+        rows.append((k, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = ngram_join.similar_documents(docs, block=16).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == brute(rows)
+    got = ngram_join.similar_documents(docs, block_bytes=5_000).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == brute(rows)
+
+
+def test_clashing_names_stay(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x"), (1, "a b c", "x"), (2, "d e f", "y")], "doc_id long, text string, key string")
+    for drop in (ngram_join.drop_near_copies, exact_dedup.drop_exact_copies):
+        got = drop(docs.withColumnRenamed("key", "Key"))
+        assert got.columns == ["doc_id", "text", "Key"] and sorted(map(tuple, got.collect())) == [(1, "a b c", "x"), (2, "d e f", "y")]
 
 
 def test_components(spark):
@@ -128,6 +185,8 @@ def test_components(spark):
     got = dict(graph.components(chain, cut=written).collect())
     assert set(got.values()) == {0, 300} and len(got) == 104
     assert graph.components(chain.limit(0)).count() == 0
+    with pytest.raises(RuntimeError):
+        graph.components(chain, max_rounds=2, cut=written)
 
 
 def test_schema(spark, sf):
