@@ -24,16 +24,17 @@ def components(edges: DataFrame, max_rounds: int = 200, cut: Callable[[DataFrame
     """(a, b) edges → (node, root), the smallest node of each component. Nodes without an edge have no row.
 
     Large star: each node's larger neighbours go to the smallest of it and its neighbours; small star: each node and its smaller
-    neighbours go to the smallest of these; in turn, until no edge changes. ``cut`` ends the lineage of each round. A hot node's edges
-    are only aggregated (min) and joined on, never listed in one task. Rounds grow with the logarithm of the longest path;
+    neighbours go to the smallest of these; in turn, until no edge changes. ``cut`` ends the lineage of each round. The middle of a
+    star has no smaller neighbour and its edges stay as they are: the large star writes down just the nodes that have larger and smaller
+    neighbours, fewer each round, and Spark broadcasts them under its own threshold, so that a hot node's edges are not shuffled by it. Rounds grow with the logarithm of the longest path;
     should ``max_rounds`` not do, that is an error, never an unfinished result.
     """
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     before = None
     for _ in range(0 if now.isEmpty() else max_rounds):
-        both = now.union(now.select("v", "u")).toDF("n", "x")
-        low = both.groupBy("n").agg(F.least(F.min("x"), F.first("n")).alias("m"))
-        large = both.join(low, "n").filter("x > n").select(F.col("x").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        low = now.groupBy("u").agg(F.min("v").alias("m"))
+        between = cut(now.select(F.col("v").alias("u")).distinct().join(low, "u").select(F.col("u").alias("v"), "m"))
+        large = now.join(between, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         now = cut(moved.filter("u <> v").distinct())
