@@ -38,7 +38,7 @@ def word_hashes(text: str) -> np.ndarray:
     try:
         h = [_words[w] for w in found]
     except KeyError:
-        if len(_words) > 1_000_000:
+        if len(_words) > 500_000:
             _words.clear()
         for w in found:
             if w not in _words:
