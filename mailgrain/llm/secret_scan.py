@@ -3,15 +3,19 @@
 Positions come from split() and regexp_extract_all() on the same pattern: pieces and matches alternate, so running sums
 of their lengths give code point offsets. Only lengths and candidate tokens are shuffled, never texts.
 
-A candidate is a run of at least ``MIN_LENGTH`` encoding characters with letters and digits. Its encoding is inferred (hex,
-base32, alphanumeric, base64, base64url) and three tests ask whether it may be uniformly random over that alphabet:
-chi-squared uniformity, runs above and below the middle, and lag-1 serial correlation; the smallest p, times three, is the
-token's. Within each encoding and length band, the Benjamini-Hochberg step-up at level ``q`` over all candidates of the
-corpus rejects randomness; its threshold is read from a histogram of fixed bins, so no ranking passes one task. What is
-not rejected, and is long enough for its alphabet that prose would have been, is reported as kind ``random``.
+A candidate is a run of at least ``MIN_LENGTH`` encoding characters with letters and digits. Its encoding is inferred (hex, base32,
+base36, alphanumeric, base64, base64url); a run that fits none is cut at its separators, and parts as long are candidates. The battery
+has three tests of randomness over that alphabet: chi-squared uniformity, runs above and below the middle, and lag-1 serial correlation.
+What one of them rejects at ``alpha`` / 3 is not random and is never reported. What is left may still be prose by chance, so each candidate
+also gets a p-value against prose of its length and encoding: how even it is (agreeing pairs of characters, of which chi-squared is a
+function) and how broken (runs of letters of one case, or of digits), both in deviations from prose, added. Within each encoding and
+length band, Benjamini-Hochberg at level ``q`` over all candidates of the corpus chooses those that are reported as kind ``random``,
+so the share of prose among them is what is bounded; short tokens can't reach a small p-value. The threshold is read from a
+histogram of fixed bins (a sixteenth of an octave, p rounded up), so no ranking passes one task.
 
 Defined results: null text counts as empty; a text without secrets has zero counts and empty spans; repeated rows are
-reported alike; null doc_ids stay null; an empty table gives no rows; other columns are not read.
+reported alike; null doc_ids stay null; an empty table gives no rows; other columns are not read, and ``redact_secrets``
+returns them as they are (n_chars, where there is one, follows the text).
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import free_names, table, written
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_WORDS = r"(?i)password|passwd|secret|token|api_?key"
@@ -34,12 +38,18 @@ ENCODINGS = {
     "hex": ("0123456789abcdef", "^[0-9a-f]+$"),
     "HEX": ("0123456789ABCDEF", "^[0-9A-F]+$"),
     "base32": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "^[A-Z2-7]+=*$"),
+    "base36": ("0123456789abcdefghijklmnopqrstuvwxyz", "^[0-9a-z]+$"),
+    "BASE36": ("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "^[0-9A-Z]+$"),
     "alnum": ("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "^[0-9A-Za-z]+=*$"),
     "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "^[0-9A-Za-z+/]+=*$"),
     "base64url": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", "^[0-9A-Za-z_-]+=*$"),
 }
-#: Chance that two letters of prose agree; a uniform alphabet of k has 1/k.
-PROSE_COLLISION = 0.065
+#: What prose, names and numbers look like in an encoding: the chances that two characters, and three, agree, and that one
+#: is of another class (small letter, capital, digit) than the one before it. On the even and broken side of what is common.
+NUMBERS, ONE_CASE, TWO_CASES = (0.10, 0.0105, 0.25), (0.065, 0.0053, 0.20), (0.055, 0.0040, 0.40)
+PROSE = {"hex": NUMBERS, "HEX": NUMBERS, "base32": ONE_CASE, "base36": ONE_CASE, "BASE36": ONE_CASE, "alnum": TWO_CASES, "base64": TWO_CASES, "base64url": TWO_CASES}
+TOGETHER = 2**0.5  # deviation of the sum of two independent deviations
+LEAST_P = 1e-6  # below, the tail's polynomial is not exact
 
 
 def upper_tail(z: Column) -> Column:
@@ -79,62 +89,96 @@ def lengths(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return every.select("rid", "fp", "doc_id", F.explode_outer("all").alias("m")).select("rid", "fp", "doc_id", "m.*")
 
 
-def battery(rows: DataFrame) -> DataFrame:
-    """Adds encoding, band and p to the candidates: the chance that a random token of its alphabet looks this uneven."""
+def of_encoding(values: dict) -> Column:
+    """The value that belongs to the row's encoding."""
+    out = F.lit(None)
+    for name, value in values.items():
+        out = F.when(F.col("encoding") == name, value).otherwise(out)
+    return out
+
+
+def inferred(token: Column) -> Column:
+    """The first encoding that fits a token of letters and digits; null without one."""
     encoding = F.lit(None).cast("string")
     for name, (_, pattern) in reversed(ENCODINGS.items()):
-        encoding = F.when(F.col("token").rlike(pattern), name).otherwise(encoding)
-    mixed = F.col("token").rlike("[0-9]") & F.col("token").rlike("[A-Za-z]")
-    core = F.regexp_replace("token", "=+$", "")
-    rows = rows.withColumn("encoding", F.when(mixed, encoding)).withColumn("core", core)
-    alphabet = F.lit(None).cast("string")
-    for name, (letters, _) in ENCODINGS.items():
-        alphabet = F.when(F.col("encoding") == name, letters).otherwise(alphabet)
-    rows = rows.withColumn("alphabet", alphabet)
+        encoding = F.when(token.rlike(pattern), name).otherwise(encoding)
+    return F.when(token.rlike("[0-9]") & token.rlike("[A-Za-z]"), encoding)
+
+
+def with_encodings(rows: DataFrame) -> DataFrame:
+    """Adds encoding; a run whose characters no encoding holds together gives a row for each long part between separators."""
+    part = "[A-Za-z0-9]{%d,}=*" % MIN_LENGTH
+    before = "aggregate(slice(p, 1, i + 1), 0, (a, y) -> a + length(y)) + aggregate(slice(m, 1, i), 0, (a, y) -> a + length(y))"
+    fits = F.col("token").rlike("^(?:[0-9A-Za-z+/]+|[0-9A-Za-z_-]+)=*$")
+    rows = rows.withColumns({"m": F.when(~fits, F.regexp_extract_all("token", F.lit(part), F.lit(0))), "p": F.when(~fits, F.split("token", part, -1))})
+    cut = F.expr(f"transform(m, (x, i) -> named_struct('at', {before}, 'token', x))")
+    rows = rows.withColumn("part", F.explode_outer(F.coalesce(cut, F.array(F.struct(F.lit(0).alias("at"), F.col("token").alias("token"))))))
+    start = F.col("start") + F.coalesce("part.at", F.lit(0))
+    rows = rows.select("rid", "fp", "doc_id", "kind", start.alias("start"), (start + F.length("part.token")).alias("end"), "ok", F.col("part.token").alias("token"))
+    return rows.withColumn("encoding", inferred(F.col("token")))
+
+
+def battery(rows: DataFrame, alpha: float = 0.003) -> DataFrame:
+    """Adds encoding, band, the p-values of the three tests of randomness (p_chi, p_runs, p_serial) and p, against prose (1 for what is not random)."""
+    rows = with_encodings(rows).withColumn("core", F.regexp_replace("token", "=+$", "")).withColumn("alphabet", of_encoding({k: v[0] for k, v in ENCODINGS.items()}))
     chars = F.expr("transform(filter(split(core, ''), c -> c != ''), c -> instr(alphabet, c) - 1)")
     rows = rows.withColumn("v", F.when(F.col("encoding").isNotNull(), chars)).withColumn("size", F.size("v").cast("double")).withColumn("k", F.length("alphabet").cast("double"))
     squares = F.expr("aggregate(array_distinct(v), 0D, (a, x) -> a + pow(size(filter(v, y -> y = x)), 2))")
     low = F.expr("cast(size(filter(v, x -> x < k / 2)) as double)")
     runs = F.expr("1D + aggregate(sequence(1, size(v) - 1), 0D, (a, i) -> a + if((v[i] < k / 2) = (v[i - 1] < k / 2), 0D, 1D))")
     mean = F.expr("aggregate(v, 0D, (a, x) -> a + x) / size")
-    rows = rows.select("*", squares.alias("sq"), low.alias("n1"), runs.alias("runs"), mean.alias("mean"))
+    plain = F.regexp_replace("core", "[+/_-]", "")
+    pieces = F.when(F.col("encoding").isNotNull(), F.size(F.regexp_extract_all(plain, F.lit("[a-z]+|[A-Z]+|[0-9]+"), F.lit(0))).cast("double"))
+    rows = rows.select("*", squares.alias("sq"), low.alias("n1"), runs.alias("runs"), mean.alias("mean"), pieces.alias("pieces"), F.length(plain).cast("double").alias("plain"))
     spread = F.expr("aggregate(v, 0D, (a, x) -> a + (x - mean) * (x - mean))")
     serial = F.expr("aggregate(sequence(1, size(v) - 1), 0D, (a, i) -> a + (v[i] - mean) * (v[i - 1] - mean))")
     rows = rows.select("*", spread.alias("spread"), serial.alias("serial"))
     n, k, n1 = F.col("size"), F.col("k"), F.col("n1")
+    # Tests of randomness: small where a random token would hardly be so uneven.
     df, x2 = k - 1, k / n * F.col("sq") - n
     z_chi = (F.pow(F.greatest(x2, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
     both = 2 * n1 * (n - n1)
     var = both * (both - n) / (n * n * (n - 1))
     p_runs = F.when(var > 0, 2 * upper_tail(F.abs(F.col("runs") - both / n - 1) / F.sqrt(var))).otherwise(0.0)
     p_serial = F.when(F.col("spread") > 0, 2 * upper_tail(F.abs(F.col("serial") / F.col("spread") + 1 / n) * F.sqrt(n))).otherwise(0.0)
-    p = F.least(F.lit(1.0), 3 * F.least(upper_tail(z_chi), p_runs, p_serial))
-    # Prose has about n(k c - 1) more chi-squared than chance: long enough is where that clears five deviations.
-    enough = n * (k * PROSE_COLLISION - 1) >= F.when(k < 32, 0).otherwise(5 * F.sqrt(2 * df))
+    # Against prose: small where prose would hardly be so even, or so broken.
+    two, three, switch = (of_encoding({e: v[i] for e, v in PROSE.items()}) for i in range(3))
+    pairs, triples = n * (n - 1) / 2, n * (n - 1) * (n - 2)
+    agree = (F.col("sq") - n) / 2
+    z_even = (pairs * two - agree) / F.sqrt(pairs * (two - two * two) + triples * (three - two * two))
+    steps = F.greatest(F.col("plain") - 1, F.lit(1.0))
+    z_broken = (F.col("pieces") - 1 - 0.5 - steps * switch) / F.sqrt(steps * switch * (1 - switch))
+    against = F.least(F.lit(1.0), F.greatest(F.lit(LEAST_P), upper_tail((z_even + z_broken) / TOGETHER)))
+    known = F.col("encoding").isNotNull()
     band = F.when(n < 32, 0).when(n < 64, 1).otherwise(2)
-    return rows.select("rid", "fp", "doc_id", "kind", "start", "end", "ok", "encoding", band.alias("band"), F.when(F.col("encoding").isNotNull(), p).alias("p"), enough.alias("enough"))
+    tests = rows.select("rid", "fp", "doc_id", "kind", "start", "end", "ok", "token", "encoding", band.alias("band"), *[F.when(known, p).alias(name) for name, p in (("p_chi", upper_tail(z_chi)), ("p_runs", p_runs), ("p_serial", p_serial), ("p_prose", against))])
+    return tests.withColumn("p", F.when(3 * F.least("p_chi", "p_runs", "p_serial") < alpha, 1.0).otherwise(F.col("p_prose")))
+
+
+def p_edge(p: Column) -> Column:
+    """Upper edge of the bin of a p-value."""
+    return F.pow(F.lit(2.0), F.ceil(F.log2(p) * 16 - 1e-9) / 16)
 
 
-def step_up(scored: DataFrame, q: float, bins: int) -> DataFrame:
-    """Benjamini-Hochberg threshold of each (encoding, band): the largest bin edge t with t <= q * share of candidates with p <= t. At most 18 x ``bins`` rows."""
-    edge = F.least(F.lit(float(bins)), F.ceil(F.col("p") * bins)) / bins
-    hist = scored.filter("p IS NOT NULL").groupBy("encoding", "band", edge.alias("edge")).agg(F.count("*").alias("c"))
+def step_up(scored: DataFrame, q: float) -> DataFrame:
+    """Benjamini-Hochberg threshold of each (encoding, band): the largest bin edge t with t <= q * share of candidates with p <= t. At most 24 x 320 rows."""
+    hist = scored.filter("p IS NOT NULL").groupBy("encoding", "band", p_edge(F.col("p")).alias("edge")).agg(F.count("*").alias("c"))
     w = Window.partitionBy("encoding", "band")
     cum = hist.select("*", F.sum("c").over(w.orderBy("edge").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum("c").over(w).alias("all"))
     passing = F.col("edge") <= q * F.col("upto") / F.col("all")
-    return cum.groupBy("encoding", "band").agg(F.coalesce(F.max(F.when(passing, F.col("edge"))), F.lit(0.0)).alias("rejected_to"))
+    return cum.groupBy("encoding", "band").agg(F.coalesce(F.max(F.when(passing, F.col("edge"))), F.lit(0.0)).alias("reported_to"))
 
 
-def find_secrets(docs: DataFrame, q: float = 0.05, bins: int = 2_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_secrets(docs: DataFrame, q: float = 0.05, alpha: float = 0.003, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its doc_id, a fingerprint of its text, its base spans and all spans as sorted arrays of (start, kind, end)."""
     w = Window.partitionBy("rid", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("before") + F.col("n")).over(w)
     placed = lengths(docs, id_col, text_col).select("rid", "fp", "doc_id", "kind", "ok", "token", (end - F.col("n")).alias("start"), end.alias("end"))
     rows = written(placed)
     base = rows.filter("kind IS NULL OR kind < 3").select("rid", "fp", "doc_id", "kind", "start", "end", "ok")
-    scored = written(battery(rows.filter("kind = 3")))
-    limits = step_up(scored, q, bins)
-    chosen = scored.join(F.broadcast(limits), ["encoding", "band"]).filter("enough AND p > rejected_to").select("rid", "fp", "doc_id", "kind", "start", "end", "ok")
+    scored = written(battery(rows.filter("kind = 3"), alpha).drop("token"))
+    limits = step_up(scored, q)
+    chosen = scored.join(F.broadcast(limits), ["encoding", "band"]).filter(p_edge(F.col("p")) <= F.col("reported_to")).select("rid", "fp", "doc_id", "kind", "start", "end", "ok")
     others = scored.select("rid", "fp", "doc_id", F.lit(None).cast("int").alias("kind"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"), F.lit(None).cast("boolean").alias("ok")).distinct()
     span = F.struct("start", "kind", "end")
     per_doc = base.unionByName(chosen).unionByName(others).groupBy("rid").agg(F.first("doc_id", ignorenulls=True).alias("doc_id"), F.first("fp").alias("fp"), F.sort_array(F.collect_list(F.when(F.col("ok"), span))).alias("found"))
@@ -161,14 +205,15 @@ def redact_secrets(docs: DataFrame, mask: str = "[SECRET]", id_col: str = "doc_i
         "concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, s.end)))), "
         "concat(a, array(named_struct('start', s.start, 'end', s.end)))))"
     )
-    found = found.select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"), F.reverse(merged).alias("__spans")).dropDuplicates(["__id", "__fp"])
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col("__fp"))
-    joined_ = docs.join(found, same, "left")
-    text = F.expr(f"aggregate(__spans, `{text_col}`, (t, s) -> concat(substring(t, 1, cast(s.start as int)), '{mask}', substring(t, cast(s.end + 1 as int))))")
-    out = joined_.withColumn(text_col, F.when(F.col("__spans").isNotNull(), text).otherwise(F.col(text_col)))
+    known_id, known_fp, spans = free_names(docs, "known_id", "known_fp", "spans")
+    found = found.select(F.col("doc_id").alias(known_id), F.col("fp").alias(known_fp), F.reverse(merged).alias(spans)).dropDuplicates([known_id, known_fp])
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(known_id)) & (F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col(known_fp))
+    masked = docs.join(found, same, "left")
+    text = F.expr(f"aggregate({spans}, `{text_col}`, (t, s) -> concat(substring(t, 1, cast(s.start as int)), '{mask}', substring(t, cast(s.end + 1 as int))))")
+    out = masked.withColumn(text_col, F.when(F.col(spans).isNotNull(), text).otherwise(F.col(text_col)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__spans").isNotNull(), F.length(text_col).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col(spans).isNotNull(), F.length(text_col).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
