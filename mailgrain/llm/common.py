@@ -32,6 +32,22 @@ def written(df: DataFrame, path: str | None = None, compression: str = "zstd") -
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Words(dict):
+    """f(word) of words, kept by a worker for the ones it meets again; long words are not kept, so the table stays small."""
+
+    def __init__(self, f, max_words: int = 500_000, max_length: int = 64):
+        super().__init__()
+        self.f, self.max_words, self.max_length = f, max_words, max_length
+
+    def __missing__(self, word: str):
+        value = self.f(word)
+        if len(word) <= self.max_length:
+            if len(self) >= self.max_words:
+                self.clear()
+            self[word] = value
+        return value
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """Column names for the time of a job that clash with none of ``df``'s, upper and lower case being one."""
     taken, out = {c.lower() for c in df.columns}, []

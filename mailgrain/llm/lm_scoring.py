@@ -29,14 +29,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_texts, table, written
+from .common import Words, doc_texts, table, written
 
 FOLDS = 5
 START, UNK = 0, 1  # in place of a word's hash
 SCORED = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
 
-_words: dict[str, int] = {}
-
 
 def word_hash(word: str) -> int:
     """64 bits, the upper 32 of them the CRC; 0 and 1 are taken."""
@@ -44,17 +42,12 @@ def word_hash(word: str) -> int:
     return max(2, zlib.crc32(data) << 32 | xxhash.xxh32_intdigest(data))
 
 
+_words = Words(word_hash, 400_000)
+
+
 def word_hashes(text: str) -> np.ndarray:
     """The hash of each word; a worker keeps those it has met."""
-    found = text.lower().split()
-    try:
-        h = [_words[w] for w in found]
-    except KeyError:
-        if len(_words) > 400_000:
-            _words.clear()
-        _words.update((w, word_hash(w)) for w in set(found).difference(_words))
-        h = [_words[w] for w in found]
-    return np.array(h, np.uint64)
+    return np.array([_words[w] for w in text.lower().split()], np.uint64)
 
 
 def word_counts(docs: DataFrame, flush_words: int = 2_000_000) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_texts, table, written
+from .common import doc_texts, free_names, table, written
 
 UNIT = 64
 STORED = "doc_id long, n_bytes long, media binary"
@@ -175,11 +175,13 @@ def read_stored(stored: DataFrame) -> DataFrame:
 
 
 def decode_media(images: DataFrame, media_col: str = "media", side: int = 16) -> DataFrame:
-    """Any table of images with a binary column: adds height, width, channels, tile (NPY), dhash and error."""
-    added = "height long, width long, channels long, tile binary, dhash string, media_error string"
-    names = [f.split()[0] for f in added.split(", ")]
-    if set(names) & set(images.columns):
-        images = images.drop(*names)
+    """Any table of images with a binary column: adds height, width, channels, tile (NPY), dhash and media_error.
+
+    All rows and columns stay as they are; an added column whose name is taken, in upper or lower case, gets underscores at its end.
+    """
+    kinds = {"height": "long", "width": "long", "channels": "long", "tile": "binary", "dhash": "string", "media_error": "string"}
+    names = free_names(images, *kinds)
+    added = ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds.values(), strict=True))
 
     def run(batches):
         for b in batches:
@@ -201,4 +203,5 @@ def decode_media(images: DataFrame, media_col: str = "media", side: int = 16) ->
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = written(store_texts(table(spark, sf_dir, "documents")))
-    return read_stored(stored).withColumn("tile_sha256", F.sha2("tile", 256)).drop("tile")
+    tiles = written(read_stored(stored))  # the NPY tiles are stored too, one a row
+    return tiles.withColumn("tile_sha256", F.sha2("tile", 256)).drop("tile")

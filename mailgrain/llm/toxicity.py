@@ -24,28 +24,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import doc_texts, table, written
+from .common import Words, doc_texts, table, written
 
 FOLDS = 5
 ALPHA, L1, EPOCHS = 1.0, 10.0, 5
 _EDGES = string.punctuation + "¡¿«»“”„‘’…–—"
-_words: dict[str, int] = {}
+
+
+def word_hash(word: str) -> int:
+    bare = word.strip(_EDGES)
+    return zlib.crc32(bare.encode()) if bare else -1
+
+
+_words = Words(word_hash)
 
 
 def word_hashes(text: str) -> np.ndarray:
     """A 32-bit hash of each word, lower case and without punctuation at its ends; words of punctuation alone are skipped."""
-    found = text.lower().split()
-    try:
-        h = [_words[w] for w in found]
-    except KeyError:
-        if len(_words) > 500_000:
-            _words.clear()
-        for w in found:
-            if w not in _words:
-                bare = w.strip(_EDGES)
-                _words[w] = zlib.crc32(bare.encode()) if bare else -1
-        h = [_words[w] for w in found]
-    h = np.array(h, np.int64)
+    h = np.array([_words[w] for w in text.lower().split()], np.int64)
     return h[h >= 0].astype(np.uint64)
 
 

@@ -12,6 +12,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from mailgrain.llm import boosting, lm_scoring, media, pii, secret_scan, toxicity
 from .test_token_ops import edge_docs
@@ -73,8 +74,6 @@ def test_toxicity_weights_equal_plain_ftrl(spark):
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(3)
     labels = spark.createDataFrame([(i, y) for i, _, y in rows[:260]], "doc_id long, toxic int")
     at, values, bias = toxicity.train(docs, labels)
-    from pyspark.sql import functions as F
-
     fp = {(r.doc_id, r.text): r.fp for r in docs.select("doc_id", "text", F.xxhash64("text").alias("fp")).collect()}
     used = sorted({(i, fp[i, t], t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 5})
     want = plain_ftrl([set(toxicity.feature_hashes(t).tolist()) for *_, t, _ in used], [y for *_, y in used])
@@ -201,19 +200,88 @@ def test_secrets(spark):
     assert all(masked[i] == t for i, t in rows if not got[i].spans)
 
 
+def plain_battery(token):
+    """Encoding and the p-values of one token, with exact normal tails."""
+    tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    name = next((n for n, (_, pattern) in secret_scan.ENCODINGS.items() if re.search(pattern, token)), None)
+    core = token.rstrip("=")
+    letters = secret_scan.ENCODINGS[name][0]
+    v, k, n = [letters.index(c) for c in core], len(letters), len(core)
+    count = Counter(v)
+    x2, df = sum((count[i] - n / k) ** 2 / (n / k) for i in range(k)), k - 1
+    chi = tail(((x2 / df) ** (1 / 3) - 1 + 2 / (9 * df)) / math.sqrt(2 / (9 * df)))
+    side = [x < k / 2 for x in v]
+    n1 = sum(side)
+    n2, runs = n - n1, 1 + sum(a != b for a, b in zip(side, side[1:]))
+    var = 2 * n1 * n2 * (2 * n1 * n2 - n) / (n * n * (n - 1))
+    p_runs = 2 * tail(abs(runs - 2 * n1 * n2 / n - 1) / math.sqrt(var)) if var > 0 else 0
+    mean = sum(v) / n
+    spread = sum((x - mean) ** 2 for x in v)
+    p_serial = 2 * tail(abs(sum((a - mean) * (b - mean) for a, b in zip(v, v[1:])) / spread + 1 / n) * math.sqrt(n)) if spread else 0
+    two, three, switch = secret_scan.PROSE[name]
+    agree = sum(core[i] == core[j] for i in range(n) for j in range(i))
+    even = (n * (n - 1) / 2 * two - agree) / math.sqrt(n * (n - 1) / 2 * (two - two**2) + n * (n - 1) * (n - 2) * (three - two**2))
+    classes = ["a" if c.islower() else "A" if c.isupper() else "0" for c in core if c.isalnum()]
+    steps, changes = len(classes) - 1, sum(a != b for a, b in zip(classes, classes[1:]))
+    broken = (changes - 0.5 - steps * switch) / math.sqrt(steps * switch * (1 - switch))
+    return name, chi, p_runs, p_serial, min(1, max(secret_scan.LEAST_P, tail((even + broken) / math.sqrt(2))))
+
+
+def random_tokens(r, n):
+    alphabets = [a for a, _ in secret_scan.ENCODINGS.values()]
+    out = ["".join(r.choice(a) for _ in range(r.randint(20, 90))) for a in alphabets for _ in range(n)]
+    out += ["-".join(words(r, 1) for _ in range(9)) + f"-{i}" for i in range(n)] + [f"Section{i}Of{words(r, 1).title()}And{words(r, 1).title()}Then{words(r, 1)}" for i in range(n)]
+    out += ["abcdefghij0123456789" * 2, "a" * 30 + "1", "0" * 25 + "f"]
+    return [t for t in out if re.search("[0-9]", t) and re.search("[A-Za-z]", t)]
+
+
+def test_battery_equals_plain_formulas(spark):
+    tokens = random_tokens(random.Random(12), 12)
+    rows = spark.createDataFrame([(i, 0, i, 3, 7, 7 + len(t), True, t) for i, t in enumerate(tokens)], "rid long, fp long, doc_id long, kind int, start long, end long, ok boolean, token string")
+    got = {r.rid: r for r in secret_scan.battery(rows).collect()}
+    for i, t in enumerate(tokens):
+        name, *p = plain_battery(t)
+        assert got[i].encoding == name and (got[i].start, got[i].end) == (7, 7 + len(t))
+        assert [got[i].p_chi, got[i].p_runs, got[i].p_serial, got[i].p_prose] == pytest.approx(p, abs=1e-6)
+        assert got[i].p == (1 if 3 * min(p[:3]) < 0.003 else got[i].p_prose)
+    odd = rows.limit(1).withColumn("token", F.lit("v1-beta/" + "Ab3" * 8 + "/x_y-" + "q7" * 11))
+    assert sorted((r.start, r.end, r.token) for r in secret_scan.battery(odd).collect()) == [(15, 39, "Ab3" * 8), (44, 66, "q7" * 11)]
+
+
+def test_step_up_equals_ranking(spark):
+    r = random.Random(13)
+    p = [r.random() ** 4 for _ in range(400)]
+    scored = spark.createDataFrame([("alnum", 0, x) for x in p] + [("hex", 1, 0.9)], "encoding string, band int, p double")
+    got = {(x.encoding, x.band): x.reported_to for x in secret_scan.step_up(scored, 0.05).collect()}
+    edges = sorted(2 ** (math.ceil(math.log2(x) * 16 - 1e-9) / 16) for x in p)
+    want = max((e for i, e in enumerate(edges, 1) if e <= 0.05 * i / len(edges)), default=0)
+    assert got["alnum", 0] == pytest.approx(want) and want > 0 and got["hex", 1] == 0
+
+
+def test_reported_tokens_are_random(spark):
+    """Of what is reported, no more than the level is prose, at every mixture; and most keys are found."""
+    r, rows = random.Random(14), []
+    for i in range(3000):
+        key = i % 10 == 0
+        token = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(r.choice([24, 32, 40, 64]))) if key else r.choice([f"{words(r, 4).title().replace(' ', '')}V{r.randint(1, 99)}{words(r, 3).title().replace(' ', '')}", "-".join(words(r, 6).split()) + f"-{r.randint(1, 99)}", "/".join(words(r, 5).split()) + "/index2"])
+        rows.append((i, f"{words(r, 4)} {token} {words(r, 4)}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    hit = {x.doc_id for x in secret_scan.find_secrets(docs).collect() if any(s.kind == 3 for s in x.spans)}
+    false = [i for i in hit if i % 10]
+    assert len(false) <= 0.05 * len(hit) and len(hit) - len(false) >= 0.85 * 300
+
+
 def test_secret_edges(spark):
     rows = secret_scan.find_secrets(edge_docs(spark)).collect()
     assert len(rows) == 8 and all(r.spans == [] for r in rows)
     assert secret_scan.find_secrets(edge_docs(spark).limit(0)).count() == 0
-    twice = spark.createDataFrame([(1, "token=abcdefgh1", "q"), (1, "token=abcdefgh1", "q"), (1, "nothing", "q"), (None, "token=abcdefgh1", None)], "doc_id long, text string, spans string")
+    twice = spark.createDataFrame([(1, "token=abcdefgh1", "q"), (1, "token=abcdefgh1", "q"), (1, "nothing", "q"), (None, "token=abcdefgh1", None)], "doc_id long, text string, Spans string").withColumns({"known_id": F.lit(1), "known_fp": F.lit("z"), "a.b": F.lit(2)})
     out = secret_scan.redact_secrets(twice)
     assert out.columns == twice.columns and sorted(r.text for r in out.collect()) == ["[SECRET]", "[SECRET]", "[SECRET]", "nothing"]
 
 
 def test_upper_tail(spark):
     zs = [-3.0, -0.5, 0.0, 1.0, 2.5, 5.0]
-    from pyspark.sql import functions as F
-
     got = [r[0] for r in spark.createDataFrame([(i, z) for i, z in enumerate(zs)], "i int, z double").orderBy("i").select(secret_scan.upper_tail(F.col("z"))).collect()]
     assert got == pytest.approx([math.erfc(z / math.sqrt(2)) / 2 for z in zs], abs=2e-7)
 
@@ -244,6 +312,29 @@ def test_area_resize():
     assert np.allclose(media.area_resize(image, 8, 9), want)
 
 
+def plain_reduced(image, height, width):
+    """Means of the areas under the targets, from every source pixel's overlap with every target."""
+    h, w = image.shape
+    cover = lambda n, m: np.array([[max(0.0, min((i + 1) * n / m, k + 1) - max(i * n / m, k)) for k in range(n)] for i in range(m)]) / (n / m)
+    return cover(h, height) @ image.astype(float) @ cover(w, width).T
+
+
+def test_hash_and_tile_equal_brute_force(spark, sf):
+    rng = np.random.default_rng(6)
+    for shape in ((8, 9), (13, 7), (1, 64), (64, 64), (5, 200)):
+        image = rng.integers(0, 256, shape, np.uint8)
+        small = plain_reduced(image, 8, 9)
+        bits = "".join("1" if small[i, j + 1] > small[i, j] + 1e-9 else "0" for i in range(8) for j in range(8))
+        assert media.difference_hash(image) == f"{int(bits, 2):016x}"
+        tile = np.load(io.BytesIO(media.npy_tile(image)))
+        assert np.abs(tile - plain_reduced(image, 16, 16)).max() <= 0.5 + 1e-6
+    row = media.op5_media(spark, sf).orderBy("doc_id").first()
+    text = spark.read.parquet(f"{sf}/documents.parquet").filter(F.col("doc_id") == row.doc_id).first().text or ""
+    data = text.encode().ljust(max(64, -(-len(text.encode()) // 64) * 64), b"\0")
+    image = np.frombuffer(data, np.uint8).reshape(-1, 64)
+    assert row.feature == media.difference_hash(image) and row.tile_sha256 == hashlib.sha256(media.npy_tile(image)).hexdigest()
+
+
 def test_tiles_keep_16_bits():
     image = np.arange(256, dtype=np.uint16).reshape(16, 16) * 257
     raw = b"P5 16 16 65535\n" + image.astype(">u2").tobytes()
@@ -262,9 +353,10 @@ def test_media_documents(spark):
         want[(r.doc_id, len(data), len(data_), hashlib.sha256(data_).hexdigest(), zlib.crc32(data_[-64:]))] += 1
     assert Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got) == want
     assert np.load(io.BytesIO(got[0].tile)).shape == (16, 16) and len({r.feature for r in got if r.n_bytes == 0}) == 1
-    images = spark.createDataFrame([(1, bytearray(media.encode_pgm(np.zeros((4, 4), np.uint8))), "x"), (2, None, "y"), (3, bytearray(b"junk"), "z")], "id int, media binary, dhash string")
+    images = spark.createDataFrame([(1, bytearray(media.encode_pgm(np.zeros((4, 4), np.uint8))), "x"), (2, None, "y"), (3, bytearray(b"junk"), "z")], "id int, media binary, Dhash string")
     rows = {r.id: r for r in media.decode_media(images).collect()}
     assert (rows[1].height, rows[1].media_error) == (4, None) and rows[2].tile is None and rows[3].media_error
+    assert [rows[i].Dhash for i in (1, 2, 3)] == ["x", "y", "z"] and rows[1].dhash_ == "0" * 16
     assert media.read_stored(media.store_texts(docs.limit(0))).count() == 0
 
 
