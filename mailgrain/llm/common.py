@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -32,6 +33,12 @@ def written(df: DataFrame, path: str | None = None, compression: str = "zstd") -
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files and broadcasts that nothing refers to any more: Spark's cleaner follows the driver's collector."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Words(dict):
     """f(word) of words, kept by a worker for the ones it meets again; long words are not kept, so the table stays small."""
 

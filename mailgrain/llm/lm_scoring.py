@@ -19,7 +19,6 @@ occur; without target rows the target model is uniform; an empty table gives no
 
 from __future__ import annotations
 
-import gc
 import zlib
 
 import numpy as np
@@ -29,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, doc_texts, table, written
+from .common import Words, doc_texts, release, table, written
 
 FOLDS = 5
 START, UNK = 0, 1  # in place of a word's hash
@@ -206,9 +205,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, size: int | Non
     answers = written(answer_keys(send_keys(chunks, bits)))
     n_words, *n = (x or 0 for x in answers.agg(F.sum("n_words"), F.sum("good"), F.sum("total")).first())
     width = size if size is not None else n_words + 2
-    # The keys' shuffle files are as large as the input; they go when the driver has collected what refers to them.
-    gc.collect()
-    docs.sparkSession.sparkContext._jvm.System.gc()
+    release(docs.sparkSession)  # the keys' shuffle files are as large as the input
 
     def score(chunk: pa.Table, answered: pa.Table) -> pa.Table:
         docs, tokens, hashes = read_chunk(chunk.to_pylist()[0])

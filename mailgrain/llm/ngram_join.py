@@ -221,11 +221,12 @@ def deal_blocks(groups: DataFrame, rows: DataFrame, reps: DataFrame, threshold:
     middles = middles.join(large, "root").select("root", "middle", F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("mine"))
     near = written(placed.join(middles, ["root", "mine"]).select("root", "rep", "shingles", "middle").mapInArrow(nearness, "root long, rep long, near boolean"))
     ball = near.filter("near").join(reps.select("rep", "copies"), "rep")
-    inside = ball.groupBy("root").agg(F.sum("copies").alias("all"), F.min("rep").alias("parent"))
+    # One row a group, written: Spark broadcasts such tables under its own threshold, and the groups' numbers are no hot keys.
+    inside = written(ball.groupBy("root").agg(F.sum("copies").alias("all"), F.min("rep").alias("parent")))
     links = ball.join(inside, "root").select("rep", (F.col("all") - F.col("copies")).alias("links"), "parent", F.lit(False).alias("whole"))
     count = near.groupBy("root").agg(F.count_if("near").alias("n_near"), F.count_if(~F.col("near")).alias("n_far")).join(large, "root").join(of_root.select("root", "n"), "root")
     share = lambda c: F.ceil(F.col("blocks") * F.col(c) / F.col("n")).cast("int")
-    count = count.select("root", share("n_far").alias("far_blocks"), share("n_near").alias("near_blocks")).filter("far_blocks > 0")
+    count = written(count.select("root", share("n_far").alias("far_blocks"), share("n_near").alias("near_blocks")).filter("far_blocks > 0"))
     placed = near.join(count, "root").withColumn("mine", F.when(F.col("near"), F.col("far_blocks") + part(F.greatest("near_blocks", F.lit(1)))).otherwise(part(F.col("far_blocks"))))
     last = F.col("far_blocks") + F.when(F.col("near"), 0).otherwise(F.col("near_blocks")) - 1
     split = placed.select("root", "rep", "near", "mine", F.sequence(zero, last).alias("others"), F.lit(False).alias("whole"))

@@ -6,7 +6,7 @@ coordinate and an L1 penalty, which leaves few weights; these alone go to the ex
 bounded sample that keeps a weight). Scoring is one pass over the texts with no shuffle.
 
 Training takes at most ``max_rows`` labelled rows, those with the smallest hashes, and ``max_features`` coordinates; that
-bound is the only place where rows are left out. What reaches the driver is below it, however often a doc_id is repeated.
+bound is the only place where rows are left out, and holds however often a doc_id is repeated.
 
 Defined results: null and empty texts have no features and score as the bias alone; rows whose label or doc_id is null
 don't train; a doc_id labelled twice counts by its highest label; rows of equal doc_id and text train once; with no
@@ -21,6 +21,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -56,9 +57,14 @@ def feature_hashes(text: str) -> np.ndarray:
 
 
 def ftrl_fit(rows: list[np.ndarray], labels: list[int], alpha: float = ALPHA, beta: float = 1.0, l1: float = L1, l2: float = 0.5, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
-    """Sparse weights (coordinates, values) and bias of presence features, by FTRL-proximal; the bias has no penalty."""
-    known = np.unique(np.concatenate(rows))
-    rows = [np.searchsorted(known, x).astype(np.int32) for x in rows]
+    """Sparse weights (coordinates, values) and bias of presence features, by FTRL-proximal; the bias has no penalty.
+
+    A coordinate's sum of gradients is at most one a row and epoch, so one that is in no more than l1 / epochs rows never
+    passes the penalty, and is left out before with the same result.
+    """
+    known, n_rows = np.unique(np.concatenate(rows), return_counts=True)
+    known = known[n_rows > l1 / epochs]
+    rows = [np.searchsorted(known, x[np.isin(x, known, assume_unique=True)]).astype(np.int32) for x in rows]
     n, z, bias_n, bias_z = np.zeros(len(known)), np.zeros(len(known)), 0.0, 0.0
 
     def weights(zi, ni):
@@ -108,17 +114,22 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int, max_feature
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000, max_features: int = 12_000_000, target: str = "toxic"):
     """Sparse weights from the labelled rows outside the held-out fold; None without any.
 
-    A coordinate's sum of gradients is at most one a row and epoch, so one that is in no more than L1 / EPOCHS rows never
-    passes the penalty: Spark counts the rows of each coordinate, and only the others go to the driver, with the same weights.
+    One task fits the bounded sample (4 bytes a coordinate, 48 MB at most); to the driver come the weights that are not zero.
     """
+
+    def fit(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("doc_id", "ascending"), ("fp", "ascending")])
+        x = group["x"].combine_chunks()
+        flat, at = x.values.to_numpy().view(np.uint32), x.offsets.to_numpy()
+        known, values, bias = ftrl_fit([flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], group["y"].to_pylist())
+        return pa.table({"at": pa.array([None, *known.tolist()], pa.int64()), "value": pa.array([bias, *values.tolist()], pa.float64())})
+
     rows = training_rows(docs, labels, max_rows, max_features, target)
-    each = rows.select("doc_id", "fp", F.explode("x").alias("x"))
-    common = each.groupBy("x").agg(F.count("*").alias("n")).filter(F.col("n") > L1 / EPOCHS).select("x")
-    kept = written(each.join(common, "x").groupBy("doc_id", "fp").agg(F.collect_list("x").alias("x")))
-    got = rows.select("doc_id", "fp", "y").join(kept, ["doc_id", "fp"], "left").select("doc_id", "fp", "y", F.sort_array(F.coalesce("x", F.array().cast("array<int>"))).alias("x")).toArrow().sort_by([("doc_id", "ascending"), ("fp", "ascending")])
+    got = rows.groupBy(F.lit("sample")).applyInArrow(fit, "at long, value double").toArrow()
     if not got.num_rows:
         return None
-    return ftrl_fit([v.values.to_numpy().view(np.uint32) for v in got["x"]], got["y"].to_pylist())
+    weights = got.filter(pc.is_valid(got["at"])).sort_by("at")
+    return weights["at"].to_numpy().astype(np.uint32), weights["value"].to_numpy(), got.filter(pc.is_null(got["at"]))["value"][0].as_py()
 
 
 def scorer(model):
