@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .identity import registrable_domain
-from .mime import dkim_domains, header, header_all
+from .mime import header, header_all
 from .rules import DEFAULT_RULES, PREFERENCE_TOKENS, UNSUBSCRIBE_TOKENS, URL_TOKENS, Rules
 from .text import BLANK, decode_entities, extract, first, let, match_token, none_if_empty, squeeze, trim
 
@@ -41,16 +41,23 @@ def attribute(attributes: Column, name: str) -> Column:
 
 
 def extract_anchors(html: Column) -> Column:
-    """Array of (href, text, title, aria_label) of the anchors that have an href."""
-    pattern = rf"(?is)<a\b([^>]*)>(.*?)</a{BLANK}*>"
-    pairs = F.arrays_zip(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)).alias("a"), F.regexp_extract_all(html, F.lit(pattern), F.lit(2)).alias("t"))
+    """Array of (href, text, title, aria_label) of the anchors that have an href.
+
+    One pass finds the anchors. What follows the last closing tag holds none and is cut off before, so that every opening tag
+    finds an end and the pass stays linear, however many are never closed.
+    """
+    closed = F.regexp_extract(html, rf"(?is)\A.*</a{BLANK}*>", 0)
+    opening, closing = r"(?is)\A<a\b([^>]*)>", rf"(?is)\A<a\b[^>]*>(.*)</a{BLANK}*>\z"
     anchors = F.transform(
-        pairs,
-        lambda p: F.struct(
-            decode_entities(attribute(p["a"], "href")).alias("href"),
-            squeeze(decode_entities(F.regexp_replace(p["t"], "<[^>]*>", " "))).alias("text"),
-            attribute(p["a"], "title").alias("title"),
-            attribute(p["a"], "aria-label").alias("aria_label"),
+        F.regexp_extract_all(closed, F.lit(rf"(?is)<a\b[^>]*>.*?</a{BLANK}*>"), F.lit(0)),
+        lambda p: let(
+            F.regexp_extract(p, opening, 1),
+            lambda a: F.struct(
+                decode_entities(attribute(a, "href")).alias("href"),
+                squeeze(decode_entities(F.regexp_replace(F.regexp_extract(p, closing, 1), "<[^>]*>", " "))).alias("text"),
+                attribute(a, "title").alias("title"),
+                attribute(a, "aria-label").alias("aria_label"),
+            ),
         ),
     )
     return F.filter(anchors, lambda a: a["href"].isNotNull() & (a["href"] != ""))
@@ -135,7 +142,7 @@ def parse_mailto(uri: Column) -> Column:
     return F.when(good, F.struct(to.alias("to"), field("subject").alias("subject"), field("body").alias("body")))
 
 
-def detect_headers(headers: Column) -> Column:
+def header_tiers(uris: Column, one_click: Column) -> Column:
     """Tiers 1 to 3 as struct(method, uri, confidence, evidence); null means that only a body can tell."""
 
     def found(method: str, uri: Column) -> Column:
@@ -146,24 +153,17 @@ def detect_headers(headers: Column) -> Column:
             return first(F.filter(uris, lambda u: u.rlike(pattern)))
 
         https, http, mailto = scheme("(?i)^https:"), scheme("(?i)^https?:"), scheme("(?i)^mailto:")
-        return F.when(https.isNotNull() & has_one_click_post(headers), found("one_click", https)).when(http.isNotNull(), found("http_link", http)).when(mailto.isNotNull(), found("mailto", mailto))
-
-    return let(parse_list_unsubscribe(F.array_join(header_all(headers, "list-unsubscribe"), ", ")), tiers)
+        return F.when(https.isNotNull() & one_click, found("one_click", https)).when(http.isNotNull(), found("http_link", http)).when(mailto.isNotNull(), found("mailto", mailto))
 
+    return F.when(F.size(uris) > 0, let(uris, tiers))
 
-def headers_inconclusive(headers: Column) -> Column:
-    return detect_headers(headers).isNull()
 
+def detect_headers(headers: Column) -> Column:
+    return header_tiers(parse_list_unsubscribe(F.array_join(header_all(headers, "list-unsubscribe"), ", ")), has_one_click_post(headers))
 
-def detect(headers: Column, html: Column, from_address: Column, rules: Rules = DEFAULT_RULES) -> Column:
-    """All tiers as struct(method, uri, confidence, evidence, suspicious); null without a signal. ``html`` null leaves tier 4 out."""
-    by_body = let(detect_body_link(html), lambda k: F.when(k.isNotNull(), F.struct(F.lit("body_link").alias("method"), k["uri"].alias("uri"), k["confidence"].alias("confidence"), k["evidence"].alias("evidence"))))
-
-    def judged(best: Column) -> Column:
-        suspicious = is_suspicious(best["uri"], from_address, dkim_domains(headers), rules)
-        return F.when(best.isNotNull(), F.struct(best["method"].alias("method"), best["uri"].alias("uri"), best["confidence"].alias("confidence"), best["evidence"].alias("evidence"), suspicious.alias("suspicious")))
 
-    return let(F.coalesce(detect_headers(headers), by_body), judged)
+def headers_inconclusive(headers: Column) -> Column:
+    return detect_headers(headers).isNull()
 
 
 def message_key(message_id: Column, folder: Column, uidvalidity: Column, uid: Column) -> Column:

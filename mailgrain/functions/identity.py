@@ -25,26 +25,36 @@ def split_address(address: Column) -> Column:
 
 
 def registrable_domain(value: Column, rules: Rules = DEFAULT_RULES) -> Column:
-    """The suffix and one label of a host, address or URL; null for single labels, suffixes and IP addresses."""
-    two, three = (sorted(s for s in rules.suffixes if s.count(".") == k) for k in (1, 2))
+    """The suffix and one label of a host, address or URL; null for single labels, suffixes and IP addresses.
 
-    def host_of(text: Column) -> Column:
-        host = F.coalesce(split_address(text)["domain"], extract(text, r"^(?:[a-z][a-z0-9+.-]*:)?(?://)?(?:[^/?#@]*@)?([^/:?#]+)"))
-        return F.regexp_replace(host, r"\.\z", "")
+    The longest rule decides. "*.x" makes every label under x a suffix, and "!y.x" takes y out of that.
+    """
+    plain = {s for s in rules.suffixes if s[0] not in "*!"}
+    wild, except_ = ({s[n:] for s in rules.suffixes if s[0] == mark} for mark, n in (("*", 2), ("!", 1)))
+    labels = lambda known, k: sorted(s for s in known if s.count(".") == k - 1)
+    longest = max((s.count(".") + 1 for s in rules.suffixes), default=1)
+    host = extract(F.lower(trim(value)), r"^(?:[a-z][a-z0-9+.-]*:)?(?://)?(?:[^/?#]*@)?([^/:?#@]+)")
 
     def domain_of(host: Column) -> Column:
-        valid = host.rlike(r"^[^\s.]+(?:\.[^\s.]+)*\z") & ~host.rlike(r"^[0-9.]+\z") & ~host.startswith("[")
-        return F.when(valid, let(F.split(host, r"\."), cut))
-
-    def cut(labels: Column) -> Column:
-        n = F.size(labels)
+        n = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
 
         def tail(k: int) -> Column:
-            return F.when(n >= k, F.array_join(F.slice(labels, -k, k), "."))
-
-        return F.when(tail(3).isin(*three), tail(4)).when(tail(2).isin(*two), tail(3)).otherwise(tail(2))
-
-    return let(let(F.lower(trim(value)), host_of), domain_of)
+            return F.when(n >= k, F.substring_index(host, ".", -k))
+
+        out = F.when(~host.rlike(r"^[^\s.]+(?:\.[^\s.]+)*\z") | host.rlike(r"^[0-9.]+\z") | host.startswith("["), F.lit(None))
+        for k in range(longest, 0, -1):
+            if labels(except_, k):
+                out = out.when(tail(k).isin(*labels(except_, k)), tail(k))
+        for k in range(longest, 1, -1):
+            rule = F.lit(False)
+            if labels(plain, k):
+                rule = rule | F.coalesce(tail(k).isin(*labels(plain, k)), F.lit(False))
+            if labels(wild, k - 1):
+                rule = rule | F.coalesce((n >= k) & tail(k - 1).isin(*labels(wild, k - 1)), F.lit(False))
+            out = out.when(rule, tail(k + 1))
+        return out.otherwise(tail(2))
+
+    return let(F.regexp_replace(host, r"\.\z", ""), domain_of)
 
 
 def is_variable_segment(s: Column, rules: Rules = DEFAULT_RULES) -> Column:

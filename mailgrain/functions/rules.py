@@ -55,13 +55,13 @@ def public_suffixes() -> frozenset[str]:
 
 
 def read_suffixes(lines) -> frozenset[str]:
-    """Multi-label rules of a public suffix list's ICANN section (plain rules; wildcards and exceptions are not read)."""
+    """Rules of a public suffix list's ICANN section that have more than one label, wildcards and exceptions with their mark."""
     out = set()
     for line in lines:
         if "END ICANN" in line:
             break
         rule = line.strip()
-        if rule and not rule.startswith(("//", "*", "!")) and "." in rule:
+        if rule and not rule.startswith("//") and "." in rule:
             out.add(rule.lower())
     return frozenset(out)
 

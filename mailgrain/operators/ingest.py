@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import detect as signals
 from ..functions import mime
 from ..functions.dates import add_months
+from ..functions.identity import registrable_domain
 from ..functions.rules import DEFAULT_RULES, Rules
 from ..sources.mail import parsed_mail
 
@@ -34,17 +35,38 @@ def incremental_filter(mail: DataFrame, sync_state: DataFrame, since: Column) ->
 
     sync_state has one row per folder, so Spark broadcasts it by its own size check.
     """
-    state = sync_state.select("folder", F.col("uidvalidity").alias("__v"), F.col("last_uid").alias("__u"), F.col("backfill_since").alias("__s"))
-    fresh = F.col("__v").isNull() | (F.col("__v") != F.col("uidvalidity")) | F.coalesce(F.col("__s") > since, F.lit(False)) | (F.col("uid") > F.col("__u"))
-    return backfill_filter(mail, since).join(state, "folder", "left").filter(fresh).drop("__v", "__u", "__s")
+    state = sync_state.select("folder", F.struct("uidvalidity", "last_uid", "backfill_since").alias("mark"))
+    mark = F.col("mark")
+    fresh = mark.isNull() | (mark["uidvalidity"] != F.col("uidvalidity")) | F.coalesce(mark["backfill_since"] > since, F.lit(False)) | (F.col("uid") > mark["last_uid"])
+    return backfill_filter(mail, since).join(state, "folder", "left").filter(fresh).drop("mark")
+
+
+def detect_parsed(rows: DataFrame, scrape_bodies: bool = True, rules: Rules = DEFAULT_RULES) -> DataFrame:
+    """Parsed mail with its detection, tier by tier as columns of their own, so that nothing is computed twice.
+
+    Only rows whose headers say nothing pass the body decoder; the others give it a null.
+    """
+    uris = signals.parse_list_unsubscribe(F.array_join(mime.header_all(F.col("headers"), "list-unsubscribe"), ", "))
+    rows = rows.withColumn("by_head", signals.header_tiers(uris, signals.has_one_click_post(F.col("headers")))).withColumn("body_read", F.col("by_head").isNull() & F.lit(scrape_bodies))
+    if scrape_bodies:
+        rows = rows.withColumn("html", mime.html_part(mime.decode_parts(F.when(F.col("body_read"), F.col("raw")))))
+        rows = rows.withColumn("by_body", signals.detect_body_link(F.col("html")))
+        b = F.col("by_body")
+        rows = rows.withColumn("by_body", F.when(b.isNotNull(), F.struct(F.lit("body_link").alias("method"), b["uri"].alias("uri"), b["confidence"].alias("confidence"), b["evidence"].alias("evidence"))))
+        rows = rows.withColumn("best", F.coalesce("by_head", "by_body"))
+    else:
+        rows = rows.withColumn("best", F.col("by_head"))
+    rows = rows.withColumn("target", signals.target_domain(F.col("best.uri"), rules)).withColumn("own", registrable_domain(F.when(F.col("target").isNotNull(), F.col("from_address")), rules))
+    signed = F.exists("dkim", lambda d: F.coalesce(registrable_domain(d, rules) == F.col("target"), F.lit(False)))
+    suspicious = F.when(F.col("target").isNull() | F.coalesce(F.col("own") == F.col("target"), F.lit(False)), False).otherwise(~signed)
+    best = F.col("best")
+    detection = F.struct(best["method"].alias("method"), best["uri"].alias("uri"), best["confidence"].alias("confidence"), best["evidence"].alias("evidence"), suspicious.alias("suspicious"))
+    return rows.withColumn("detection", F.when(best.isNotNull(), detection)).drop("raw", "html", "by_head", "by_body", "best", "target", "own")
 
 
 def detect_messages(mail: DataFrame, scrape_bodies: bool = True, rules: Rules = DEFAULT_RULES) -> DataFrame:
-    """Parsed mail with its detection. Only rows whose headers say nothing pass the body decoder; the others give it a null."""
-    rows = parsed_mail(mail).withColumn("by_head", signals.detect_headers(F.col("headers")))
-    html = mime.html_part(mime.decode_parts(F.when(F.col("by_head").isNull(), F.col("raw")))) if scrape_bodies else F.lit(None).cast("string")
-    rows = rows.withColumn("html", html)
-    return rows.withColumn("detection", signals.detect(F.col("headers"), F.col("html"), F.col("from_address"), rules)).withColumn("body_read", F.col("by_head").isNull() & F.lit(scrape_bodies)).drop("raw", "html", "by_head")
+    """Raw mail, parsed and with its detection."""
+    return detect_parsed(parsed_mail(mail), scrape_bodies, rules)
 
 
 def as_messages(detected: DataFrame, ingested_at: Column | None = None) -> DataFrame:
@@ -65,28 +87,38 @@ def dedupe_messages(messages: DataFrame, stored: DataFrame | None = None) -> Dat
 
 
 def sender_touch(messages: DataFrame, stored: DataFrame | None = None) -> DataFrame:
-    """First and last seen and the newest known name and address of each sender, together with what is stored."""
+    """First and last seen, and the name and address of the newest message that has one, of each sender, together with what is stored.
+
+    ``name_at`` and ``address_at`` are the instants of those messages, so that an old batch that comes late doesn't win.
+    """
     order = F.struct("received_at", *[c for c in ("folder_ord", "uid") if c in messages.columns])
 
     def newest(c: str) -> Column:
-        return F.max_by(c, F.when(F.col(c).isNotNull(), order))
+        return F.max_by(F.struct(F.col(c).alias("value"), F.col("received_at").alias("at")), F.when(F.col(c).isNotNull(), order))
 
-    new = messages.groupBy(F.col("sender_id").alias("id")).agg(F.min("received_at").alias("first_seen_at"), F.max("received_at").alias("last_seen_at"), newest("from_name").alias("display_name"), newest("from_address").alias("display_address"))
-    if stored is None:
-        return new
-    both = stored.select("id", F.col("first_seen_at").alias("f"), F.col("last_seen_at").alias("l"), F.col("display_name").alias("n"), F.col("display_address").alias("a")).join(new, "id", "full")
-    return both.select("id", F.least("f", "first_seen_at").alias("first_seen_at"), F.greatest("l", "last_seen_at").alias("last_seen_at"), F.coalesce("display_name", "n").alias("display_name"), F.coalesce("display_address", "a").alias("display_address"))
+    new = messages.groupBy(F.col("sender_id").alias("id")).agg(F.min("received_at").alias("first_seen_at"), F.max("received_at").alias("last_seen_at"), newest("from_name").alias("name"), newest("from_address").alias("address"))
+    if stored is not None:
+        old = stored.select("id", F.struct("first_seen_at", "last_seen_at", F.struct(F.col("display_name").alias("value"), F.col("name_at").alias("at")).alias("name"), F.struct(F.col("display_address").alias("value"), F.col("address_at").alias("at")).alias("address")).alias("old"))
+
+        def later(c: str) -> Column:
+            return F.when(F.col(c).isNull() | (F.col("old")[c]["at"] > F.col(c)["at"]), F.col("old")[c]).otherwise(F.col(c))
+
+        new = old.join(new, "id", "full").select("id", F.least("old.first_seen_at", "first_seen_at").alias("first_seen_at"), F.greatest("old.last_seen_at", "last_seen_at").alias("last_seen_at"), later("name").alias("name"), later("address").alias("address"))
+    return new.select("id", "first_seen_at", "last_seen_at", F.col("name.value").alias("display_name"), F.col("name.at").alias("name_at"), F.col("address.value").alias("display_address"), F.col("address.at").alias("address_at"))
 
 
 def advance_watermark(examined: DataFrame, stored: DataFrame | None, since: Column, as_of: Column) -> DataFrame:
-    """New sync_state rows of the folders examined. Write it after the messages: a crash then repeats work and leaves no gap."""
-    now = examined.groupBy("folder").agg(F.max("uidvalidity").alias("uidvalidity"), F.max("uid").alias("last_uid"))
+    """New sync_state rows of the folders examined: the highest uid of the highest uidvalidity, which numbers a folder's mail anew.
+
+    Write it after the messages: a crash then repeats work and leaves no gap.
+    """
+    now = examined.groupBy("folder").agg(F.max(F.struct("uidvalidity", F.col("uid").alias("last_uid"))).alias("now"))
     if stored is None:
-        return now.select("folder", "uidvalidity", "last_uid", as_of.alias("last_synced_at"), since.alias("backfill_since"))
-    old = stored.select("folder", F.col("uidvalidity").alias("__v"), F.col("last_uid").alias("__u"), F.col("backfill_since").alias("__s"))
-    both = now.join(old, "folder", "left")
-    same = F.col("__v") == F.col("uidvalidity")
-    return both.select("folder", "uidvalidity", F.when(same, F.greatest("last_uid", "__u")).otherwise(F.col("last_uid")).alias("last_uid"), as_of.alias("last_synced_at"), F.when(same, F.least(since, F.col("__s"))).otherwise(since).alias("backfill_since"))
+        return now.select("folder", "now.*", as_of.alias("last_synced_at"), since.alias("backfill_since"))
+    old = stored.select("folder", F.struct("uidvalidity", "last_uid").alias("old"), F.col("backfill_since").alias("old_since"))
+    both = now.join(old, "folder", "left").withColumn("mark", F.greatest("now", "old"))
+    kept = F.col("old.uidvalidity") == F.col("mark.uidvalidity")
+    return both.select("folder", "mark.*", as_of.alias("last_synced_at"), F.when(kept, F.least(since, F.col("old_since"))).otherwise(since).alias("backfill_since"))
 
 
 def sync_summary(detected: DataFrame, recorded: DataFrame, sync_state: DataFrame | None = None) -> DataFrame:

@@ -44,11 +44,14 @@ def method_label(method: Column) -> Column:
     return F.when(method == "one_click", "one-click").when(method == "http_link", "link").when(method == "mailto", "mailto").when(method == "body_link", "body link").otherwise("none")
 
 
-def mailbox_status(aggregates: DataFrame, decisions: DataFrame, as_of: Column) -> DataFrame:
-    """One row: senders, messages, awaiting a decision, hidden by a keep."""
+def mailbox_status(aggregates: DataFrame, decisions: DataFrame, as_of: Column, sync_state: DataFrame | None = None) -> DataFrame:
+    """One row: senders, messages, awaiting a decision, hidden by a keep; with ``sync_state`` also each folder's watermark, by folder."""
     rows = log.suppression_status(aggregates, decisions, as_of)
     state = F.col("state")
-    return rows.agg(F.count("*").alias("senders"), F.coalesce(F.sum("message_count"), F.lit(0)).alias("messages"), F.count_if(log.is_reviewable(state)).alias("awaiting"), F.count_if(log.is_hidden_by_keep(state)).alias("hidden"))
+    out = rows.agg(F.count("*").alias("senders"), F.coalesce(F.sum("message_count"), F.lit(0)).alias("messages"), F.count_if(log.is_reviewable(state)).alias("awaiting"), F.count_if(log.is_hidden_by_keep(state)).alias("hidden"))
+    if sync_state is None:
+        return out
+    return out.crossJoin(sync_state.agg(F.sort_array(F.collect_list(F.struct("folder", "uidvalidity", "last_uid", "last_synced_at"))).alias("folders")))  # one row with one row
 
 
 def latest_attempt(attempts: DataFrame) -> DataFrame:

@@ -91,13 +91,13 @@ def raw_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = F.when(F.col("value") > 60, F.concat(F.lit("track"), i % 5, F.lit(".elsewhere.co.uk"))).otherwise(F.concat(F.lit("mail."), own))
     https = F.concat(F.lit("<https://"), target, F.lit("/u?c="), i, F.lit(">"))
     mail = F.concat(F.lit("<mailto:leave-"), i, F.lit("@"), target, F.lit("?subject=stop>"))
-    unsub = F.when(kind == "click", F.concat(F.lit("List-Unsubscribe: "), https, F.lit(",\r\n "), mail, F.lit("\r\nList-Unsubscribe-Post: List-Unsubscribe=One-Click\r\n")))
-    unsub = unsub.when(kind == "view", F.concat(F.lit("List-Unsubscribe: "), https, F.lit("\r\n"))).when(kind == "purchase", F.concat(F.lit("List-Unsubscribe: "), mail, F.lit("\r\n"))).otherwise("")
+    stop = F.when(kind == "click", F.concat(F.lit("List-Unsubscribe: "), https, F.lit(",\r\n "), mail, F.lit("\r\nList-Unsubscribe-Post: List-Unsubscribe=One-Click\r\n")))
+    stop = stop.when(kind == "view", F.concat(F.lit("List-Unsubscribe: "), https, F.lit("\r\n"))).when(kind == "purchase", F.concat(F.lit("List-Unsubscribe: "), mail, F.lit("\r\n"))).otherwise("")
     link = F.concat(F.lit('<p>Hi</p><a href=3D"https://'), target, F.lit("/leave?c=3D"), i, F.lit('">Se d=C3=A9sabonner</a>'))
     body = F.when(kind == "signup", link).otherwise('<a href=3D"/home">Home</a>')
     raw = F.concat(
         F.lit('From: "=?UTF-8?Q?Caf=C3=A9_'), u, F.lit('?=" <news-'), u, F.lit("@"), own, F.lit(">\r\nSubject: Hello\r\n\tagain "), i, F.lit("\r\nMessage-ID: <m"), i, F.lit("@x>\r\nX-Other: y\r\n"),
-        F.when(i % 3 == 0, F.concat(F.lit('List-ID: "A list" <L'), u % 20, F.lit(".Lists.example>\r\n"))).otherwise(""), F.lit("DKIM-Signature: v=1; a=b;\r\n d=mail."), own, F.lit("; s=k\r\n"), unsub,
+        F.when(i % 3 == 0, F.concat(F.lit('List-ID: "A list" <L'), u % 20, F.lit(".Lists.example>\r\n"))).otherwise(""), F.lit("DKIM-Signature: v=1; a=b;\r\n d=mail."), own, F.lit("; s=k\r\n"), stop,
         F.lit("Content-Type: text/html; charset=utf-8\r\nContent-Transfer-Encoding: quoted-printable\r\n\r\n"), body,
     )
     return events.select(F.concat(F.lit("F"), i % 3).alias("folder"), F.lit(1).cast("long").alias("uidvalidity"), i.alias("uid"), F.col("ts").cast("timestamp_ntz").alias("internal_date"), raw.alias("raw"))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import dates, detect, identity, mime, text
@@ -14,13 +11,7 @@ from ..sources import mail as mail_source
 from ..sources import tables
 from ..streaming import ingest as streaming
 from . import driver_mail as dm
-from .queries import _DATE, _DKIM, _TARGET, ISO, aggregates, as_of, iso, query
-
-
-def workspace(spark) -> str:
-    """A new folder where the cluster shares files."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/mail-{uuid.uuid4().hex}"
+from .queries import _DATE, _DKIM, _TARGET, ISO, aggregates, as_of, iso, query, workspace
 
 
 def events(spark, d):
@@ -114,21 +105,22 @@ def _(spark, d):
 
 @query("stream_ingest", "SELECT CASE event_type WHEN 'click' THEN 'one_click' WHEN 'view' THEN 'http_link' WHEN 'purchase' THEN 'mailto' ELSE 'body_link' END AS method, count(*) AS messages FROM events WHERE event_type <> 'error' GROUP BY 1", views=False)
 def _(spark, d):
-    """All mail arrives in two micro-batches, and the first file arrives twice."""
+    """All mail arrives in several micro-batches, uids out of order, and one half arrives twice."""
     root, raw = workspace(spark), dm.raw_mail(spark, d)
     for part in (raw.filter("uid % 2 = 0"), raw.filter("uid % 2 = 1"), raw.filter("uid % 2 = 0")):
-        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
-    run = streaming.stream_ingest(spark, f"{root}/in", f"{root}/tables", f"{root}/checkpoint", as_of(), dates.instant("2023-01-01T00:00:00Z"), ("F0", "F1", "F2"), max_files=2)
+        part.write.mode("append").parquet(f"{root}/in")
+    run = streaming.stream_ingest(spark, f"{root}/in", f"{root}/tables", f"{root}/checkpoint", as_of(), dates.instant("2023-01-01T00:00:00Z"), ("F0", "F1", "F2"), max_files=spark.sparkContext.defaultParallelism)
     run.awaitTermination()
     return tables.read_table(spark, f"{root}/tables", "message").groupBy("method").agg(F.count("*").alias("messages"))
 
 
 @query("stream_dedupe", "SELECT count(DISTINCT id) AS ids, count(DISTINCT id) AS rows FROM m")
 def _(spark, d):
-    root = workspace(spark)
-    m = dm.messages(spark, d).select("id", "received_at")
-    m.coalesce(1).write.parquet(f"{root}/in")
-    stream = spark.readStream.schema(m.schema).parquet(f"{root}/in")
+    """The second row of each repeated id comes in a later micro-batch than the first."""
+    root, m = workspace(spark), dm.messages(spark, d)
+    for again in (False, True):
+        m.filter((F.col("uid") % 50 == 7) == again).select("id", "received_at").repartition(2, "id").write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema("id string, received_at timestamp_ntz").option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
     run = streaming.stream_dedupe(stream, "60 days").writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start(f"{root}/out")
     run.awaitTermination()
     return spark.read.parquet(f"{root}/out").agg(F.countDistinct("id").alias("ids"), F.count("*").alias("rows"))

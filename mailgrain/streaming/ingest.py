@@ -10,28 +10,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import cut
-from ..operators.ingest import advance_watermark, as_messages, dedupe_messages, detect_messages, folder_filter, sender_touch
+from ..operators.ingest import advance_watermark, as_messages, backfill_filter, dedupe_messages, detect_parsed, folder_filter, incremental_filter, sender_touch
 from ..operators.resolve import identities_of, resolve_senders
 from ..operators.senders import new_identities
 from ..sources import tables
+from ..sources.mail import parsed_mail
 from ..sources.tables import RAW_MAIL
 
 
-def ingest_batch(raw: DataFrame, root: str, as_of, since, folders: tuple[str, ...] = ("INBOX",), scrape_bodies: bool = True, mailbox: str = "") -> None:
-    """Ingest one batch of raw mail into the tables under ``root``."""
+def ingest_batch(raw: DataFrame, root: str, as_of, since, folders: tuple[str, ...] = ("INBOX",), scrape_bodies: bool = True, mailbox: str = "", by_watermark: bool = True) -> None:
+    """Ingest one batch of raw mail into the tables under ``root``.
+
+    ``by_watermark`` leaves out what a folder's watermark says was examined before; for a scan of a mailbox, in which uids only rise. Without it any
+    uid may come late. Either way keys already stored are left out by an anti-join on the key alone, before any body is decoded.
+    """
     spark = raw.sparkSession
     stored = {n: tables.read_table(spark, root, n) for n in ("sender", "sender_identity", "message", "sync_state")}
-    mail = folder_filter(raw, folders).filter(F.col("internal_date") >= since)
-    detected = detect_messages(mail.drop("folder_ord"), scrape_bodies)
+    mail = folder_filter(raw, folders)
+    mail = incremental_filter(mail, stored["sync_state"], since) if by_watermark else backfill_filter(mail, since)
+    parsed = parsed_mail(mail.drop("folder_ord")).join(stored["message"].select("id"), "id", "left_anti")
     place = F.array_position(F.array(*[F.lit(f) for f in folders]), F.col("folder")).cast("int")
-    messages = as_messages(detected.withColumn("folder_ord", place), as_of)
-    new = cut(dedupe_messages(messages, stored["message"]).withColumn("ord", F.struct("folder_ord", "uid")))
+    messages = as_messages(detect_parsed(parsed, scrape_bodies).withColumn("folder_ord", place), as_of)
+    new = cut(dedupe_messages(messages).withColumn("ord", F.struct("folder_ord", "uid")))
     resolved = cut(resolve_senders(new, stored["sender_identity"], mailbox))
     rows = cut(new.join(resolved.select("id", "sender_id"), "id"))
     found = cut(new_identities(identities_of(new, resolved), stored["sender_identity"]).withColumn("first_seen_at", as_of))
     touched = sender_touch(rows, stored["sender"]).withColumn("created_at", as_of)
-    kept = stored["sender"].select("id", F.col("created_at").alias("__c"), "merged_into")
-    senders = cut(touched.join(kept, "id", "left").withColumn("created_at", F.coalesce("__c", "created_at")).drop("__c"))
+    kept = stored["sender"].select("id", F.col("created_at").alias("created_before"), "merged_into")
+    senders = cut(touched.join(kept, "id", "left").withColumn("created_at", F.coalesce("created_before", "created_at")).drop("created_before"))
     marks = cut(tables.upsert_sync_state(stored["sync_state"], advance_watermark(mail, stored["sync_state"], since, as_of)))
     tables.append_log(found, root, "sender_identity")
     tables.write_snapshot(senders, root, "sender")
@@ -40,9 +46,12 @@ def ingest_batch(raw: DataFrame, root: str, as_of, since, folders: tuple[str, ..
 
 
 def stream_ingest(spark: SparkSession, source: str, root: str, checkpoint: str, as_of, since, folders: tuple[str, ...] = ("INBOX",), max_files: int = 100):
-    """Ingest what has arrived under ``source`` and stop; the checkpoint remembers files, so a later call goes on from there."""
+    """Ingest what has arrived under ``source`` and stop; the checkpoint remembers files, so a later call goes on from there.
+
+    Files come in any order of uids, so the watermark leaves nothing out here; it is kept up to date for mailbox scans.
+    """
     raw = spark.readStream.schema(RAW_MAIL).option("maxFilesPerTrigger", max_files).parquet(source)
-    run = raw.writeStream.foreachBatch(lambda df, _: ingest_batch(df, root, as_of, since, folders))
+    run = raw.writeStream.foreachBatch(lambda df, _: ingest_batch(df, root, as_of, since, folders, by_watermark=False))
     return run.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mailgrain.functions import dates, detect, identity, mime, text
-from mailgrain.functions.rules import Rules
+from mailgrain.functions.rules import Rules, read_suffixes
 
 
 def values(spark, inputs, f):
@@ -27,6 +27,13 @@ def test_registrable_domain(spark):
     assert values(spark, list(cases), identity.registrable_domain) == list(cases.values())
 
 
+def test_suffix_list(spark):
+    """Plain, wildcard and exception rules of a list's first section."""
+    rules = Rules(suffixes=read_suffixes(["// ICANN", "com", "co.uk", "*.ck", "!www.ck", "*.kawasaki.jp", "!city.kawasaki.jp", "// ===END ICANN", "github.io"]))
+    cases = {"a.b.com": "b.com", "x.co.uk": "x.co.uk", "a.b.c.ck": "b.c.ck", "c.ck": None, "a.www.ck": "www.ck", "a.b.c.kawasaki.jp": "b.c.kawasaki.jp", "c.kawasaki.jp": None, "x.city.kawasaki.jp": "city.kawasaki.jp", "u.github.io": "github.io"}
+    assert values(spark, list(cases), lambda c: identity.registrable_domain(c, rules)) == list(cases.values())
+
+
 def test_variable_segment(spark):
     yes, no = "12345 7f3a91c2 a1b2c3d4e5f6 000".split(), ["news", "bounce", "news2", "v2", "hello", "team", "", "q3"]
     assert values(spark, yes + no, identity.is_variable_segment) == [True] * len(yes) + [False] * len(no)
@@ -77,6 +84,21 @@ def test_parts(spark):
     assert [(p.content_type, p.text) for p in got[0]] == [("text/html", "<b>é</b>"), ("text/plain", "abé=")] and got[1][0].text == "body"
 
 
+def test_sections():
+    body = "pre\n--b\none\n\ntwo\n--b  \n--bx\n--b\n\nthree\n--b--\nafter\n--b\nlast\n"
+    assert mime.sections(body, "b") == ["one\n\ntwo", "--bx", "\nthree", "last\n"]
+    assert mime.sections("--b\n--b\nx", "b") == ["", "x"] and mime.sections("--b", "b") == [] and mime.sections("none", "b") == []
+    deep = "x"
+    for k in range(12):
+        deep = f"Content-Type: multipart/mixed; boundary=b{k}\n\n--b{k}\n{deep}\n--b{k}--\n"
+    assert mime.text_parts(deep) == []
+
+
+def test_unclosed_anchors_stay_linear(spark):
+    html = "<a href='/1'>one</a>" + "<a href='/x'>" * 30_000 + "</b>"
+    assert [len(x) for x in values(spark, [html, "<a href='/x'>" * 30_000], detect.extract_anchors)] == [1, 0]
+
+
 def test_anchors_and_links(spark):
     html = '<A HREF="/x">no</a> <a title=t>none</a><a href=\'https://a.example/p?x=1&amp;y=2\' title="Manage preferences">go</a><a href=https://b.example/c>Please  <b>un</b>subscribe</a><a href="https://c.example/optout">x</a>'
     got = values(spark, [html], detect.extract_anchors)[0]

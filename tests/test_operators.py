@@ -172,6 +172,60 @@ def test_incremental(spark):
     assert len(ingest.incremental_filter(raw(spark, MAIL), other, AT("2026-02-01T00:00:00Z")).collect()) == 6
 
 
+def test_two_uidvalidities_in_a_batch(spark):
+    rows = [(*eml(1000)[:1], 42, 1000, *eml(1000)[3:]), (*eml(5)[:1], 99, 5, *eml(5)[3:])]
+    got = ingest.advance_watermark(raw(spark, rows), None, AT("2025-01-01T00:00:00Z"), AT("2026-09-01T00:00:00Z")).first()
+    assert (got.uidvalidity, got.last_uid) == (99, 5)
+    marks = frame(spark, "sync_state", [dict(folder="INBOX", uidvalidity=99, last_uid=7, backfill_since="2025-01-01 00:00:00")])
+    later = ingest.advance_watermark(raw(spark, rows), marks, AT("2025-02-01T00:00:00Z"), AT("2026-09-01T00:00:00Z")).withColumn("since", F.col("backfill_since").cast("string")).first()
+    assert (later.uidvalidity, later.last_uid, later.since) == (99, 7, "2025-01-01 00:00:00")
+
+
+def test_the_newest_name_stays(spark):
+    def mail(rows):
+        return spark.createDataFrame(rows, "sender_id string, received_at string, uid long, from_name string, from_address string").withColumn("received_at", F.col("received_at").cast("timestamp_ntz"))
+
+    new = ingest.sender_touch(mail([("s", "2024-05-01 00:00:00", 9, "New Name", "n@x"), ("s", "2024-06-01 00:00:00", 10, None, "o@x")]))
+    both = ingest.sender_touch(mail([("s", "2023-01-01 00:00:00", 20, "Old Name", "q@x"), ("t", "2023-01-01 00:00:00", 21, None, "t@x")]), new)
+    got = {r.id: r for r in both.withColumn("first", F.col("first_seen_at").cast("string")).collect()}
+    assert (got["s"].display_name, got["s"].display_address, got["s"].first) == ("New Name", "o@x", "2023-01-01 00:00:00") and got["t"].display_name is None
+    third = ingest.sender_touch(mail([("s", "2024-07-01 00:00:00", 1, "Newest", None)]), both).filter("id = 's'").first()
+    assert (third.display_name, third.display_address) == ("Newest", "o@x")
+
+
+def test_ingest_by_watermark(spark, tmp_path, monkeypatch):
+    """A rerun examines nothing; a new uidvalidity or a wider window examines all again, and adds only what is new."""
+    from mailgrain.operators import ingest as job
+
+    seen, whole = [], job.incremental_filter
+
+    def counted(*args):
+        out = whole(*args)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(streaming, "incremental_filter", counted)
+    args = dict(as_of=AT("2026-09-01T00:00:00Z"), folders=("INBOX", "Other"))
+    root = f"{tmp_path}/a"
+    streaming.ingest_batch(raw(spark, MAIL), root, since=AT("2026-08-04T00:00:00Z"), **args)
+    streaming.ingest_batch(raw(spark, MAIL), root, since=AT("2026-08-04T00:00:00Z"), **args)
+    assert seen == [4, 0] and [r.id for r in state(spark, root)[0]] == ["<2@x>", "<3@x>", "<4@x>"]
+    streaming.ingest_batch(raw(spark, MAIL), root, since=AT("2026-08-01T00:00:00Z"), **args)
+    assert seen[2] == 6 and [r.id for r in state(spark, root)[0]] == ["<1@x>", "<2@x>", "<3@x>", "<4@x>"]
+    renumbered = [(f, 99, u + 100, d, r) for f, _, u, d, r in MAIL] + [("INBOX", 99, 300, *eml(7, "List-Unsubscribe: <https://x.example/u>\r\n")[3:])]
+    streaming.ingest_batch(raw(spark, renumbered), root, since=AT("2026-08-01T00:00:00Z"), **args)
+    assert seen[3] == 7 and [r.id for r in state(spark, root)[0]][4:] == ["<7@x>"] and [tuple(r) for r in state(spark, root)[2]] == [("INBOX", 300), ("Other", 106)]
+
+
+def test_half_written_snapshots_do_not_count(spark, tmp_path):
+    rows = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id string")
+    for n in range(1, 4):
+        tables.write_snapshot(rows(*"abc"[:n]), str(tmp_path), "sender")
+    (tmp_path / "sender" / "snapshot-000000004").mkdir()
+    assert tables.read_table(spark, str(tmp_path), "sender").count() == 3
+    assert sorted(p.name for p in (tmp_path / "sender").iterdir()) == [f"snapshot-00000000{n}" for n in (2, 3, 4)]
+
+
 def test_plan(spark):
     rows = [("a", "one_click", "https://x", False), ("b", "mailto", "mailto:u@x.example", False), ("c", "mailto", "mailto:bad", False), ("d", "http_link", "https://x", True), ("e", None, None, False)]
     agg = spark.createDataFrame(rows, "sender_id string, method string, unsubscribe_uri string, suspicious boolean")
