@@ -69,11 +69,17 @@ def detect_messages(mail: DataFrame, scrape_bodies: bool = True, rules: Rules =
     return detect_parsed(parsed_mail(mail), scrape_bodies, rules)
 
 
+def with_signal(detected: DataFrame) -> DataFrame:
+    """Rows that have a detection. Exploded, not filtered: the optimiser would push a filter below and compute all tiers twice."""
+    found = F.explode(F.filter(F.array("detection"), lambda d: d.isNotNull())).alias("detection")
+    return detected.select(*[F.col(c) for c in detected.columns if c != "detection"], found)
+
+
 def as_messages(detected: DataFrame, ingested_at: Column | None = None) -> DataFrame:
     """Rows of the message table, still without senders; rows without a signal go."""
     d = F.col("detection")
     extra = [F.col("folder_ord")] if "folder_ord" in detected.columns else []
-    return detected.filter(d.isNotNull()).select(
+    return with_signal(detected).select(
         "id", "folder", "uidvalidity", "uid", "received_at", "subject", "from_name", "from_address", "list_id", "dkim", d["method"].alias("method"), d["confidence"].alias("confidence"),
         d["uri"].alias("unsubscribe_uri"), d["suspicious"].alias("suspicious"), (ingested_at if ingested_at is not None else F.lit(None).cast("timestamp_ntz")).alias("ingested_at"), *extra,
     )

@@ -64,7 +64,7 @@ def decide(tuples: DataFrame) -> DataFrame:
             return reduce(DataFrame.unionByName, parts)
         todo = todo.drop("leads", "ready", "sender_id", "outcome", "also_matched")
         for c in NAMED:
-            claims = done.filter(free[c]).select(c, F.col("sender_id").alias("claimed"))
+            claims = done.filter(free[c]).select(c, F.col("sender_id").alias("claimed"))  # never null, and one row a key
             todo = todo.join(claims, c, "left").withColumn(f"own_{c}", F.coalesce(f"own_{c}", "claimed")).drop("claimed")
 
 
@@ -73,7 +73,7 @@ def resolve_senders(messages: DataFrame, identities: DataFrame, mailbox: str = "
 
     ``identities`` are the stored (sender_id, kind, value). A message without any usable key is a sender of its own, by its id.
     """
-    keyed = message_keys(messages, rules)
+    keyed = cut(message_keys(messages.select("id", "ord", "list_id", "from_address"), rules).select("id", "ord", *NAMED))  # read twice below
     usable = F.col("norm_key").isNotNull() | F.col("list_key").isNotNull() | F.col("address_key").isNotNull()
     stored = identities.filter(F.col("kind").isin(*RESOLVING)).select("kind", "value", "sender_id")
 

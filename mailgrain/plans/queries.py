@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, detect, identity, mime, text
 from ..operators import decisions as log
 from ..operators import ingest, integrity, resolve, review, senders
+from ..operators.graph import cut
 from ..sources import mail as mail_source
 from ..sources import tables
 from . import driver_mail as dm
@@ -165,7 +166,7 @@ def _(spark, d):
 @query("detect", f"SELECT event_id AS uid, {_METHOD} AS method, {_URI} AS uri, {_CONF} AS confidence, value > 60 AS suspicious FROM events WHERE event_type <> 'error'", views=False)
 def _(spark, d):
     x = F.col("detection")
-    return ingest.detect_messages(dm.raw_mail(spark, d)).filter(x.isNotNull()).select("uid", x["method"].alias("method"), x["uri"].alias("uri"), x["confidence"].alias("confidence"), x["suspicious"].alias("suspicious"))
+    return ingest.with_signal(ingest.detect_messages(dm.raw_mail(spark, d))).select("uid", x["method"].alias("method"), x["uri"].alias("uri"), x["confidence"].alias("confidence"), x["suspicious"].alias("suspicious"))
 
 
 @query("headers_inconclusive", "SELECT event_id AS uid FROM events WHERE event_type IN ('signup', 'error')", views=False)
@@ -430,7 +431,8 @@ def _(spark, d):
 
 @query("sync_summary", "SELECT concat('F', event_id % 3) AS folder, count(*) AS examined, count(*) FILTER (event_type <> 'error') AS detected, count(*) FILTER (event_type <> 'error') AS recorded, count(*) FILTER (event_type IN ('signup', 'error')) AS bodies_fetched, max(event_id) AS last_uid FROM events GROUP BY 1", views=False)
 def _(spark, d):
-    found = ingest.detect_messages(dm.raw_mail(spark, d))
+    """Detection is written once, as in an ingest, and then counted twice."""
+    found = cut(ingest.detect_messages(dm.raw_mail(spark, d)))
     return ingest.sync_summary(found, ingest.dedupe_messages(ingest.as_messages(found))).select("folder", "examined", "detected", "recorded", "bodies_fetched", "last_uid")
 
 
