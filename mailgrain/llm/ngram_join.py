@@ -233,7 +233,7 @@ def deal_blocks(groups: DataFrame, rows: DataFrame, reps: DataFrame, threshold:
     return whole.unionByName(split), links
 
 
-def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, recall: float = 0.9999, block: int = 1024, block_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, recall: float = 0.9999, block: int = 512, block_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, class_id, n_links, kept (the first row of its class), fp (xxhash64 of its text)."""
     floor = floor_depth(threshold, trees, recall=recall)
 
