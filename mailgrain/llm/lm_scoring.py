@@ -191,7 +191,7 @@ def good_documents(labels: DataFrame, folds: int = FOLDS, label: str = "quality"
     return known.filter((F.col("y") == 1) & (F.crc32(F.col("doc_id").cast("string")) % folds != 0)).select("doc_id")
 
 
-def cross_entropy_difference(docs: DataFrame, target: DataFrame, size: int | None = None, mu: float = 1000.0, id_col: str = "doc_id", text_col: str = "text", chunk_words: int = 2_000_000) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, size: int | None = None, mu: float = 1000.0, id_col: str = "doc_id", text_col: str = "text", chunk_words: int = 1_500_000) -> DataFrame:
     """One row per document: tokens, mean losses under both models, and their difference."""
     texts = doc_texts(docs, id_col, text_col)
     vocab = None if size is None else vocabulary(texts, size)
