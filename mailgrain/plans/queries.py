@@ -284,10 +284,10 @@ def _(spark, d):
 
 
 def _known(spark, d):
-    """A stored identity table: lists 0 to 9, and the addresses of users below 60."""
+    """A stored identity table: lists 0 to 9, and the addresses of two users of five."""
     e = spark.read.parquet(f"{d}/events.parquet")
     lists = e.filter("user_id % 20 < 10").select(F.concat(F.lit("L"), F.col("user_id") % 20).alias("sender_id"), F.lit("list_id").alias("kind"), F.concat(F.lit("l"), F.col("user_id") % 20, F.lit(".lists.example")).alias("value"))
-    addresses = e.filter("user_id < 60").select(F.concat(F.lit("A"), F.col("user_id")).alias("sender_id"), F.lit("from_address").alias("kind"), F.expr(_FROM).alias("value"))
+    addresses = e.filter("user_id % 5 < 2").select(F.concat(F.lit("A"), F.col("user_id")).alias("sender_id"), F.lit("from_address").alias("kind"), F.expr(_FROM).alias("value"))
     return lists.union(addresses).distinct()
 
 
@@ -299,23 +299,23 @@ def _candidates(spark, d):
 _BY_LIST = "event_id % 3 = 0 AND user_id % 20 < 10"
 
 
-@query("find_matches", f"SELECT concat('<m', event_id, '@x>') AS message_id, 'list_id' AS kind, concat('L', user_id % 20) AS sender_id FROM events WHERE {_BY_LIST} UNION ALL SELECT concat('<m', event_id, '@x>'), 'from_address', concat('A', user_id) FROM events WHERE user_id < 60", views=False)
+@query("find_matches", f"SELECT concat('<m', event_id, '@x>') AS message_id, 'list_id' AS kind, concat('L', user_id % 20) AS sender_id FROM events WHERE {_BY_LIST} UNION ALL SELECT concat('<m', event_id, '@x>'), 'from_address', concat('A', user_id) FROM events WHERE user_id % 5 < 2", views=False)
 def _(spark, d):
     return senders.find_matches(_candidates(spark, d), _known(spark, d)).select("message_id", "kind", "sender_id")
 
 
-@query("resolve_sender", f"SELECT concat('<m', event_id, '@x>') AS message_id, CASE WHEN {_BY_LIST} AND user_id < 60 THEN 'ambiguous' WHEN {_BY_LIST} OR user_id < 60 THEN 'existing' ELSE 'new' END AS outcome, CASE WHEN {_BY_LIST} THEN concat('L', user_id % 20) WHEN user_id < 60 THEN concat('A', user_id) END AS sender_id, CASE WHEN {_BY_LIST} AND user_id < 60 THEN concat('A', user_id) ELSE '' END AS also FROM events", views=False)
+@query("resolve_sender", f"SELECT concat('<m', event_id, '@x>') AS message_id, CASE WHEN {_BY_LIST} AND user_id % 5 < 2 THEN 'ambiguous' WHEN {_BY_LIST} OR user_id % 5 < 2 THEN 'existing' ELSE 'new' END AS outcome, CASE WHEN {_BY_LIST} THEN concat('L', user_id % 20) WHEN user_id % 5 < 2 THEN concat('A', user_id) END AS sender_id, CASE WHEN {_BY_LIST} AND user_id % 5 < 2 THEN concat('A', user_id) ELSE '' END AS also FROM events", views=False)
 def _(spark, d):
     return senders.resolve_known(_candidates(spark, d), _known(spark, d)).select("message_id", "outcome", "sender_id", F.coalesce(F.array_join("also_matched", ","), F.lit("")).alias("also"))
 
 
 @query("resolve_senders_cold", f"""
 WITH e AS (SELECT event_id, user_id AS u, user_id % 20 AS k, user_id % 10 AS j, event_id % 3 AS f, {_FROM} AS a FROM events),
-own AS (SELECT k, CASE WHEN k < 10 THEN concat('L', k) WHEN arg_min(u, event_id) < 60 THEN concat('A', arg_min(u, event_id)) ELSE sha256(concat(chr(31), 'list_id', chr(31), 'l', k, '.lists.example')) END AS owner FROM e WHERE f = 0 GROUP BY k),
+own AS (SELECT k, CASE WHEN k < 10 THEN concat('L', k) WHEN arg_min(u, event_id) % 5 < 2 THEN concat('A', arg_min(u, event_id)) ELSE sha256(concat(chr(31), 'list_id', chr(31), 'l', k, '.lists.example')) END AS owner FROM e WHERE f = 0 GROUP BY k),
 lists AS (SELECT DISTINCT u, owner AS by_list FROM e JOIN own USING (k) WHERE f = 0),
 x AS (SELECT e.*, own.owner, by_list, sha256(concat(chr(31), 'from_address', chr(31), a)) AS fresh FROM e LEFT JOIN own USING (k) LEFT JOIN lists USING (u)),
-stars AS (SELECT j, arg_min(coalesce(by_list, fresh), (f, event_id)) AS star FROM x WHERE f > 0 AND u >= 100 GROUP BY j)
-SELECT concat('<m', event_id, '@x>') AS id, CASE WHEN f = 0 THEN owner WHEN u < 60 THEN concat('A', u) WHEN by_list IS NOT NULL THEN by_list WHEN u < 100 THEN fresh ELSE star END AS sender_id FROM x LEFT JOIN stars USING (j)
+stars AS (SELECT j, arg_min(CASE WHEN u % 5 < 2 THEN concat('A', u) ELSE coalesce(by_list, fresh) END, (f, event_id)) AS star FROM x WHERE f > 0 AND u >= 100 GROUP BY j)
+SELECT concat('<m', event_id, '@x>') AS id, CASE WHEN f = 0 THEN owner WHEN u % 5 < 2 THEN concat('A', u) WHEN by_list IS NOT NULL THEN by_list WHEN u < 100 THEN fresh ELSE star END AS sender_id FROM x LEFT JOIN stars USING (j)
 """, views=False)
 def _(spark, d):
     """Order-dependent: lists come first (folder F0), then addresses, then what rotating addresses share; the tests hold random mail against a sequential pass."""
@@ -323,7 +323,7 @@ def _(spark, d):
     return resolve.resolve_senders(rows, _known(spark, d)).select("id", "sender_id")
 
 
-@query("new_identities", f"SELECT DISTINCT concat('s', user_id) AS sender_id, 'from_address' AS kind, {_FROM} AS value FROM events WHERE user_id >= 60 UNION SELECT DISTINCT concat('s', user_id), 'dkim_domain', {_DKIM} FROM events", views=False)
+@query("new_identities", f"SELECT DISTINCT concat('s', user_id) AS sender_id, 'from_address' AS kind, {_FROM} AS value FROM events WHERE user_id % 5 >= 2 UNION SELECT DISTINCT concat('s', user_id), 'dkim_domain', {_DKIM} FROM events", views=False)
 def _(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")
     sender, order = F.concat(F.lit("s"), F.col("user_id")).alias("sender_id"), F.col("event_id").alias("ord")
