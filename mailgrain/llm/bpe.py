@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer, pre_tokenizers
 
+from .common import keep_only
+
 #: Fixed value: the published pre-tokeniser pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters whose classes are the same in every Unicode version.
@@ -62,6 +64,10 @@ class Encoder:
         pre = self.tokenizer.pre_tokenizer
         self.plain = self.tokenizer.normalizer is None and isinstance(pre, pre_tokenizers.ByteLevel) and not pre.add_prefix_space
 
+    def clear(self) -> None:
+        self.pieces.clear()
+        self.held = 0
+
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -109,8 +115,7 @@ class Encoder:
         if not at:
             return out
         if self.held > self.max_bytes:
-            self.pieces.clear()
-            self.held = 0
+            self.clear()
         words = pc.split_pattern(pa.array([HEAD + texts[i].replace("\n", " \n") for i in at], pa.large_string()), " ")
         coded = words.values.dictionary_encode()
         distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
@@ -153,4 +158,5 @@ def encoder(path: str) -> Encoder:
     """The encoder of this worker process; its pieces serve all its tasks."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+    keep_only(_encoders[path])
     return _encoders[path]

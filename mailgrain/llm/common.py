@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -55,6 +56,19 @@ class Words(dict):
         return value
 
 
+_in_use = None
+
+
+def keep_only(cache) -> None:
+    """For the start of a task: a worker serves one operator after another, and what it kept for the last one is let go, so that it holds one cache at a time."""
+    global _in_use
+    if cache is not _in_use:
+        if _in_use is not None:
+            _in_use.clear()
+            pa.default_memory_pool().release_unused()
+        _in_use = cache
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """Column names for the time of a job that clash with none of ``df``'s, upper and lower case being one."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, doc_texts, release, table, written
+from .common import Words, doc_texts, keep_only, release, table, written
 
 FOLDS = 5
 START, UNK = 0, 1  # in place of a word's hash
@@ -44,6 +44,11 @@ def word_hash(word: str) -> int:
 _words = Words(word_hash, 400_000)
 
 
+def keep_words() -> None:
+    """For the start of a task that hashes words."""
+    keep_only(_words)
+
+
 def word_hashes(text: str) -> np.ndarray:
     """The hash of each word; a worker keeps those it has met."""
     return np.array([_words[w] for w in text.lower().split()], np.uint64)
@@ -53,6 +58,7 @@ def word_counts(docs: DataFrame, flush_words: int = 2_000_000) -> DataFrame:
     """(hash, n) of every word of every text."""
 
     def run(batches):
+        keep_words()
         held, size = [], 0
 
         def rows():
@@ -109,6 +115,7 @@ def cut_chunks(marked: DataFrame, vocab: np.ndarray | None, chunk_words: int) ->
 
     def run(batches):
         number, known = TaskContext.get().partitionId() << 32, shared.value
+        keep_words()
         held: list[tuple] = []
 
         def row():

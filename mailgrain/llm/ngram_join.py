@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from .common import free_names, table, written
-from .toxicity import word_hashes
+from .toxicity import keep_words, word_hashes
 
 SHINGLE = 5
 TREES = 32
@@ -240,6 +240,7 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, trees: int
     def sketch(batches):
         forest, base, made = Forest(trees, floor, MAX_DEPTH), TaskContext.get().partitionId() << 40, 0
         seen: dict[bytes, int] = {}
+        keep_words()
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
         for b in batches:
             cols: list[list] = [[] for _ in kinds]

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Words, doc_texts, table, written
+from .common import Words, doc_texts, keep_only, table, written
 
 FOLDS = 5
 ALPHA, L1, EPOCHS = 1.0, 10.0, 5
@@ -40,6 +40,11 @@ def word_hash(word: str) -> int:
 _words = Words(word_hash)
 
 
+def keep_words() -> None:
+    """For the start of a task that hashes words."""
+    keep_only(_words)
+
+
 def word_hashes(text: str) -> np.ndarray:
     """A 32-bit hash of each word, lower case and without punctuation at its ends; words of punctuation alone are skipped."""
     h = np.array([_words[w] for w in text.lower().split()], np.int64)
@@ -97,6 +102,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int, max_feature
     chosen = known.filter(F.crc32(F.col("doc_id").cast("string")) % FOLDS != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
 
     def features(batches):
+        keep_words()
         for b in batches:
             x = [np.unique(feature_hashes(t)).view(np.int32) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("fp"), b.column("y"), pa.array([len(v) for v in x], pa.int64()), pa.array(x, pa.list_(pa.int32()))], names=["doc_id", "fp", "y", "size", "x"])
@@ -134,6 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000, max_feature
 
 def scorer(model):
     """texts → scores, on a worker."""
+    keep_words()
     if model is None:
         return lambda texts: np.zeros(len(texts))
     at, values, bias = model
