@@ -5,6 +5,7 @@ from __future__ import annotations
 from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .lm_scoring import op10_lm_scoring
 from .media import op5_media
+from .merkle import OP12_SQL, op12_merkle
 from .ngram_join import OP9_SQL, op9_ngram_join
 from .packing import op6_packing
 from .pieces import op7_pieces
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_ngram_join": op9_ngram_join,
     "op10_lm_scoring": op10_lm_scoring,
+    "op12_merkle": op12_merkle,
 }
-SQL: dict[str, str] = {"op9_ngram_join": OP9_SQL, "op3_exact_dedup": OP3_SQL}
+SQL: dict[str, str] = {"op9_ngram_join": OP9_SQL, "op3_exact_dedup": OP3_SQL, "op12_merkle": OP12_SQL}
