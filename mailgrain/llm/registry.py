@@ -13,6 +13,7 @@ from .pii import op2_pii
 from .secret_scan import op8_secret_scan
 from .token_store import op1_token_store
 from .toxicity import op4_toxicity
+from .warc import OP11_SQL, op11_warc
 
 QUERIES = {
     "op1_token_store": op1_token_store,
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_ngram_join": op9_ngram_join,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_warc": op11_warc,
     "op12_merkle": op12_merkle,
 }
-SQL: dict[str, str] = {"op9_ngram_join": OP9_SQL, "op3_exact_dedup": OP3_SQL, "op12_merkle": OP12_SQL}
+SQL: dict[str, str] = {"op9_ngram_join": OP9_SQL, "op3_exact_dedup": OP3_SQL, "op11_warc": OP11_SQL, "op12_merkle": OP12_SQL}
