@@ -1,9 +1,9 @@
 """Jaccard similarity self-join of texts on word shingles: MinHash LSH forest, then exact verification.
 
-1. Each text becomes a set of 32-bit shingle fingerprints (five words each) and, for each tree, a label of ``max_depth`` MinHash values.
+1. Each text becomes a set of 64-bit shingle fingerprints (five words each) and, for each tree, a label of ``max_depth`` MinHash values.
    A tree is the sorted labels, that is a prefix trie; two texts meet in it at the length of their common prefix. No pair needs a
    shorter prefix than the floor, at which one at the threshold meets in some tree with probability ``recall``.
-2. Texts with equal sets are copies: one stands for all, with their number.
+2. Texts with equal sets are copies, by a 128-bit digest of fingerprints of 128 bits: one stands for all, with their number.
 3. Spark groups what meets at the floor: texts of one floor prefix are linked to the smallest of them, and the connected
    components of these links are the candidate groups, so each set travels once, however many subtries it lies in.
 4. A group's labels are sorted, and its pairs compared exactly by falling length of their common prefix, only those that share
@@ -15,6 +15,10 @@
    of the group, n of them, meet each block: n x (group / block) rows, which for a group that is no such ball is quadratic.
 6. Classes are the connected components of the verified links. Only link counts and forests leave a task, never pairs.
 
+What decides a link: sets of fewer than ``threshold / (1 - threshold)`` shingles (four, at 0.8) can only be linked by being equal, which is
+decided on 128 bits; others by their 64-bit fingerprints, where a false link takes a pair that truly shares most of its shingles and
+also a collision among the few others. The MinHash values have 32 bits; they only choose what is compared.
+
 Words are split at blanks, in lower case, without punctuation at their ends. Defined results: a text with one to four
 words is one shingle; a text without words (null, empty, punctuation only) is compared as a whole, so null and empty
 texts form one class; repeated rows count as links of each other; class_id is the smallest doc_id of the class, null only if
@@ -23,8 +27,6 @@ all are; an empty table gives no rows; other columns are not read, and ``drop_ne
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -34,8 +36,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import free_names, table, written
-from .toxicity import keep_words, word_hashes
+from .common import Words, free_names, keep_only, table, written
+from .toxicity import _EDGES
 
 SHINGLE = 5
 TREES = 32
@@ -57,17 +59,34 @@ def floor_depth(threshold: float = THRESHOLD, trees: int = TREES, max_depth: int
     raise ValueError("more trees are needed for this recall")
 
 
-def shingles(text: str) -> np.ndarray:
-    """Sorted distinct 32-bit fingerprints of the text's shingles."""
-    h = word_hashes(text)
+def word_digest(word: str) -> bytes:
+    """128 bits of a word without punctuation at its ends; nothing for punctuation alone."""
+    bare = word.strip(_EDGES)
+    return xxhash.xxh3_128_digest(bare.encode()) if bare else b""
+
+
+_words = Words(word_digest)
+
+
+def shingles(text: str) -> tuple[np.ndarray, bytes]:
+    """(sorted distinct 64-bit fingerprints of the text's shingles, 128-bit digest of the set by its 128-bit fingerprints)."""
+    h = np.frombuffer(b"".join([_words[w] for w in text.lower().split()]), "<u8").reshape(-1, 2)
     if not len(h):
-        return np.array([zlib.crc32(text.encode())], np.uint32)
+        return np.array([xxhash.xxh3_64_intdigest(text.encode())], np.uint64), xxhash.xxh3_128_digest(text.encode(), 1)
     size = min(SHINGLE, len(h))
-    mixed = np.zeros(len(h) - size + 1, np.uint64)
+    mixed = np.zeros((len(h) - size + 1, 2), np.uint64)
     for k in range(size):
-        mixed = (mixed ^ h[k : len(h) - size + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = (mixed ^ h[k : len(h) - size + 1 + k]) * np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
         mixed ^= mixed >> np.uint64(29)
-    return np.unique((mixed >> np.uint64(32)).astype(np.uint32))
+    mixed = mixed[np.lexsort((mixed[:, 1], mixed[:, 0]))]
+    mixed = mixed[np.concatenate([[True], (mixed[1:] != mixed[:-1]).any(1)])]
+    first = mixed[:, 0]
+    return np.ascontiguousarray(first[np.concatenate([[True], first[1:] != first[:-1]])]), xxhash.xxh3_128_digest(np.ascontiguousarray(mixed).tobytes())
+
+
+def least_size(threshold: float) -> float:
+    """Smaller sets are linked only if they are equal."""
+    return threshold / (1 - threshold) - 1e-9 if threshold < 1 else float("inf")
 
 
 class Forest:
@@ -114,7 +133,7 @@ def common_prefixes(keys: np.ndarray, deeper: np.ndarray, floor: int) -> np.ndar
 def link_block(frame: pd.DataFrame, threshold: float, floor: int, missed: float = 1e-5) -> pd.DataFrame:
     """Counts and forest of the links within one block, or between two: rows (rep, links, parent)."""
     own, first = frame["own"].to_numpy(), frame["first"].to_numpy()
-    sets = [np.frombuffer(b, "<u4") for b in frame["shingles"]]
+    sets = [np.frombuffer(b, "<u8") for b in frame["shingles"]]
     sizes = np.array([len(s) for s in sets])
     keys = np.stack([np.asarray(k) for k in frame["keys"]])
     n, trees = keys.shape
@@ -122,6 +141,7 @@ def link_block(frame: pd.DataFrame, threshold: float, floor: int, missed: float
     depths = common_prefixes(keys, deeper, floor)
     wanted = np.triu(own[:, None] & own, 1) | (first[:, None] & ~first & ~own)
     wanted &= np.minimum(sizes[:, None], sizes) >= threshold * np.maximum(sizes[:, None], sizes) - 1e-9
+    wanted &= np.minimum(sizes[:, None], sizes) >= least_size(threshold)  # the sets of different texts here are not equal
     depths[~wanted] = 0
     flat, at = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.concatenate([[0], np.cumsum(sizes)])
@@ -160,15 +180,15 @@ def link_block(frame: pd.DataFrame, threshold: float, floor: int, missed: float
 
 def centre(frame: pd.DataFrame) -> pd.DataFrame:
     """The shingles that more than half of a block's sets hold."""
-    values, n = np.unique(np.concatenate([np.frombuffer(b, "<u4") for b in frame["shingles"]]), return_counts=True)
-    return pd.DataFrame({"root": [frame["root"].iloc[0]], "middle": [values[n > len(frame) / 2].astype("<u4").tobytes()]})
+    values, n = np.unique(np.concatenate([np.frombuffer(b, "<u8") for b in frame["shingles"]]), return_counts=True)
+    return pd.DataFrame({"root": [frame["root"].iloc[0]], "middle": [values[n > len(frame) / 2].astype("<u8").tobytes()]})
 
 
 def is_near(sets: bytes, middle: bytes, threshold: float) -> bool:
     """Within half the distance that a link may have."""
-    a, b = np.frombuffer(sets, "<u4"), np.frombuffer(middle, "<u4")
+    a, b = np.frombuffer(sets, "<u8"), np.frombuffer(middle, "<u8")
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return both >= (1 + threshold) / 2 * (len(a) + len(b) - both) - 1e-9
+    return len(a) >= least_size(threshold) and both >= (1 + threshold) / 2 * (len(a) + len(b) - both) - 1e-9
 
 
 def only(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -197,7 +217,7 @@ def deal_blocks(groups: DataFrame, rows: DataFrame, reps: DataFrame, threshold:
     """(root, rep, near, mine, others, whole): the block of each text of a group and those it meets; and the links inside balls."""
     size = only(rows.select("local", "size"), groups.select(F.col("node").alias("local")))
     of_root = groups.join(size, F.col("node") == F.col("local")).groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
-    blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("words") * 4 / block_bytes)).cast("int")
+    blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("words") * 8 / block_bytes)).cast("int")
     sizes = written(of_root.select("root", blocks.alias("blocks")))
     part = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
     members = groups.select("root", F.col("node").alias("rep"))
@@ -240,19 +260,18 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, trees: int
     def sketch(batches):
         forest, base, made = Forest(trees, floor, MAX_DEPTH), TaskContext.get().partitionId() << 40, 0
         seen: dict[bytes, int] = {}
-        keep_words()
+        keep_only(_words)
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
         for b in batches:
             cols: list[list] = [[] for _ in kinds]
             for doc_id, fp, text in zip(b.column("doc_id").to_pylist(), b.column("fp").to_pylist(), b.column("text").to_pylist(), strict=True):
-                s = shingles(text)
-                same = xxhash.xxh3_128_digest(s.tobytes())
+                s, same = shingles(text)
                 local = seen.get(same)
                 head = (None,) * 3
                 if local is None:
                     local = seen[same] = base + made
                     made += 1
-                    head = (*forest.labels(s), s.astype("<u4").tobytes())
+                    head = (*forest.labels((s >> np.uint64(32)).astype(np.uint32)), s.astype("<u8").tobytes())
                 for c, v in zip(cols, (doc_id, fp, local, head[0] is not None, len(s), same, *head), strict=True):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[f.split()[0] for f in ROWS.split(", ")])

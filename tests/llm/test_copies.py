@@ -1,6 +1,7 @@
 """Exact copies and the n-gram join against brute force."""
 
 import random
+import zlib
 import re
 
 import duckdb
@@ -123,6 +124,23 @@ def test_join_edges(spark):
     assert ngram_join.similar_documents(docs.limit(0)).count() == 0
 
 
+def test_words_of_one_crc_are_not_copies(spark):
+    """Two words with the same 32-bit CRC, alone and in longer texts, and a clean pair beside them."""
+    assert zlib.crc32(b"plumless") == zlib.crc32(b"buckeroo")
+    long = " ".join(f"w{k}" for k in range(12))
+    rows = [(1, "plumless"), (2, "buckeroo"), (3, "one two three plumless five six"), (4, "one two three buckeroo five six"), (5, f"{long} plumless"), (6, f"{long} buckeroo"), (7, "Plumless!")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in ngram_join.similar_documents(docs).collect())
+    assert got == brute(rows) and {d: c for d, c, _ in got} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 5, 7: 1}  # 8 of 10 shingles are equal in 5 and 6
+    assert sorted(r.doc_id for r in ngram_join.drop_near_copies(docs).collect()) == [1, 2, 3, 4, 5]
+
+
+def test_many_short_texts_have_no_links(spark):
+    """200,000 different texts of two words: 32 bits would link some of them."""
+    docs = spark.range(200_000).selectExpr("id AS doc_id", "concat('a', id div 500, ' b', id % 500) AS text")
+    assert ngram_join.similar_documents(docs).filter("n_links > 0 OR class_id <> doc_id").count() == 0
+
+
 def test_floor_depth():
     assert ngram_join.meeting(0.8, ngram_join.floor_depth()) >= 0.9999 > ngram_join.meeting(0.8, ngram_join.floor_depth() + 1)
     with pytest.raises(ValueError):
