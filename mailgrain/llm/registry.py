@@ -8,6 +8,7 @@ from .media import op5_media
 from .merkle import OP12_SQL, op12_merkle
 from .ngram_join import OP9_SQL, op9_ngram_join
 from .packing import op6_packing
+from .phrases import OP13_SQL, op13_phrases
 from .pieces import op7_pieces
 from .pii import op2_pii
 from .secret_scan import op8_secret_scan
@@ -28,5 +29,6 @@ QUERIES = {
     "op10_lm_scoring": op10_lm_scoring,
     "op11_warc": op11_warc,
     "op12_merkle": op12_merkle,
+    "op13_phrases": op13_phrases,
 }
-SQL: dict[str, str] = {"op9_ngram_join": OP9_SQL, "op3_exact_dedup": OP3_SQL, "op11_warc": OP11_SQL, "op12_merkle": OP12_SQL}
+SQL: dict[str, str] = {"op9_ngram_join": OP9_SQL, "op3_exact_dedup": OP3_SQL, "op11_warc": OP11_SQL, "op12_merkle": OP12_SQL, "op13_phrases": OP13_SQL}
