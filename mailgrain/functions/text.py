@@ -11,6 +11,17 @@ from pyspark.sql import functions as F
 BLANK = r"[\s\p{Z}\x{FEFF}]"
 
 
+def free_names(taken: list[str], *names: str) -> list[str]:
+    """Column names for the time of a job that clash with none of those taken, upper and lower case being one."""
+    known, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in known:
+            name += "_"
+        out.append(name)
+        known.add(name.lower())
+    return out
+
+
 def let(value: Column, f) -> Column:
     """f(value) with the value computed once and named, where an expression needs it many times."""
     return F.get(F.transform(F.array(value), lambda v: f(v)), F.lit(0))

@@ -10,6 +10,7 @@ from ..functions import mime
 from ..functions.dates import add_months
 from ..functions.identity import registrable_domain
 from ..functions.rules import DEFAULT_RULES, Rules
+from ..functions.text import free_names
 from ..sources.mail import parsed_mail
 
 BACKFILL_MONTHS = 12
@@ -87,8 +88,8 @@ def as_messages(detected: DataFrame, ingested_at: Column | None = None) -> DataF
 
 def dedupe_messages(messages: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """One row per message key, the first by folder position and uid; keys already stored are left out."""
-    place = [c for c in ("folder_ord", "folder", "uid") if c in messages.columns]
-    rows = messages.withColumn("__n", F.row_number().over(Window.partitionBy("id").orderBy(*place))).filter("__n = 1").drop("__n")
+    place, (n,) = [c for c in ("folder_ord", "folder", "uid") if c in messages.columns], free_names(messages.columns, "n")
+    rows = messages.withColumn(n, F.row_number().over(Window.partitionBy("id").orderBy(*place))).filter(F.col(n) == 1).drop(n)
     return rows if stored is None else rows.join(stored.select("id"), "id", "left_anti")
 
 
@@ -129,13 +130,32 @@ def advance_watermark(examined: DataFrame, stored: DataFrame | None, since: Colu
 
 def sync_summary(detected: DataFrame, recorded: DataFrame, sync_state: DataFrame | None = None) -> DataFrame:
     """Per folder: examined, detected, recorded, bodies read, last uid, and whether its uidvalidity changed."""
-    seen = detected.groupBy("folder").agg(F.count("*").alias("examined"), F.count_if(F.col("detection").isNotNull()).alias("detected"), F.count_if("body_read").alias("bodies_fetched"), F.max("uid").alias("last_uid"), F.max("uidvalidity").alias("__now"))
-    new = recorded.groupBy("folder").agg(F.count("*").alias("recorded"))
-    out = seen.join(new, "folder", "left").withColumn("recorded", F.coalesce("recorded", F.lit(0)))
+    return sync_report(detected, recorded, sync_state).filter("NOT total").drop("total", "uidvalidity")
+
+
+def sync_report(detected: DataFrame, recorded: DataFrame, sync_state: DataFrame | None = None) -> DataFrame:
+    """The folders and, as one more row whose ``total`` is true and whose folder is null, all of them together: both levels of one aggregation.
+
+    Examined and recorded mail are counted in one pass by grouping sets. The total has no last uid, and its uidvalidity has changed if any folder's has.
+    A null folder among the mail is a row of its own, told from the total by ``total``. Without mail there is the total alone, with zeros.
+    """
+    seen = detected.select("folder", "uid", "uidvalidity", F.lit(1).alias("examined"), F.col("detection").isNotNull().cast("int").alias("detected"), F.lit(0).alias("recorded"), F.col("body_read").cast("int").alias("bodies_fetched"))
+    none = [F.lit(None).cast("long").alias(c) for c in ("uid", "uidvalidity")]
+    new = recorded.select("folder", *none, F.lit(0).alias("examined"), F.lit(0).alias("detected"), F.lit(1).alias("recorded"), F.lit(0).alias("bodies_fetched"))
+    counts = ("examined", "detected", "recorded", "bodies_fetched")
+    by_folder = seen.unionByName(new).groupingSets([["folder"], []], "folder").agg(
+        F.grouping("folder").cast("boolean").alias("total"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts], F.max("uid").alias("last_uid"), F.max("uidvalidity").alias("uidvalidity"),
+    )
+    total = F.col("total")
+    out = by_folder.withColumn("last_uid", F.when(~total, F.col("last_uid")))
     if sync_state is None:
-        return out.withColumn("uidvalidity_changed", F.lit(False)).drop("__now")
-    old = sync_state.select("folder", F.col("uidvalidity").alias("__old"))
-    return out.join(old, "folder", "left").withColumn("uidvalidity_changed", F.coalesce(F.col("__old") != F.col("__now"), F.lit(False))).drop("__now", "__old")
+        return out.withColumn("uidvalidity_changed", F.lit(False))
+    # A row a folder: small beside the mail, and joined before the total looks at all of them.
+    old = sync_state.select(F.col("folder").alias("known"), F.col("uidvalidity").alias("before"))
+    out = out.join(old, F.col("folder").eqNullSafe(F.col("known")) & ~total, "left")
+    out = out.withColumn("uidvalidity_changed", F.coalesce(F.col("before") != F.col("uidvalidity"), F.lit(False)) & ~total).drop("known", "before")
+    changed = out.agg(F.coalesce(F.max("uidvalidity_changed"), F.lit(False)).alias("any"))  # one row
+    return out.crossJoin(changed).withColumn("uidvalidity_changed", F.when(total, F.col("any")).otherwise(F.col("uidvalidity_changed"))).drop("any")
 
 
 def summary_totals(summary: DataFrame) -> DataFrame:

@@ -2,17 +2,17 @@
 
 The first message that uses a key owns it, and a message goes to the owner of its best key (list_id, from_address,
 normalized_key); it claims its free keys and never takes an owned one. Only the distinct (list, address, key) tuples and the order of
-their first use matter. They are decided in rounds: a tuple that is the earliest undecided one on each of its free keys can't be
-influenced by any other, so all such tuples are decided at once, and their claims are joined back as owners. The earliest tuple of all
-is always among them, so the rounds end; they are as many as the longest chain of tuples that wait for each other. No group of tuples
-is ever in one task's hands. An address met in one tuple alone influences nobody: of the tuples of a rotating sender only the first
-takes part, and the others join the owner of their key afterwards.
+their first use matter.
+
+A tuple claims all its free keys, so whoever uses a key first owns it, unless it was stored before. Whether a key is free to a tuple is then
+known without deciding anything: it is not stored, and no earlier tuple has it. So each tuple has at most one other to follow, the first user of its
+best key that is not free; one whose keys are all free is a new sender. These pointers form a forest, and pointer doubling finds
+every root in as many rounds as the logarithm of the longest chain. No group of tuples is ever in one task's hands; a key that very many
+tuples share meets one row, its first user, in a join whose hot part Spark splits.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,31 +41,37 @@ def sender_key(mailbox: str, key):
 
 def decide(tuples: DataFrame) -> DataFrame:
     """(tuple, sender_id, outcome, also_matched) for tuples with first_ord, new_id, their keys, and each key's stored owner in own_<key>."""
-    free = {c: F.col(c).isNotNull() & F.col(f"own_{c}").isNull() for c in NAMED}
-    keys = F.filter(F.array(*[F.when(free[c], F.struct(F.lit(k).alias("kind"), F.col(c).alias("value"))) for k, c in zip(RESOLVING, NAMED, strict=True)]), lambda x: x.isNotNull())
-    owned = F.filter(F.array(*[F.when(F.col(c).isNotNull(), F.col(f"own_{c}")) for c in NAMED]), lambda o: o.isNotNull())
-    best = F.get(owned, F.lit(0))
-    others = F.array_sort(F.array_except(F.array_distinct(owned), F.array(best)))
-    outcome = F.when(best.isNull(), "new").when(F.size(others) > 0, "ambiguous").otherwise("existing")
-    none = F.array().cast("array<string>")
-
-    todo, parts = cut(tuples.select("tuple", "first_ord", "new_id", *NAMED, *[f"own_{c}" for c in NAMED])), []
+    rows = cut(tuples.select("tuple", "first_ord", "new_id", *NAMED, *[f"own_{c}" for c in NAMED]))
+    for c in NAMED:
+        free = rows.filter(F.col(c).isNotNull() & F.col(f"own_{c}").isNull())
+        first = cut(free.groupBy(c).agg(F.min(F.struct("first_ord", "tuple"))["tuple"].alias(f"first_{c}")))
+        rows = rows.join(first, c, "left")
+    taken = {c: F.when(F.col(f"first_{c}") != F.col("tuple"), F.col(f"first_{c}")) for c in NAMED}  # an earlier tuple has the key
+    rows = rows.withColumns({f"first_{c}": F.when(F.col(f"own_{c}").isNull(), taken[c]) for c in NAMED})
+    target = [F.when(F.coalesce(F.col(f"own_{c}").isNotNull() | F.col(f"first_{c}").isNotNull(), F.lit(False)), F.struct(F.col(f"own_{c}").alias("sender"), F.col(f"first_{c}").alias("to"))) for c in NAMED]
+    rows = cut(rows.withColumn("follows", F.coalesce(*target)).drop("first_ord", *NAMED))
+    senders = follow(rows.select("tuple", F.coalesce("follows.sender", F.when(F.col("follows").isNull(), F.col("new_id"))).alias("sender_id"), F.col("follows.to").alias("to")))
+
+    out = rows.join(senders, "tuple")
+    for c in NAMED:
+        owner = senders.select(F.col("tuple").alias("by"), F.col("sender_id").alias("claimed"))
+        out = out.join(owner, F.col(f"first_{c}") == F.col("by"), "left").withColumn(f"own_{c}", F.coalesce(f"own_{c}", "claimed")).drop("by", "claimed")
+    owned = F.array_distinct(F.filter(F.array(*[F.col(f"own_{c}") for c in NAMED]), lambda o: o.isNotNull()))
+    others = F.array_sort(F.array_except(owned, F.array("sender_id")))
+    outcome = F.when(F.col("follows").isNull(), "new").when(F.size(others) > 0, "ambiguous").otherwise("existing")
+    return out.select("tuple", "sender_id", outcome.alias("outcome"), others.alias("also_matched"))
+
+
+def follow(rows: DataFrame) -> DataFrame:
+    """(tuple, sender_id) for (tuple, sender_id, to): those without a sender get that of the tuple they lead to, by pointer doubling."""
+    now = cut(rows)
     while True:
-        # Aggregated before the shuffle and joined by tuple, so that a key that very many tuples share is no hot key.
-        leads = todo.select("tuple", "first_ord", F.explode(keys).alias("key")).groupBy("key").agg(F.min(F.struct("first_ord", "tuple"))["tuple"].alias("tuple"))
-        marked = todo.join(leads.groupBy("tuple").agg(F.count("*").alias("leads")), "tuple", "left").withColumn("ready", F.coalesce("leads", F.lit(0)) == F.size(keys))
-        marked = cut(marked.withColumns({"sender_id": F.coalesce(best, "new_id"), "outcome": outcome, "also_matched": F.when(best.isNull(), none).otherwise(others)}))
-        done = marked.filter("ready")
-        parts.append(done.select("tuple", "sender_id", "outcome", "also_matched"))
-        if len(parts) > 16:
-            parts = [cut(reduce(DataFrame.unionByName, parts))]
-        todo = marked.filter("NOT ready")
-        if todo.isEmpty():
-            return reduce(DataFrame.unionByName, parts)
-        todo = todo.drop("leads", "ready", "sender_id", "outcome", "also_matched")
-        for c in NAMED:
-            claims = done.filter(free[c]).select(c, F.col("sender_id").alias("claimed"))  # never null, and one row a key
-            todo = todo.join(claims, c, "left").withColumn(f"own_{c}", F.coalesce(f"own_{c}", "claimed")).drop("claimed")
+        open_ = now.filter("sender_id IS NULL")
+        if open_.isEmpty():
+            return now.select("tuple", "sender_id")
+        ahead = now.select(F.col("tuple").alias("by"), F.col("sender_id").alias("found"), F.col("to").alias("next"))
+        moved = open_.join(ahead, F.col("to") == F.col("by")).select("tuple", F.col("found").alias("sender_id"), F.col("next").alias("to"))
+        now = cut(now.filter("sender_id IS NOT NULL").unionByName(moved))
 
 
 def resolve_senders(messages: DataFrame, identities: DataFrame, mailbox: str = "", rules: Rules = DEFAULT_RULES) -> DataFrame:
@@ -83,26 +89,8 @@ def resolve_senders(messages: DataFrame, identities: DataFrame, mailbox: str = "
     for kind, c in zip(RESOLVING, named, strict=True):
         own = stored.filter(F.col("kind") == kind).select(F.col("value").alias(c), F.col("sender_id").alias(f"own_{c}"))
         tuples = tuples.join(own, c, "left")
-    lone = tuples.groupBy("address_key").agg(F.count("*").alias("uses"))
-    tuples = tuples.join(lone, "address_key", "left")
-    lasting = F.coalesce(F.concat(F.lit("list:"), "list_key"), "norm_key")
-    single = (F.col("uses") == 1) & F.col("own_address_key").isNull() & F.col("address_key").isNotNull() & lasting.isNotNull()
-    tuples = cut(tuples.withColumn("family", F.when(single, lasting)))
-    lead = tuples.filter("family IS NOT NULL").groupBy("family").agg(F.min(F.struct("first_ord", "tuple")).alias("lead"))
-    marked = tuples.join(lead, "family", "left").withColumn("later", F.coalesce(F.col("lead.tuple") != F.col("tuple"), F.lit(False)))
-
     first = F.coalesce(*[F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{k}\x1f"), F.col(c))) for k, c in zip(RESOLVING, named, strict=True)])
-    walked = marked.filter("NOT later").withColumn("new_id", sender_key(mailbox, first))
-    decided = cut(decide(walked))
-
-    # Later tuples of a family: the stored owner of their list or key, else the sender of the family's first tuple.
-    by_lead = decided.select(F.col("tuple").alias("__lead"), F.col("sender_id").alias("__sender"))
-    # The family's key may have been claimed by another tuple before; its owner is the sender of the first tuple that used it.
-    claims = decided.join(marked.select("tuple", "first_ord", "norm_key", "list_key"), "tuple").filter("norm_key IS NOT NULL").groupBy("norm_key").agg(F.min_by("sender_id", "first_ord").alias("__claim"))
-    later = marked.filter("later").select("tuple", "norm_key", F.coalesce("own_list_key", "own_norm_key").alias("__own"), F.col("lead.tuple").alias("__lead")).join(by_lead, "__lead", "left").join(claims, "norm_key", "left")
-    joined = later.select("tuple", F.coalesce("__own", "__claim", "__sender").alias("sender_id"), F.lit("existing").alias("outcome"), F.array().cast("array<string>").alias("also_matched"))
-
-    by_tuple = decided.unionByName(joined)
+    by_tuple = decide(tuples.withColumn("new_id", sender_key(mailbox, first)))
     with_tuple = keyed.withColumn("tuple", F.when(usable, F.xxhash64(*[F.coalesce(c, F.lit("\x00")) for c in named])))
     out = with_tuple.join(by_tuple, "tuple", "left")
     return out.select("id", F.coalesce("sender_id", sender_key(mailbox, F.concat(F.lit("message\x1f"), F.col("id")))).alias("sender_id"), F.coalesce("outcome", F.lit("new")).alias("outcome"), F.coalesce("also_matched", F.array().cast("array<string>")).alias("also_matched"))

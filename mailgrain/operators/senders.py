@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identity import RESOLVING, is_resolving
+from ..functions.text import free_names
 
 
 def _rank():
@@ -75,8 +76,7 @@ def resolve_known(candidates: DataFrame, identities: DataFrame, merges: DataFram
 def new_identities(found: DataFrame, stored: DataFrame) -> DataFrame:
     """Insert-or-ignore: a resolving key belongs to one sender, the first; a DKIM domain is stored once a sender."""
     resolving = found.filter(is_resolving(F.col("kind"))).join(stored.select("kind", "value"), ["kind", "value"], "left_anti")
-    first = F.row_number().over(Window.partitionBy("kind", "value").orderBy("ord", "sender_id"))
-    resolving = resolving.withColumn("__n", first).filter("__n = 1").select("sender_id", "kind", "value")
+    resolving = resolving.groupBy("kind", "value").agg(F.min(F.struct("ord", "sender_id")).alias("first")).select("first.sender_id", "kind", "value")
     dkim = found.filter(~is_resolving(F.col("kind"))).select("sender_id", "kind", "value").distinct()
     return resolving.unionByName(dkim.join(stored.select("sender_id", "kind", "value"), ["sender_id", "kind", "value"], "left_anti"))
 
@@ -115,9 +115,10 @@ def resolve_merge_target(merges: DataFrame, rounds: int = 6) -> DataFrame:
 
 def effective_sender(df: DataFrame, merges: DataFrame) -> DataFrame:
     """``df`` with sender_id after merges. Rows keep their first sender in storage, so a split is exact."""
-    to = resolve_merge_target(merges).select(F.col("source_id").alias("__from"), F.col("target_id").alias("__to"))
-    joined = df.join(to, F.col("sender_id") == F.col("__from"), "left")
-    return joined.withColumn("sender_id", F.coalesce("__to", "sender_id")).drop("__from", "__to")
+    source, target = free_names(df.columns, "source_id", "target_id")
+    to = resolve_merge_target(merges).select(F.col("source_id").alias(source), F.col("target_id").alias(target))
+    joined = df.join(to, F.col("sender_id") == F.col(source), "left")
+    return joined.withColumn("sender_id", F.coalesce(target, "sender_id")).drop(source, target)
 
 
 def find_senders(reference: str, senders: DataFrame, identities: DataFrame, aggregates: DataFrame, merges: DataFrame | None = None) -> DataFrame:

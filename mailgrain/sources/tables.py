@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import free_names
+
 SCHEMAS = {
     "sender": "id string, display_name string, name_at timestamp_ntz, display_address string, address_at timestamp_ntz, first_seen_at timestamp_ntz, last_seen_at timestamp_ntz, created_at timestamp_ntz, merged_into string",
     "sender_identity": "sender_id string, kind string, value string, first_seen_at timestamp_ntz",
@@ -21,7 +23,7 @@ REPLACED = ("sender", "sync_state")
 RAW_MAIL = "folder string, uidvalidity long, uid long, internal_date timestamp_ntz, raw string"
 
 
-def _folder(spark: SparkSession, path: str):
+def folder(spark: SparkSession, path: str):
     """(file system, path) in Hadoop's terms."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
@@ -29,19 +31,23 @@ def _folder(spark: SparkSession, path: str):
 
 def _snapshots(spark: SparkSession, path: str) -> list[int]:
     """Numbers of the whole snapshots under ``path``; one that a crash left half-written has no _SUCCESS and doesn't count."""
-    files, at = _folder(spark, path)
+    files, at = folder(spark, path)
     names = [s.getPath().getName() for s in files.listStatus(at)] if files.exists(at) else []
     numbers = [int(n.removeprefix("snapshot-")) for n in names if n.startswith("snapshot-")]
-    return sorted(n for n in numbers if files.exists(_folder(spark, f"{path}/snapshot-{n:09d}/_SUCCESS")[1]))
+    return sorted(n for n in numbers if files.exists(folder(spark, f"{path}/snapshot-{n:09d}/_SUCCESS")[1]))
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A stored table by its declared schema, the newest snapshot of those that are replaced; an empty frame where nothing was written yet."""
+    """A stored table by its declared schema: of a store with commits the newest state, else the newest snapshot of those that are replaced; an empty frame where nothing was written yet."""
+    from .store import Store, has_commits
+
+    if has_commits(spark, root):
+        return Store(spark, root).read(name)
     path = f"{root}/{name}"
     if name in REPLACED:
         known = _snapshots(spark, path)
         return spark.read.schema(SCHEMAS[name]).parquet(f"{path}/snapshot-{known[-1]:09d}") if known else spark.createDataFrame([], SCHEMAS[name])
-    files, at = _folder(spark, path)
+    files, at = folder(spark, path)
     return spark.read.schema(SCHEMAS[name]).parquet(path) if files.exists(at) else spark.createDataFrame([], SCHEMAS[name])
 
 
@@ -71,15 +77,16 @@ def write_snapshot(df: DataFrame, root: str, name: str) -> None:
     known = _snapshots(spark, path)
     conform(df, name).write.mode("overwrite").parquet(f"{path}/snapshot-{(known[-1] if known else 0) + 1:09d}")
     for n in known[:-1]:
-        files, at = _folder(spark, f"{path}/snapshot-{n:09d}")
+        files, at = folder(spark, f"{path}/snapshot-{n:09d}")
         files.delete(at, True)
 
 
 def upsert(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``new`` replace those of ``stored`` with the same keys."""
-    both = stored.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)), allowMissingColumns=True)
-    last = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("__new")))
-    return both.withColumn("__n", last).filter("__n = 1").drop("__new", "__n")
+    is_new, n = free_names(stored.columns + new.columns, "is_new", "n")
+    both = stored.withColumn(is_new, F.lit(0)).unionByName(new.withColumn(is_new, F.lit(1)), allowMissingColumns=True)
+    last = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(is_new)))
+    return both.withColumn(n, last).filter(F.col(n) == 1).drop(is_new, n)
 
 
 def upsert_sync_state(stored: DataFrame, new: DataFrame) -> DataFrame:

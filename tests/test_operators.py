@@ -118,6 +118,26 @@ def test_one_large_component_is_no_group(spark, monkeypatch):
     assert len(set(names.values())) == len(names)
 
 
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    """1,000 tuples that wait for each other, and as many that take a stored sender over: rounds grow with the logarithm."""
+    rounds, whole = [], resolve.cut
+
+    def counted(df):
+        rounds.append(1)
+        return whole(df)
+
+    monkeypatch.setattr(resolve, "cut", counted)
+    # A list's address is the next one's: each tuple has the list of the one before it, or its address.
+    rows = [(str(i), i, f"l{(i + 1) // 2}", f"a{i // 2}@b.example") for i in range(1000)] + [(f"s{i}", 5000 + i, f"m{(i + 1) // 2}", f"c{i // 2}@b.example") for i in range(1000)]
+    stored = [("S", "from_address", "c0@b.example")]
+    mail = spark.createDataFrame(rows, "id string, ord long, list_id string, from_address string")
+    got = {x.id: x.sender_id for x in resolve.resolve_senders(mail, spark.createDataFrame(stored, "sender_id string, kind string, value string")).collect()}
+    want, names = sequential(rows, stored), {}
+    for mid, sender in want.items():
+        assert (got[mid] == sender) if sender == "S" else names.setdefault(sender, got[mid]) == got[mid], mid
+    assert len(set(want.values())) == 2 and len(rounds) <= 5 + 15  # five cuts besides the rounds
+
+
 def eml(uid, extra="", sender="n", folder="INBOX", body="hi", mid=None):
     head = f"From: {sender} <{sender}@x.example>\r\nMessage-ID: <{mid or uid}@x>\r\n{extra}\r\n"
     return (folder, 42, uid, f"2026-08-{uid % 28 + 1:02d} 00:00:00", head + body)
