@@ -36,6 +36,14 @@ def parse_instant(iso: Column) -> Column:
     return F.when(text.rlike(shape), civil.try_cast("timestamp_ntz") - F.make_dt_interval(F.lit(0), F.lit(0), minutes, F.lit(0).cast("decimal(18,6)")))
 
 
+def instant_reject(iso: Column) -> Column:
+    """Why ``parse_instant`` gives null for a text; null where it doesn't, and for a null."""
+    shape = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}(?:T[0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]+)?)?(?:Z|[+-][0-9]{2}:[0-9]{2})?)?\z"
+    text = trim(iso)
+    wrong = F.when(text == "", "empty").when(~text.rlike(shape), "not an ISO-8601 instant").when(parse_instant(iso).isNull(), "no such date or time")
+    return F.when(iso.isNotNull(), wrong)
+
+
 def to_iso(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
@@ -61,9 +69,18 @@ def parse_duration(text: Column) -> Column:
     value = F.lower(trim(text))
     amount = F.regexp_extract(value, _DURATION, 1).try_cast("int")
     unit = F.substring(F.regexp_extract(value, _DURATION, 2), 1, 1)
-    parsed = F.struct(F.when(unit == "m", amount).when(unit == "y", amount * 12).alias("months"), F.when(unit == "d", amount).alias("days"), F.lit(False).alias("forever"))
+    years = F.when(amount <= (2**31 - 1) // 12, amount * 12)
+    parsed = F.struct(F.when(unit == "m", amount).when(unit == "y", years).alias("months"), F.when(unit == "d", amount).alias("days"), F.lit(False).alias("forever"))
     endless = F.struct(F.lit(None).cast("int").alias("months"), F.lit(None).cast("int").alias("days"), F.lit(True).alias("forever"))
-    return F.when(value.isin("forever", "never"), endless).when(value.rlike(_DURATION) & (amount > 0), parsed)
+    return F.when(value.isin("forever", "never"), endless).when(value.rlike(_DURATION) & (amount > 0) & ((unit != "y") | years.isNotNull()), parsed)
+
+
+def duration_reject(text: Column) -> Column:
+    """Why ``parse_duration`` gives null for a text; null where it doesn't, and for a null."""
+    value = F.lower(trim(text))
+    amount = F.regexp_extract(value, _DURATION, 1)
+    wrong = F.when(value == "", "empty").when(~value.rlike(_DURATION), "not a duration (use 3m, 45d, 1y or forever)").when(amount.rlike(r"^0+\z"), "not positive").when(parse_duration(text).isNull(), "too long")
+    return F.when(~value.isin("forever", "never"), wrong)
 
 
 def read_duration(text: str) -> tuple[int | None, int | None, bool]:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,37 +27,50 @@ def split_address(address: Column) -> Column:
     return let(F.lower(trim(address)), parts)
 
 
+@cache
+def suffix_table(suffixes: frozenset[str]) -> tuple[str, int]:
+    """The rules as one text of lines, and their number: a rule stands in the line of its hash, with its mark (= plain, * wild, ! except) in front."""
+    lines: list[str] = [""] * (1 << max(len(suffixes), 1).bit_length())
+    for rule in sorted(suffixes):
+        mark, name = (rule[0], rule[2:] if rule[0] == "*" else rule[1:]) if rule[0] in "*!" else ("=", rule)
+        lines[zlib.crc32(name.encode()) % len(lines)] += f" {mark}{name} "
+    return "\n".join(lines), len(lines)
+
+
 def registrable_domain(value: Column, rules: Rules = DEFAULT_RULES) -> Column:
     """The suffix and one label of a host, address or URL; null for single labels, suffixes and IP addresses.
 
-    The longest rule decides. "*.x" makes every label under x a suffix, and "!y.x" takes y out of that.
+    The longest rule decides. "*.x" makes every label under x a suffix, and "!y.x" takes y out of that. The rules are a hashed table in one
+    literal, in which each tail of the host is looked up once: the expression is as large for ten thousand rules as for ten, and as fast.
     """
-    plain = {s for s in rules.suffixes if s[0] not in "*!"}
-    wild, except_ = ({s[n:] for s in rules.suffixes if s[0] == mark} for mark, n in (("*", 2), ("!", 1)))
-    labels = lambda known, k: sorted(s for s in known if s.count(".") == k - 1)
-    longest = max((s.count(".") + 1 for s in rules.suffixes), default=1)
+    text, lines = suffix_table(rules.suffixes)
+    most = max((s.count(".") + 1 for s in rules.suffixes), default=1)
     host = extract(F.lower(trim(value)), r"^(?:[a-z][a-z0-9+.-]*:)?(?://)?(?:[^/?#]*@)?([^/:?#@]+)")
 
-    def domain_of(host: Column) -> Column:
+    def domain_of(x: Column) -> Column:
+        host, table = x["host"], x["table"]
         n = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+        tail = lambda k: F.call_function("substring_index", host, F.lit("."), -k)
+
+        def found(k: Column) -> Column:
+            """The number of labels that the rules make of the last k: k for a suffix, k + 1 for one under a wildcard, less for an exception (which wins)."""
+
+            def looked_up(t: Column) -> Column:
+                line = F.get(table, (F.crc32(t) % lines).cast("int"))
+                has = lambda mark: F.contains(line, F.concat(F.lit(f" {mark}"), t, F.lit(" ")))
+                return F.when(has("!"), 1000 + k).when(has("*") & (n > k), k + 1).when(has("=") & (k > 1), k).otherwise(1)
+
+            return let(tail(k), looked_up)
+
+        longest = F.array_max(F.transform(F.sequence(F.lit(1), F.least(n, F.lit(most))), found))
+
+        def cut(m: Column) -> Column:
+            return F.when(m > 1000, tail(m - 1000)).when(n > m, tail(m + 1))
+
+        named = host.rlike(r"^[^\s.]+(?:\.[^\s.]+)*\z") & ~host.rlike(r"^[0-9.]+\z") & ~host.startswith("[")
+        return F.when(named, let(longest, cut))
 
-        def tail(k: int) -> Column:
-            return F.when(n >= k, F.substring_index(host, ".", -k))
-
-        out = F.when(~host.rlike(r"^[^\s.]+(?:\.[^\s.]+)*\z") | host.rlike(r"^[0-9.]+\z") | host.startswith("["), F.lit(None))
-        for k in range(longest, 0, -1):
-            if labels(except_, k):
-                out = out.when(tail(k).isin(*labels(except_, k)), tail(k))
-        for k in range(longest, 1, -1):
-            rule = F.lit(False)
-            if labels(plain, k):
-                rule = rule | F.coalesce(tail(k).isin(*labels(plain, k)), F.lit(False))
-            if labels(wild, k - 1):
-                rule = rule | F.coalesce((n >= k) & tail(k - 1).isin(*labels(wild, k - 1)), F.lit(False))
-            out = out.when(rule, tail(k + 1))
-        return out.otherwise(tail(2))
-
-    return let(F.regexp_replace(host, r"\.\z", ""), domain_of)
+    return let(F.struct(F.regexp_replace(host, r"\.\z", "").alias("host"), F.split(F.lit(text), "\n", -1).alias("table")), domain_of)
 
 
 def is_variable_segment(s: Column, rules: Rules = DEFAULT_RULES) -> Column:

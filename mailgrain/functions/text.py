@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -75,10 +76,44 @@ def normalized_token(token: str) -> str:
     return " ".join("".join(" " if x.isspace() or x in "-_." else x for x in bare).split())
 
 
+@cache
+def trie_pattern(words: tuple[str, ...]) -> str:
+    """A regular expression for the longest of some words at a place: their trie, so that it costs as much as the longest, however many they are."""
+    trie: dict = {}
+    for word in words:
+        node = trie
+        for char in word:
+            node = node.setdefault(char, {})
+        node[""] = {}
+
+    def written(node: dict) -> str:
+        ways = [(rf"\x{{{ord(c):x}}}" if not c.isalnum() else c) + written(below) for c, below in sorted(node.items()) if c]
+        if not ways:
+            return ""
+        return f"(?:{'|'.join(ways)})" + ("?" if "" in node else "")
+
+    return written(trie)
+
+
 def match_token(c: Column, tokens) -> Column:
-    """The first vocabulary entry, in list order, whose normal form is part of the text's; null without one."""
-    known = F.array(*[F.struct(F.lit(t).alias("token"), F.lit(normalized_token(t)).alias("norm")) for t in tokens])
-    return let(normalize_for_match(c), lambda text: F.when(text != "", first(F.filter(known, lambda t: F.contains(text, t["norm"])))["token"]))
+    """The first vocabulary entry, in list order, whose normal form is part of the text's; null without one.
+
+    One pass finds the longest entry at every place of the text. The entries that begin there too are its beginnings, so the first of those in
+    list order is known for each entry beforehand, and the first over all places is the answer.
+    """
+    norms = [normalized_token(t) for t in tokens]
+    first_of = {n: min(i for i, m in enumerate(norms) if n.startswith(m)) for n in norms}
+    known = list(dict.fromkeys(norms))
+    table = F.split(F.lit("\n".join(f"{n}" for n in known)), "\n", -1)
+    ranks = F.split(F.lit("\n".join(str(first_of[n]) for n in known)), "\n", -1)
+    names = F.split(F.lit("\n".join(tokens)), "\n", -1)
+
+    def found(text: Column) -> Column:
+        places = F.regexp_extract_all(text, F.lit(f"(?=({trie_pattern(tuple(known))}))"), F.lit(1))
+        best = F.array_min(F.transform(places, lambda m: F.get(ranks, (F.array_position(table, m) - 1).cast("int")).cast("int")))
+        return F.when(text != "", F.get(names, best))
+
+    return let(normalize_for_match(c), found)
 
 
 def decode_entities(c: Column) -> Column:

@@ -27,7 +27,9 @@ def default_since(as_of: Column, tz: str = "UTC") -> Column:
 
 
 def backfill_filter(mail: DataFrame, since: Column) -> DataFrame:
-    """Pushed down to the scan where ``since`` is a literal."""
+    """Pushed down to the scan where ``since`` is a literal; of an archive by month, earlier months are never opened."""
+    if "month" in mail.columns:
+        mail = mail.filter((F.col("month") >= F.date_format(since, "yyyy-MM")) & (F.col("month") != "none"))
     return mail.filter(F.col("internal_date") >= since)
 
 
@@ -137,7 +139,7 @@ def sync_report(detected: DataFrame, recorded: DataFrame, sync_state: DataFrame
     """The folders and, as one more row whose ``total`` is true and whose folder is null, all of them together: both levels of one aggregation.
 
     Examined and recorded mail are counted in one pass by grouping sets. The total has no last uid, and its uidvalidity has changed if any folder's has.
-    A null folder among the mail is a row of its own, told from the total by ``total``. Without mail there is the total alone, with zeros.
+    A null folder among the mail is a row of its own, told from the total by ``total``. Without mail there are no rows.
     """
     seen = detected.select("folder", "uid", "uidvalidity", F.lit(1).alias("examined"), F.col("detection").isNotNull().cast("int").alias("detected"), F.lit(0).alias("recorded"), F.col("body_read").cast("int").alias("bodies_fetched"))
     none = [F.lit(None).cast("long").alias(c) for c in ("uid", "uidvalidity")]

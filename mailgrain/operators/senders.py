@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identity import RESOLVING, is_resolving
-from ..functions.text import free_names
+from ..functions.text import free_names, trim
 
 
 def _rank():
@@ -133,3 +133,52 @@ def find_senders(reference: str, senders: DataFrame, identities: DataFrame, aggr
     if merges is not None:
         found = effective_sender(found, merges)
     return aggregates.join(found.distinct(), "sender_id", "left_semi")
+
+
+# -- many searches at once -------------------------------------------------------------------------------------------------------
+
+
+def grams(text, sizes=(1, 2, 3)):
+    """The distinct runs of one, two and three characters of a text."""
+
+    def runs(n: int):
+        each = F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))
+        return F.when(F.length(text) >= n, each).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(*[runs(n) for n in sizes]))
+
+
+def gram_index(senders: DataFrame) -> DataFrame:
+    """(gram, sender_id) of each sender's name and address, in lower case, sorted by gram: to be written, so that a gram's senders lie together."""
+    shown = F.array(*[F.lower(F.coalesce(c, F.lit(""))) for c in ("display_name", "display_address")])
+    rows = senders.select(F.col("id").alias("sender_id"), F.explode(F.array_distinct(F.flatten(F.transform(shown, lambda text: grams(text))))).alias("gram"))
+    return rows.select("gram", "sender_id").repartitionByRange("gram", "sender_id").sortWithinPartitions("gram", "sender_id")
+
+
+def find_many(questions: DataFrame, senders: DataFrame, identities: DataFrame, index: DataFrame, merges: DataFrame | None = None) -> DataFrame:
+    """(question, sender_id) for (question, reference): what ``find_senders`` finds for each reference, many in one job.
+
+    Of a reference's runs of three characters (or of itself, where it is shorter) the rarest is looked up in the index, and only the senders that
+    have it are compared with the reference. A reference with a run that no sender has finds nothing by name. Empty ones find nothing.
+    """
+    needle = F.lower(trim(F.col("reference")))
+    asked = questions.select("question", needle.alias("needle")).filter("needle <> ''")
+    parts = F.when(F.length("needle") < 3, F.array("needle")).otherwise(F.filter(grams(F.col("needle"), (3,)), lambda g: g != ""))
+    wanted = asked.select("needle").distinct().select("needle", F.explode(parts).alias("gram"))
+    known = index.join(wanted.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = wanted.join(known, "gram", "left").groupBy("needle").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    name, address = (F.lower(F.coalesce(c, F.lit(""))) for c in ("display_name", "display_address"))
+    shown = senders.select(F.col("id").alias("sender_id"), name.alias("name"), address.alias("address"))
+    near = rarest.join(index, "gram").join(shown, "sender_id").filter(F.contains("name", F.col("needle")) | F.contains("address", F.col("needle"))).select("needle", "sender_id")
+    by_value = asked.select("needle").distinct().join(identities.select(F.lower("value").alias("needle"), "sender_id"), "needle")
+    # An id is asked for by its beginning: it is cut at the lengths asked for, of which there are no more than the longest id has characters.
+    longest = senders.agg(F.max(F.length("id"))).first()[0] or 0
+    lengths = [r[0] for r in asked.select(F.length("needle").alias("n")).filter(F.col("n") <= longest).distinct().collect()]
+    low = F.lower("id")
+    cut_at = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length(low))
+    starts = senders.select(F.col("id").alias("sender_id"), F.explode(F.transform(cut_at, lambda n: F.substring(low, F.lit(1), n))).alias("needle"))
+    by_id = asked.select("needle").distinct().join(starts, "needle")
+    found = near.unionByName(by_value).unionByName(by_id)
+    if merges is not None:
+        found = effective_sender(found, merges)
+    return asked.join(found.distinct(), "needle").select("question", "sender_id").distinct()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,35 @@ def read_raw_mail(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RAW_MAIL).parquet(path)
 
 
+def write_archive(raw: DataFrame, path: str) -> None:
+    """Append raw mail to an archive by folder and month of arrival, so that a window, or a folder, reads only its own files.
+
+    Rows are gathered by folder and month and then evened out: Spark splits what a busy folder's month has too much of.
+    """
+    month = F.date_format("internal_date", "yyyy-MM")
+    raw.withColumn("month", F.coalesce(month, F.lit("none"))).hint("rebalance", "folder", "month").write.mode("append").partitionBy("folder", "month").parquet(path)
+
+
+def read_archive(spark: SparkSession, path: str) -> DataFrame:
+    """An archive by folder and month; ``backfill_filter`` and ``folder_filter`` prune it."""
+    return spark.read.schema(RAW_MAIL + ", month string").parquet(path)
+
+
+def write_eml(raw: DataFrame, path: str) -> int:
+    """One file uid.eml for each message, under a folder of its own for each mail folder; the number of files. A repeated task writes the same files again."""
+
+    def run(batches):
+        system, root = fs.FileSystem.from_uri(path)
+        for b in batches:
+            for folder, uid, text in zip(b.column("folder").to_pylist(), b.column("uid").to_pylist(), b.column("raw").to_pylist(), strict=True):
+                system.create_dir(f"{root}/{folder}", recursive=True)
+                with system.open_output_stream(f"{root}/{folder}/{uid}.eml", compression=None) as out:
+                    out.write((text or "").encode())
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["files"])
+
+    return raw.select("folder", "uid", "raw").mapInArrow(run, "files long").agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]
+
+
 def with_headers(raw: DataFrame, keep: tuple[str, ...] | None = mime.KEPT_HEADERS) -> DataFrame:
     """Adds ``headers``; the raw text stays only as a column that later steps may leave unread."""
     headers = mime.parse_headers(mime.split_message(F.col("raw"))["head"])

@@ -4,9 +4,9 @@ import duckdb
 import pandas as pd
 import pytest
 
-from mailgrain.plans import queries, values
+from mailgrain.plans import queries, stored, values
 
-assert values.query is queries.query  # its queries are registered with the others
+assert values.query is stored.query is queries.query  # their queries are registered with the others
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
