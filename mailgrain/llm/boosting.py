@@ -37,6 +37,7 @@ class Boosted:
 
     def __init__(self, edges, trees, base, rate, steps, levels):
         self.edges, self.trees, self.base, self.rate, self.steps, self.levels = edges, trees, base, rate, steps, levels
+        self.limits = None  # thresholds of the probability, where a user of the trees sets some
 
     @staticmethod
     def bins(x: np.ndarray, edges) -> np.ndarray:
@@ -59,12 +60,13 @@ class Boosted:
         return self.levels[np.maximum(np.searchsorted(self.steps, self.raw(x), "right") - 1, 0)]
 
 
-def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def isotonic(score: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pool adjacent violators: the first score and the level of each step."""
     order = np.argsort(score, kind="stable")
-    blocks: list[list[float]] = []  # first score, sum, count
-    for s, v in zip(score[order].tolist(), y[order].tolist(), strict=True):
-        blocks.append([s, v, 1])
+    weight = np.ones(len(y)) if weight is None else weight
+    blocks: list[list[float]] = []  # first score, sum, weight
+    for s, v, w in zip(score[order].tolist(), (y * weight)[order].tolist(), weight[order].tolist(), strict=True):
+        blocks.append([s, v, w])
         while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
             s, v, c = blocks.pop()
             blocks[-1][1] += v
@@ -72,17 +74,19 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([b[0] for b in blocks]), np.array([b[1] / b[2] for b in blocks])
 
 
-def fit(x: np.ndarray, y: np.ndarray, held: np.ndarray, trees: int = 40, depth: int = 3, rate: float = 0.2, l2: float = 1.0, least: float = 5.0) -> Boosted:
+def fit(x: np.ndarray, y: np.ndarray, held: np.ndarray, trees: int = 40, depth: int = 3, rate: float = 0.2, l2: float = 1.0, least: float = 5.0, weight: np.ndarray | None = None) -> Boosted:
     """Fit on the rows not held out, calibrate on those that are (on all, if the held-out ones are of one class)."""
+    weight = np.ones(len(y)) if weight is None else weight
     edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, 65)[1:-1])) for f in range(x.shape[1])]
     train = ~held if len(set(y[~held])) > 1 else np.ones(len(y), bool)
     binned, t = Boosted.bins(x[train], edges), y[train].astype(float)
-    mean = min(max(t.mean(), 1e-3), 1 - 1e-3)
+    w = weight[train]
+    mean = min(max(np.average(t, weights=w), 1e-3), 1 - 1e-3)
     base, out = float(np.log(mean / (1 - mean))), []
     score = np.full(len(t), base)
     for _ in range(trees):
         p = 1 / (1 + np.exp(-score))
-        tree = fit_tree(binned, p - t, np.maximum(p * (1 - p), 1e-6), depth, l2, least)
+        tree = fit_tree(binned, (p - t) * w, np.maximum(p * (1 - p), 1e-6) * w, depth, l2, least)
         out.append(tree)
         node, rows = np.zeros(len(t), np.int64), np.arange(len(t))
         for _ in range(depth):
@@ -90,5 +94,5 @@ def fit(x: np.ndarray, y: np.ndarray, held: np.ndarray, trees: int = 40, depth:
         score += rate * tree[2][node - len(tree[0])]
     model = Boosted(edges, out, base, rate, np.zeros(1), np.zeros(1))
     on = held if len(set(y[held])) > 1 else np.ones(len(y), bool)
-    model.steps, model.levels = isotonic(model.raw(x[on]), y[on].astype(float))
+    model.steps, model.levels = isotonic(model.raw(x[on]), y[on].astype(float), weight[on])
     return model

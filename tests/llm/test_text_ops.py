@@ -11,6 +11,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,6 +156,64 @@ def test_pii_adds_what_the_patterns_miss(spark):
     assert sum(got[i].n_added for i in range(1200) if i % 5 > 2) == 0
 
 
+def test_pii_planted_in_a_corpus(spark):
+    """Unmarked numbers and addresses in a quarter of the given documents, which the trees are trained on too; the other documents stay clean."""
+    r, rows, kind_of = random.Random(1), [(x.doc_id, x.text or "") for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()], {}
+    rows.sort()
+
+    def card():
+        x = "".join(r.choice("0123456789") for _ in range(15))
+        c = next(x + c for c in "0123456789" if pii.luhn(x + c))
+        return ".".join(c[k : k + 4] for k in (0, 4, 8, 12))
+
+    phone = lambda: f"0{r.randint(10, 99)} {r.randint(100, 999)} {r.randint(1000, 9999)}"
+    make = {0: lambda: f"user{r.randint(1, 99)} (at) mail{r.randint(1, 9)} (dot) example", 2: card, 3: phone}
+    for n, at in enumerate(r.sample(range(len(rows)), 250)):
+        kind, (doc_id, text) = (0, 0, 2, 3, 3)[n % 5], rows[at]
+        parts, kind_of[doc_id] = text.split(" "), kind
+        place = r.randint(0, len(parts))
+        rows[at] = (doc_id, " ".join([*parts[:place], ("call " if n % 10 == 3 else "") + make[kind](), *parts[place:]]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.n_added for x in pii.find_personal(docs, pii.train(docs)).collect()}
+    for kind in make:
+        mine = [got[d] > 0 for d, k in kind_of.items() if k == kind]
+        assert sum(mine) >= 0.9 * len(mine), pii.KINDS[kind]
+    assert sum(n > 0 for d, n in got.items() if d not in kind_of) <= 0.02 * (len(rows) - 250)
+
+
+def test_pii_sample_is_bounded(spark):
+    """Many rows of one doc_id, different and equal ones."""
+    rows = spark.createDataFrame([(1, f"call +49 30 {k:04d} now") for k in range(2000)] * 2, "doc_id long, text string")
+    got = pii.sampled(rows, 100)
+    assert got.count() == got.distinct().count() == 100
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_overlapping_candidates_are_taken_best_first(spark, seed):
+    """The choice among overlapping spans against a plain search, with made-up probabilities."""
+    r = random.Random(seed)
+    texts = [" ".join(r.choice(["030 555 1234", "12.34.56.78", "4111 1111 1111 1111", "a (at) b (dot) c", "0049-30-1234-5678", "x"]) for _ in range(6)) for _ in range(40)]
+
+    class Fixed:
+        limits = [0.5, 0.6, 0.4, 0.3]
+
+        def probability(self, x):
+            return np.array([int(hashlib.sha256(v.tobytes()).hexdigest()[:6], 16) / 2**24 for v in x])
+
+    model, docs = Fixed(), [(i, t) for i, t in enumerate(texts)]
+    got = {}
+    batch = pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in docs], "text": texts})
+    for out in pii.span_finder(model)([batch]):
+        got |= dict(zip(out.column("doc_id").to_pylist(), out.column("spans").to_pylist(), strict=True))
+    for i, t in docs:
+        base, chosen = plain_spans(t), []
+        scored = sorted((-model.probability([np.array(pii.features(t, *c), float)])[0], c) for c in pii.candidates(t))
+        for p, (k, a, b) in scored:
+            if -p >= model.limits[k] and all(b <= x or y <= a for _, x, y in [*base, *chosen]):
+                chosen.append((k, a, b))
+        assert got[i] == ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in sorted([*base, *chosen])), t
+
+
 def test_boosting():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 4))
@@ -343,6 +402,27 @@ def test_tiles_keep_16_bits():
     assert np.load(io.BytesIO(media.npy_tile(image.astype(np.uint8)))).dtype == np.uint8
 
 
+@pytest.mark.parametrize(
+    "raw",
+    [
+        b"P5\n99999999999 99999999999\n255\n", b"P2 2 1 15 / 15 300", b"P2 2 1 15\n15 300", b"P2 2 1 255\n-1 3", b"P3 1 1 255\n1 2", b"P1 2 1\n6 2", b"P1 2 1\n1", b"P4 99999999 99999999\n\0",
+        b"P5 2 1 15\n\x0f\x10", b"P5 2 1 0\n\0\0", b"P5 2 1 70000\n\0\0\0\0", b"P5 2", b"P6 1 1 255\n\0\0", b"P7", b"", b"BM", b"BM" + b"\xff" * 60, b"P2 1 1 255\n" + b"9" * 50, b"P5 x 1 255\n\0",
+    ],
+)
+def test_media_rejects_bad_files(spark, raw):
+    with pytest.raises((ValueError, struct.error)):
+        media.decode(raw)
+
+
+def test_media_scales_the_largest_value(spark):
+    assert media.decode(b"P2 3 1 15\n0 7 15").tolist() == [[0, 119, 255]] and media.decode(b"P5 2 1 1\n\0\1").tolist() == [[0, 255]]
+    wide = media.decode(b"P2 2 1 1000\n1000 500")
+    assert wide.dtype == np.uint16 and wide.tolist() == [[65535, 32768]] and media.decode(b"P1 2 1\n10").tolist() == [[0, 255]]
+    images = spark.createDataFrame([(1, bytearray(b"P5\n99999999999 99999999999\n255\n")), (2, bytearray(b"P2 2 1 15\n15 0"))], "id int, media binary")
+    got = {r.id: r for r in media.decode_media(images).collect()}
+    assert got[1].media_error and got[1].tile is None and got[2].media_error is None and got[2].width == 2
+
+
 def test_media_documents(spark):
     docs = edge_docs(spark)
     got = media.read_stored(media.store_texts(docs)).collect()
