@@ -30,7 +30,7 @@ _TOKEN = re.compile(rb"(?:\s|#[^\n]*\n)*([^\s#]+)")
 
 
 def decode_netpbm(raw: bytes) -> np.ndarray:
-    """P1 to P6 → height x width (x 3) array; one bit per sample becomes 0 (ink) and 255."""
+    """P1 to P6 → height x width (x 3) array; one bit per sample becomes 0 (ink) and 255, and samples of a smaller largest value are scaled to 8 or 16 bits."""
     kind, at, head = raw[:2], 2, []
     if kind not in (b"P1", b"P2", b"P3", b"P4", b"P5", b"P6"):
         raise ValueError("not Netpbm")
@@ -46,13 +46,20 @@ def decode_netpbm(raw: bytes) -> np.ndarray:
     if width < 1 or height < 1 or not 1 <= top <= 65535:
         raise ValueError("bad Netpbm size")
     count = width * height * depth
+    if count > 8 * len(raw):  # no kind has more samples than bits
+        raise ValueError("short Netpbm data")
     if kind == b"P1":
         bits = re.sub(rb"#[^\n]*\n|\s", b"", raw[at:])
         out = np.frombuffer(bits, np.uint8, count) - 48
+        if out.max() > 1:
+            raise ValueError("Netpbm bit that is neither 0 nor 1")
     elif kind in (b"P2", b"P3"):
-        out = np.array(re.sub(rb"#[^\n]*\n", b" ", raw[at:]).split()[:count], np.int64)
-        if len(out) < count:
+        cells = re.sub(rb"#[^\n]*\n", b" ", raw[at:]).split()[:count]
+        if len(cells) < count:
             raise ValueError("short Netpbm data")
+        if not all(c.isdigit() and len(c) <= 9 for c in cells):
+            raise ValueError("Netpbm sample that is no number")
+        out = np.array(cells, np.int64)
     elif kind == b"P4":
         rows = np.frombuffer(raw, np.uint8, height * ((width + 7) // 8), at + 1).reshape(height, -1)
         out = np.unpackbits(rows, axis=1, count=width).ravel()
@@ -60,6 +67,12 @@ def decode_netpbm(raw: bytes) -> np.ndarray:
         out = np.frombuffer(raw, np.uint8 if top < 256 else ">u2", count, at + 1)
     if kind in (b"P1", b"P4"):
         out = (1 - out) * np.uint8(255)
+    else:
+        if out.max() > top:
+            raise ValueError("Netpbm sample above the largest value")
+        full = 255 if top < 256 else 65535
+        if top < full:
+            out = (out.astype(np.int64) * full * 2 + top) // (2 * top)
     out = out.astype(np.uint8 if top < 256 else np.uint16)
     return out.reshape((height, width, 3) if depth == 3 else (height, width))
 
@@ -73,6 +86,8 @@ def decode_bmp(raw: bytes) -> np.ndarray:
     if head < 40 or packing or width < 1 or not height or bits not in (1, 4, 8, 24, 32):
         raise ValueError("unsupported BMP")
     rows, stride = abs(height), (width * bits + 31) // 32 * 4
+    if rows * stride > len(raw):
+        raise ValueError("short BMP data")
     data = np.frombuffer(raw, np.uint8, rows * stride, start).reshape(rows, stride)
     if bits <= 8:
         used = struct.unpack_from("<I", raw, 46)[0] or 1 << bits
@@ -190,7 +205,7 @@ def decode_media(images: DataFrame, media_col: str = "media", side: int = 16) ->
                 try:
                     image = decode(media)
                     row = (*image.shape[:2], 1 if image.ndim == 2 else image.shape[2], npy_tile(image, side), difference_hash(image), None)
-                except (TypeError, ValueError, struct.error, IndexError) as e:
+                except (TypeError, ValueError, OverflowError, struct.error, IndexError) as e:
                     row = (None, None, None, None, None, str(e)[:200] or "unreadable")
                 for c, v in zip(rows, row, strict=True):
                     c.append(v)
