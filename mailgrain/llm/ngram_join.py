@@ -65,7 +65,7 @@ def word_digest(word: str) -> bytes:
     return xxhash.xxh3_128_digest(bare.encode()) if bare else b""
 
 
-_words = Words(word_digest)
+_words = Words(word_digest, 200_000)
 
 
 def shingles(text: str) -> tuple[np.ndarray, bytes]:

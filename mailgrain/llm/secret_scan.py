@@ -52,16 +52,31 @@ TOGETHER = 2**0.5  # deviation of the sum of two independent deviations
 LEAST_P = 1e-6  # below, the tail's polynomial is not exact
 
 
-def upper_tail(z: Column) -> Column:
-    """P(Z > z) of the standard normal, by the published polynomial (Abramowitz and Stegun 26.2.17)."""
-    x = F.abs(z)
-    t = 1 / (1 + 0.2316419 * x)
+def half_tail(z: Column, t: Column) -> Column:
+    """P(Z > |z|) by the published polynomial (Abramowitz and Stegun 26.2.17), t being 1 / (1 + 0.2316419 |z|)."""
     # Fixed values of the published polynomial.
     poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    q = F.exp(-x * x / 2) / F.sqrt(F.lit(2 * 3.141592653589793)) * poly
+    return F.exp(-z * z / 2) / F.sqrt(F.lit(2 * 3.141592653589793)) * poly
+
+
+def upper_tail(z: Column) -> Column:
+    """P(Z > z) of the standard normal."""
+    q = half_tail(z, 1 / (1 + 0.2316419 * F.abs(z)))
     return F.when(z < 0, 1 - q).otherwise(q)
 
 
+def with_tails(rows: DataFrame, deviations: dict[str, Column]) -> DataFrame:
+    """Adds the upper tail of each deviation.
+
+    Step by step as columns: as one expression a deviation would stand in it dozens of times, and the generated code would be too large to compile.
+    """
+    kept, names = rows.columns, list(deviations)
+    rows = rows.select("*", *[z.alias(f"z_{n}") for n, z in deviations.items()])
+    rows = rows.select("*", *[(1 / (1 + 0.2316419 * F.abs(f"z_{n}"))).alias(f"t_{n}") for n in names])
+    rows = rows.select(*kept, *[F.col(f"z_{n}") for n in names], *[half_tail(F.col(f"z_{n}"), F.col(f"t_{n}")).alias(f"q_{n}") for n in names])
+    return rows.select(*kept, *[F.when(F.col(f"z_{n}") < 0, 1 - F.col(f"q_{n}")).otherwise(F.col(f"q_{n}")).alias(n) for n in names])
+
+
 def lengths(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per match, and one at least per document: row key, doc_id, match. The texts end here."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("rid", F.monotonically_increasing_id()).withColumn("fp", F.xxhash64("text"))
@@ -134,24 +149,27 @@ def battery(rows: DataFrame, alpha: float = 0.003) -> DataFrame:
     serial = F.expr("aggregate(sequence(1, size(v) - 1), 0D, (a, i) -> a + (v[i] - mean) * (v[i - 1] - mean))")
     rows = rows.select("*", spread.alias("spread"), serial.alias("serial"))
     n, k, n1 = F.col("size"), F.col("k"), F.col("n1")
+    two, three, switch = (of_encoding({e: v[i] for e, v in PROSE.items()}) for i in range(3))
+    n, k, n1 = F.col("size"), F.col("k"), F.col("n1")
+    rows = rows.select("*", (2 * n1 * (n - n1)).alias("both"), two.alias("two"), three.alias("three"), switch.alias("switch"), F.greatest(F.col("plain") - 1, F.lit(1.0)).alias("steps"))
     # Tests of randomness: small where a random token would hardly be so uneven.
     df, x2 = k - 1, k / n * F.col("sq") - n
     z_chi = (F.pow(F.greatest(x2, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
-    both = 2 * n1 * (n - n1)
-    var = both * (both - n) / (n * n * (n - 1))
-    p_runs = F.when(var > 0, 2 * upper_tail(F.abs(F.col("runs") - both / n - 1) / F.sqrt(var))).otherwise(0.0)
-    p_serial = F.when(F.col("spread") > 0, 2 * upper_tail(F.abs(F.col("serial") / F.col("spread") + 1 / n) * F.sqrt(n))).otherwise(0.0)
+    both = F.col("both")
+    rows = rows.select("*", z_chi.alias("d_chi"), (both * (both - n) / (n * n * (n - 1))).alias("var"))
+    z_runs = F.abs(F.col("runs") - both / n - 1) / F.sqrt(F.when(F.col("var") > 0, F.col("var")))
+    z_serial = F.abs(F.col("serial") / F.when(F.col("spread") > 0, F.col("spread")) + 1 / n) * F.sqrt(n)
     # Against prose: small where prose would hardly be so even, or so broken.
-    two, three, switch = (of_encoding({e: v[i] for e, v in PROSE.items()}) for i in range(3))
     pairs, triples = n * (n - 1) / 2, n * (n - 1) * (n - 2)
-    agree = (F.col("sq") - n) / 2
-    z_even = (pairs * two - agree) / F.sqrt(pairs * (two - two * two) + triples * (three - two * two))
-    steps = F.greatest(F.col("plain") - 1, F.lit(1.0))
+    two, three, switch, steps = (F.col(c) for c in ("two", "three", "switch", "steps"))
+    z_even = (pairs * two - (F.col("sq") - n) / 2) / F.sqrt(pairs * (two - two * two) + triples * (three - two * two))
     z_broken = (F.col("pieces") - 1 - 0.5 - steps * switch) / F.sqrt(steps * switch * (1 - switch))
-    against = F.least(F.lit(1.0), F.greatest(F.lit(LEAST_P), upper_tail((z_even + z_broken) / TOGETHER)))
+    rows = with_tails(rows, {"u_chi": F.col("d_chi"), "u_runs": z_runs, "u_serial": z_serial, "u_prose": (z_even + z_broken) / TOGETHER})
+    p_runs, p_serial = (F.coalesce(2 * F.col(c), F.lit(0.0)) for c in ("u_runs", "u_serial"))  # no spread: not random
+    against = F.least(F.lit(1.0), F.greatest(F.lit(LEAST_P), F.col("u_prose")))
     known = F.col("encoding").isNotNull()
     band = F.when(n < 32, 0).when(n < 64, 1).otherwise(2)
-    tests = rows.select("rid", "fp", "doc_id", "kind", "start", "end", "ok", "token", "encoding", band.alias("band"), *[F.when(known, p).alias(name) for name, p in (("p_chi", upper_tail(z_chi)), ("p_runs", p_runs), ("p_serial", p_serial), ("p_prose", against))])
+    tests = rows.select("rid", "fp", "doc_id", "kind", "start", "end", "ok", "token", "encoding", band.alias("band"), *[F.when(known, p).alias(name) for name, p in (("p_chi", F.col("u_chi")), ("p_runs", p_runs), ("p_serial", p_serial), ("p_prose", against))])
     return tests.withColumn("p", F.when(3 * F.least("p_chi", "p_runs", "p_serial") < alpha, 1.0).otherwise(F.col("p_prose")))
 
 
@@ -209,7 +227,7 @@ def redact_secrets(docs: DataFrame, mask: str = "[SECRET]", id_col: str = "doc_i
     found = found.select(F.col("doc_id").alias(known_id), F.col("fp").alias(known_fp), F.reverse(merged).alias(spans)).dropDuplicates([known_id, known_fp])
     same = F.col(id_col).cast("long").eqNullSafe(F.col(known_id)) & (F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col(known_fp))
     masked = docs.join(found, same, "left")
-    text = F.expr(f"aggregate({spans}, `{text_col}`, (t, s) -> concat(substring(t, 1, cast(s.start as int)), '{mask}', substring(t, cast(s.end + 1 as int))))")
+    text = F.aggregate(F.col(spans), F.col(f"`{text_col}`").cast("string"), lambda t, s: F.concat(F.substring(t, F.lit(1), s["start"].cast("int")), F.lit(mask), F.substring(t, (s["end"] + 1).cast("int"), F.length(t))))
     out = masked.withColumn(text_col, F.when(F.col(spans).isNotNull(), text).otherwise(F.col(text_col)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(spans).isNotNull(), F.length(text_col).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

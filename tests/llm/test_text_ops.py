@@ -16,6 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mailgrain.llm import boosting, lm_scoring, media, pii, secret_scan, toxicity
+from mailgrain.llm.common import written
 from .test_token_ops import edge_docs
 
 
@@ -259,6 +260,20 @@ def test_secrets(spark):
     assert all(masked[i] == t for i, t in rows if not got[i].spans)
 
 
+def test_any_mask(spark):
+    docs = spark.createDataFrame([(1, "token = abcdefgh12 and password: ijklmnop34"), (2, None)], "doc_id long, text string")
+    for mask in ("[it's]", "\\", "$1 {x}", "", "'; DROP"):
+        got = {r.doc_id: r.text for r in secret_scan.redact_secrets(docs, mask).collect()}
+        assert got == {1: f"{mask} and {mask}", 2: None}
+
+
+def test_the_battery_compiles(spark):
+    """No stage falls back to interpreted evaluation because its generated code is too large."""
+    rows = spark.createDataFrame([(1, 1, 1, 3, 0, 30, True, "abcdefghij0123456789abcdef0123")], "rid long, fp long, doc_id long, kind int, start long, end long, ok boolean, token string")
+    stages = secret_scan.battery(written(rows))._jdf.queryExecution().debug().codegenToSeq()
+    assert stages.size() and all(stages.apply(i)._3().maxMethodCodeSize() > 0 for i in range(stages.size()))
+
+
 def plain_battery(token):
     """Encoding and the p-values of one token, with exact normal tails."""
     tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
