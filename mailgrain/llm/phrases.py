@@ -7,17 +7,18 @@ counts are exact and cover all documents.
    text as places among them. Words are summed over all chunks, and each chunk gets back the numbers of its frequent words. A phrase with a
    rarer word can't be frequent, so rarer words become breaks, and words alone between breaks go; nothing that could be counted is lost.
 2. Vertical partitioning. A word is a prefix of as many suffixes as it has occurrences. Prefixes are grouped, in the order in which they lie, up to
-   ``budget`` suffixes a group. A prefix with more is extended by its next words, which are counted for it alone, and the longer prefixes grouped in
-   the same way, until they fit or are whole phrases, whose counts are then known. So no group has more suffixes than the budget, however frequent a
-   word, a pair or a passage is.
+   ``budget`` suffixes a group. A word with more is extended: its suffixes go to several groups by their next word, in the number that its count asks
+   for. Where a pair alone has more than a quarter of the budget (only pairs of words that are as frequent can, and only these are counted), it is
+   extended in the same way, and so on to the longest phrases. So a group keeps near its budget, however frequent a word, a pair or a passage is.
 3. Subtrees. Chunks send each group its suffixes, cut after ``longest`` words, each different one once with its count. A group sorts them, which is
    its depth-truncated suffix subtree: leaves are the different suffixes, and a node's count is the sum of the leaves below it.
    Groups know nothing of each other.
 4. Scores. Both parts of every cut of a candidate are frequent phrases or words, so their counts are joined from the nodes; a candidate inside
    a longer one with nearly its count goes; the best of each language are ranked in two steps, first within hashed shares.
 
-A chunk sends one row to each group it has suffixes for, so rows are at most as many as different suffixes of chunks. Joins by word or phrase are
-of written tables with one row a key on one side, where Spark splits a hot key of the other.
+A chunk sends one row to each group it has suffixes for, so rows are at most as many as different suffixes of chunks. What a chunk is told of pairs
+and longer prefixes is of those that it holds. Joins by word or phrase are of written tables with one row a key on one side, where Spark splits a hot
+key of the other.
 
 Defined results: null and empty texts have no words; a null language is "und"; repeated rows count as often as they occur; doc_ids aren't
 read, null or not; fewer candidates than ``top`` are all returned; an empty table gives no rows; other columns are not read.
@@ -40,7 +41,7 @@ HELD = 80  # of a hundred: a phrase goes if a longer one has this share of its c
 SEPARATORS = ".,;:!?\n\x0b\x0c\r"
 _FOLD = str.maketrans(string.ascii_uppercase + SEPARATORS + "\t", string.ascii_lowercase + "\n" * len(SEPARATORS) + " ")
 CHUNK = "chunk long, lang string, n_words long, words array<string>, counts array<int>, tokens binary"
-CODED = "chunk long, lang string, ids binary, groups binary, tokens binary"
+CODED = "chunk long, lang string, words binary, tokens binary"
 
 
 class Places(dict):
@@ -105,103 +106,122 @@ def cut_chunks(docs: DataFrame, chunk_words: int, text_col: str, lang_col: str)
     return src.mapInArrow(run, CHUNK)
 
 
-def grouped(prefixes: DataFrame, budget: int, size: int = 1, numbered: bool = False) -> DataFrame:
-    """Prefixes of ``size`` words with a count f, and the group of each: neighbours up to ``budget`` suffixes together; null for what is larger by itself.
+def grouped(prefixes: DataFrame, budget: int, size: int = 1) -> DataFrame:
+    """Prefixes of ``size`` words with a count f, and where their suffixes go: group ``grp``, or one of ``subs`` groups from there by the next word.
 
-    A task groups what it holds, so this shuffles nothing. ``numbered`` adds an id above zero.
+    Neighbours go together up to ``budget`` suffixes; a word with more, and every longer prefix, gets groups for about a quarter of it each. A task groups
+    what it holds, so this shuffles nothing. Words also get an id above zero.
     """
-    added = [("grp", pa.int64())] + ([("id", pa.int64())] if numbered else [])
+    added = ["grp", "subs"] + ["id"] * (size == 1)
 
     def run(batches):
-        base = (TaskContext.get().partitionId() + 1) << 33
-        group, held, number = base | size << 28, 0, base
+        base = (TaskContext.get().partitionId() + 1) << 36
+        group, held, number = base | size << 33, 0, base
         for b in batches:
-            groups = []
+            groups, subs = [], []
             for f in b.column("f").to_pylist():
-                if f > budget:
-                    groups.append(None)
-                    continue
-                if held + f > budget:
-                    group, held = group + 1, 0
-                held += f
-                groups.append(group)
-            columns = [pa.array(groups, pa.int64()), pa.array(np.arange(number, number + len(groups)))][: len(added)]
+                if size > 1 or f > budget:
+                    n = -(-4 * f // budget)
+                    groups.append(group + 1)
+                    group, held = group + n, budget
+                else:
+                    if held + f > budget:
+                        group, held = group + 1, 0
+                    n, held = 1, held + f
+                    groups.append(group)
+                subs.append(n)
+            columns = [pa.array(groups, pa.int64()), pa.array(subs, pa.int64()), pa.array(np.arange(number, number + len(groups)))][: len(added)]
             number += len(groups)
-            yield pa.RecordBatch.from_arrays([*b.columns, *columns], names=[*b.schema.names, *[n for n, _ in added]])
+            yield pa.RecordBatch.from_arrays([*b.columns, *columns], names=[*b.schema.names, *added])
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in prefixes.schema) + "".join(f", {n} long" for n, _ in added)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in prefixes.schema) + "".join(f", {n} long" for n in added)
     return prefixes.mapInArrow(run, schema)
 
 
 def code_chunk(chunk: pa.Table, known: pa.Table) -> pa.Table:
-    """A chunk's text as places among its frequent words, others being breaks; ``known`` has (place, id, grp) of the frequent ones."""
-    rows = chunk.to_pylist()
-    if not rows:
-        return pa.table({f.split()[0]: [] for f in CODED.split(", ")}, pa.schema([("chunk", pa.int64()), ("lang", pa.string()), ("ids", pa.binary()), ("groups", pa.binary()), ("tokens", pa.binary())]))
-    row = rows[0]
+    """A chunk's text as places among its frequent words, others being breaks; ``known`` has (place, id, grp, subs, f) of the frequent ones."""
+    rows = chunk.select(["chunk", "lang", "tokens"]).to_pylist()
     known = known.sort_by("place")
     place = known.column("place").to_numpy()
-    to = np.zeros(len(place) and int(place.max()) + 1, np.int32)
+    to = np.zeros(int(place.max()) + 1 if len(place) else 1, np.int32)
     to[place] = np.arange(1, len(place) + 1)
-    tokens = unpacked(row["tokens"], np.int32)
-    tokens = np.where(tokens < len(to), to[np.minimum(tokens, len(to) - 1)], 0) if len(to) else np.zeros(0, np.int32)
-    # Words alone between breaks begin no phrase, and one break is as good as many.
-    before, after = np.concatenate([[0], tokens[:-1]]), np.concatenate([tokens[1:], [0]])
-    tokens = np.where((before == 0) & (after == 0), 0, tokens)
-    tokens = tokens[(tokens > 0) | (np.concatenate([[0], tokens[:-1]]) > 0)].astype(np.int32)
-    groups = known.column("grp").fill_null(-1).to_numpy()
-    return pa.table({"chunk": [row["chunk"]], "lang": [row["lang"]], "ids": [packed(known.column("id").to_numpy())], "groups": [packed(groups)], "tokens": [packed(tokens)]})
+    out: list[dict] = []
+    for row in rows:
+        tokens = unpacked(row["tokens"], np.int32)
+        tokens = np.where(tokens < len(to), to[np.minimum(tokens, len(to) - 1)], 0)
+        # Words alone between breaks begin no phrase, and one break is as good as many.
+        before, after = np.concatenate([[0], tokens[:-1]]), np.concatenate([tokens[1:], [0]])
+        tokens = np.where((before == 0) & (after == 0), 0, tokens)
+        tokens = tokens[(tokens > 0) | (np.concatenate([[0], tokens[:-1]]) > 0)].astype(np.int32)
+        words = np.stack([known.column(c).to_numpy() for c in ("id", "grp", "subs", "f")], 1).astype(np.int64)
+        out.append({"chunk": row["chunk"], "lang": row["lang"], "words": packed(words), "tokens": packed(tokens)})
+    return pa.Table.from_pylist(out, pa.schema([("chunk", pa.int64()), ("lang", pa.string()), ("words", pa.binary()), ("tokens", pa.binary())]))
+
+
+def starts_of(head: np.ndarray) -> np.ndarray:
+    """Where sorted rows differ from the one before."""
+    return np.flatnonzero(np.concatenate([[True], (head[1:] != head[:-1]).any(1)])) if len(head) else np.zeros(0, np.int64)
+
+
+def mixed(ids: np.ndarray) -> np.ndarray:
+    x = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (x ^ (x >> np.uint64(31))) >> np.uint64(1)
 
 
 class Chunk:
-    """A coded chunk on a worker: its suffixes, and the group of each under the prefixes known so far."""
+    """A coded chunk on a worker: its different suffixes with their counts, and the group of each under the prefixes known so far."""
 
-    def __init__(self, row: dict, longest: int):
-        self.number, self.lang, self.longest = row["chunk"], row["lang"], longest
-        self.ids = np.concatenate([[0], unpacked(row["ids"], np.int64)])
+    def __init__(self, row: dict, longest: int, budget: int):
+        self.number, self.lang = row["chunk"], row["lang"]
+        words = np.concatenate([np.zeros((1, 4), np.int64), unpacked(row["words"], np.int64, 4)])
+        self.ids, self.frequent = words[:, 0], words[:, 3] > budget // 4
         tokens = unpacked(row["tokens"], np.int32)
         padded = np.concatenate([tokens, np.zeros(longest, np.int32)])
         suffix = np.stack([padded[k : k + len(tokens)] for k in range(longest)], 1)
         for k in range(1, longest):
             suffix[:, k] *= suffix[:, k - 1] > 0
-        suffix = suffix[suffix[:, 1] > 0] if longest > 1 else suffix[suffix[:, 0] > 0]
-        order = np.lexsort(suffix.T[::-1])
-        suffix = suffix[order]
-        new = np.concatenate([[True], (suffix[1:] != suffix[:-1]).any(1)]) if len(suffix) else np.zeros(0, bool)
-        starts = np.flatnonzero(new)
-        self.suffix, self.n = suffix[starts], np.diff(np.concatenate([starts, [len(suffix)]]))
-        groups = np.concatenate([[-1], unpacked(row["groups"], np.int64)])
-        self.group, self.depth = groups[self.suffix[:, 0]], np.ones(len(starts), np.int64)
-        self.open = self.group < 0  # under a prefix that is too large for a group
+        suffix = suffix[suffix[:, 1] > 0]
+        suffix = suffix[np.lexsort(suffix.T[::-1])]
+        starts = starts_of(suffix)
+        self.suffix, self.n = suffix[starts], np.diff(np.concatenate([starts, [len(suffix)]])).astype(np.int64)
+        self.group, self.whole = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        first = self.suffix[:, 0]
+        self.deal(np.arange(len(starts)), 1, words[first, 1], words[first, 2])
+        self.open = words[first, 2] > 1
+
+    def deal(self, at: np.ndarray, size: int, grp: np.ndarray, subs: np.ndarray) -> None:
+        """Send suffixes to the groups of their prefix of ``size`` words; where there are several, by the next word, and without one to none."""
+        several = subs > 1
+        following = self.ids[self.suffix[at, size]] if size < self.suffix.shape[1] else np.zeros(len(at), np.int64)
+        to = grp + (mixed(following) % np.maximum(subs, 1).astype(np.uint64)).astype(np.int64) * several
+        self.group[at] = np.where(several & (following == 0), -1, to)
+        self.whole[at] = size + several  # the shortest prefix that the group has whole
 
     def prefixes(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Different prefixes of ``size`` words of the open suffixes, as ids, with their counts."""
-        at = np.flatnonzero(self.open & (self.suffix[:, size - 1] > 0))
+        """Different prefixes of ``size`` words of the suffixes whose shorter one is extended and whose last word is frequent enough, as ids, with their counts."""
+        at = np.flatnonzero(self.open & (self.suffix[:, size - 1] > 0) & self.frequent[self.suffix[:, size - 1]])
         head = self.suffix[at, :size]
-        new = np.concatenate([[True], (head[1:] != head[:-1]).any(1)]) if len(at) else np.zeros(0, bool)
-        starts = np.flatnonzero(new)
+        starts = starts_of(head)
         return self.ids[head[starts]], np.add.reduceat(self.n[at], starts) if len(starts) else np.zeros(0, np.int64)
 
-    def extend(self, size: int, known: pa.Table) -> None:
-        """Take the groups of longer prefixes: ``known`` has (w1, ..., grp) of the frequent ones; what is not there leads to nothing frequent."""
+    def extend(self, size: int, plan: dict[tuple, tuple[int, int]]) -> None:
+        """Deal the suffixes of the longer prefixes in the plan anew."""
         at = np.flatnonzero(self.open & (self.suffix[:, size - 1] > 0))
         self.open[:] = False
-        if not len(at) or not known.num_rows:
-            return
         head = self.suffix[at, :size]
-        starts = np.flatnonzero(np.concatenate([[True], (head[1:] != head[:-1]).any(1)]))
-        group_of = dict(zip(zip(*[known.column(f"w{k + 1}").to_pylist() for k in range(size)], strict=True), known.column("grp").fill_null(-1).to_pylist(), strict=True))
-        got = np.array([group_of.get(tuple(x), -2) for x in self.ids[head[starts]].tolist()], np.int64)
-        got = np.repeat(got, np.diff(np.concatenate([starts, [len(at)]])))
-        self.group[at], self.depth[at] = got, size
-        self.open[at[got == -1]] = True
+        starts = starts_of(head)
+        got = np.array([plan.get(tuple(x), (0, 0)) for x in self.ids[head[starts]].tolist()], np.int64).reshape(-1, 2)
+        got = np.repeat(got, np.diff(np.concatenate([starts, [len(at)]])), axis=0)
+        found = got[:, 1] > 0
+        self.deal(at[found], size, got[found, 0], got[found, 1])
+        self.open[at[found]] = True
 
     def messages(self):
         """(grp, suffixes) of each group: w1, ..., the count, and the size of the prefix that the group has whole."""
         at = np.flatnonzero(self.group >= 0)
         at = at[np.argsort(self.group[at], kind="stable")]
         edges = np.flatnonzero(np.diff(self.group[at])) + 1
-        rows = np.concatenate([self.ids[self.suffix], self.n[:, None], self.depth[:, None]], 1)
+        rows = np.concatenate([self.ids[self.suffix], self.n[:, None], self.whole[:, None]], 1)
         for part in np.split(at, edges) if len(at) else ():
             yield int(self.group[part[0]]), packed(rows[part])
 
@@ -210,38 +230,38 @@ def words(longest: int) -> list[str]:
     return [f"w{k + 1}" for k in range(longest)]
 
 
-def open_prefixes(coded: DataFrame, plan: DataFrame | None, size: int, longest: int) -> DataFrame:
-    """(chunk, lang, w1, ..., n): of each chunk the prefixes of ``size`` words whose first words are too large for a group."""
-    names = words(longest)
-    schema = "chunk long, lang string, " + ", ".join(f"{w} long" for w in names) + ", n long"
-
-    def rows(chunk: Chunk) -> pa.Table:
-        ids, n = chunk.prefixes(size)
-        ids = np.concatenate([ids, np.zeros((len(ids), longest - size), np.int64)], 1)
-        return pa.table({"chunk": pa.array([chunk.number] * len(n), pa.int64()), "lang": pa.array([chunk.lang] * len(n), pa.string()), **{w: pa.array(ids[:, k]) for k, w in enumerate(names)}, "n": pa.array(n.astype(np.int64))})
+def with_plan(coded: DataFrame, plan: DataFrame | None, upto: int, longest: int, budget: int, rows, schema: str) -> DataFrame:
+    """rows(chunk) of every coded chunk, which has met its part of the plan for prefixes of 2 to ``upto`` words.
 
-    return with_plan(coded, plan, size - 1, longest, rows, schema)
+    Spark broadcasts the plan under its own threshold, and shuffles the chunks only beyond.
+    """
+    if plan is not None:
+        told = plan.groupBy("chunk").agg(F.collect_list(F.struct("size", F.array(*words(longest)).alias("w"), "grp", "subs")).alias("plan"))
+        coded = coded.join(told.withColumnRenamed("chunk", "of"), F.col("chunk") == F.col("of"), "left").drop("of")
 
+    def run(batches):
+        for b in batches:
+            for k in range(b.num_rows):
+                row = b.slice(k, 1).to_pylist()[0]
+                chunk = Chunk(row, longest, budget)
+                told = row.get("plan") or []
+                for size in range(2, upto + 1):
+                    chunk.extend(size, {tuple(x["w"][:size]): (x["grp"], x["subs"]) for x in told if x["size"] == size})
+                yield from rows(chunk).to_batches()
 
-def with_plan(coded: DataFrame, plan: DataFrame | None, upto: int, longest: int, rows, schema: str) -> DataFrame:
-    """rows(chunk) of every coded chunk, which has met its part of the plan for prefixes of 2 to ``upto`` words."""
-    if plan is None:
+    return coded.mapInArrow(run, schema)
 
-        def alone(batches):
-            for b in batches:
-                for row in b.to_pylist():
-                    yield from rows(Chunk(row, longest)).to_batches()
 
-        return coded.mapInArrow(alone, schema)
+def open_prefixes(coded: DataFrame, plan: DataFrame | None, size: int, longest: int, budget: int) -> DataFrame:
+    """(chunk, lang, w1, ..., n): of each chunk the prefixes of ``size`` words that may have to be extended."""
+    names = words(longest)
 
-    def met(own: pa.Table, known: pa.Table) -> pa.Table:
-        chunk = Chunk(own.to_pylist()[0], longest)
-        sizes = known.column("size").to_numpy()
-        for size in range(2, upto + 1):
-            chunk.extend(size, known.filter(pa.array(sizes == size)))
-        return rows(chunk)
+    def rows(chunk: Chunk) -> pa.Table:
+        ids, n = chunk.prefixes(size)
+        ids = np.concatenate([ids, np.zeros((len(ids), longest - size), np.int64)], 1)
+        return pa.table({"chunk": pa.array([chunk.number] * len(n), pa.int64()), "lang": pa.array([chunk.lang] * len(n), pa.string()), **{w: pa.array(ids[:, k]) for k, w in enumerate(names)}, "n": pa.array(n)})
 
-    return coded.groupBy("chunk").cogroup(plan.groupBy("chunk")).applyInArrow(met, schema)
+    return with_plan(coded, plan, size - 1, longest, budget, rows, "chunk long, lang string, " + ", ".join(f"{w} long" for w in names) + ", n long")
 
 
 def subtree(longest: int, least: int):
@@ -254,7 +274,7 @@ def subtree(longest: int, least: int):
         out, lang = [], group.column("lang")[0].as_py()
         for size in range(2, longest + 1):
             change = (x[1:, :size] != x[:-1, :size]).any(1)
-            starts = np.concatenate([[0], np.flatnonzero(change) + 1])
+            starts = np.concatenate([[0], np.flatnonzero(change) + 1])  # a group has a row at least
             n = np.add.reduceat(x[:, longest], starts)
             whole = (n >= least) & (x[starts, size - 1] > 0) & (x[starts, longest + 1] <= size)
             node = x[starts[whole], :longest].copy()
@@ -272,31 +292,25 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     chunks = written(cut_chunks(docs, chunk_words, text_col, lang_col))
     totals = written(chunks.groupBy("lang").agg(F.sum("n_words").alias("n")))
     used = chunks.select("chunk", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w")).select("chunk", "lang", (F.col("place") + 1).alias("place"), F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    vocabulary = written(grouped(used.groupBy("lang", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= least), budget, numbered=True))
-    known = used.join(vocabulary.select("lang", "word", "id", "grp"), ["lang", "word"]).select(F.col("chunk").alias("of_chunk"), "place", "id", "grp")
+    vocabulary = written(grouped(used.groupBy("lang", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= least), budget))
+    known = used.join(vocabulary.select("lang", "word", "id", "grp", "subs", "f"), ["lang", "word"]).select(F.col("chunk").alias("of_chunk"), "place", "id", "grp", "subs", "f")
     coded = written(chunks.select("chunk", "lang", "tokens").groupBy("chunk").cogroup(known.groupBy("of_chunk")).applyInArrow(code_chunk, CODED))
 
-    plan, whole = None, []  # prefixes of 2 words and more that chunks have met, by chunk; nodes whose counts the plan knows
-    hot = not vocabulary.filter("grp IS NULL").isEmpty()
-    for size in range(2, longest + 1):
-        if not hot:
-            break
-        met = written(open_prefixes(coded, plan, size, longest))
-        sums = met.groupBy("lang", *names).agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
-        if size == longest:
-            whole.append(sums.select("lang", *names, F.lit(size).alias("size"), F.col("f").alias("a")))
+    plan, whole, hot = None, [], vocabulary.filter("subs > 1")  # prefixes of two words and more that are extended; their own counts are known
+    for size in range(2, longest):
+        if hot.isEmpty():
             break
-        longer = written(grouped(sums, budget, size))
-        whole.append(longer.filter("grp IS NULL").select("lang", *names, F.lit(size).alias("size"), F.col("f").alias("a")))
-        told = met.join(longer.select(*names, "grp"), names).select("chunk", *names, F.lit(size).alias("size"), "grp")
+        met = written(open_prefixes(coded, plan, size, longest, budget))
+        hot = written(grouped(met.groupBy("lang", *names).agg(F.sum("n").alias("f")).filter(F.col("f") > budget // 4), budget, size))
+        whole.append(hot.filter(F.col("f") >= least).select("lang", *names, F.lit(size).alias("size"), F.col("f").alias("a")))
+        told = met.join(hot.select(*names, "grp", "subs"), names).select("chunk", *names, F.lit(size).alias("size"), "grp", "subs")
         plan = written(told if plan is None else plan.unionByName(told))
-        hot = not longer.filter("grp IS NULL").isEmpty()
 
     def messages(chunk: Chunk) -> pa.Table:
         sent = list(chunk.messages())
         return pa.table({"grp": pa.array([g for g, _ in sent], pa.int64()), "lang": pa.array([chunk.lang] * len(sent), pa.string()), "suffixes": pa.array([m for _, m in sent], pa.binary())})
 
-    sent = with_plan(coded, plan, longest - 1, longest, messages, "grp long, lang string, suffixes binary")
+    sent = with_plan(coded, plan, longest - 1, longest, budget, messages, "grp long, lang string, suffixes binary")
     nodes = sent.groupBy("grp", "lang").applyInArrow(*subtree(longest, least))
     for more in whole:
         nodes = nodes.unionByName(more)
