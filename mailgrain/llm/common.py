@@ -5,10 +5,14 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.tables import folder
+
 
 def shared_dir(spark: SparkSession) -> str:
     """A new path under the folder that the whole cluster shares (spark.checkpoint.dir).
@@ -26,10 +30,29 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/mailgrain-{uuid.uuid4().hex}"
 
 
+_scope: ContextVar[list | None] = ContextVar("scope", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """What ``written`` writes inside is deleted at the end: for a job that has stored its own result by then. Folders of others stay."""
+    paths: list[str] = []
+    token = _scope.set(paths)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        for path in paths:
+            files, at = folder(spark, path)
+            files.delete(at, True)
+
+
 def written(df: DataFrame, path: str | None = None, compression: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here and lost executors cost no recomputation."""
     spark = df.sparkSession
     path = path or shared_dir(spark)
+    if _scope.get() is not None:
+        _scope.get().append(path)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

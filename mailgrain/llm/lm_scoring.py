@@ -12,6 +12,9 @@ answers each chunk with the sums of just the keys it sent. A chunk then meets it
 a chunk, so that neither a word nor a bigram is a hot key; there are more ranges where there is more text, so that a range stays small.
 The driver gets three totals.
 
+The counts that score a document hold its own words, in the background model always and in the target model if it is one of the target: such a
+document looks closer to the target than an equal one outside. Compare scores among held-out documents, or among those that are not target.
+
 Defined results: null and empty texts, and texts without words, have 0 tokens, losses and score 0; rows labelled null or
 with null doc_id are not target; a doc_id labelled twice counts by its highest label; repeated rows count as often as they
 occur; without target rows the target model is uniform; an empty table gives no rows; other columns are not read.

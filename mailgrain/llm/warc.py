@@ -250,6 +250,8 @@ def read_records(file, size: int, wanted: Wanted, columns: list[str], name: str
                             raise ValueError("payload is not that of its digest")
                         values |= {"payload": payload, "payload_bytes": len(payload)}
                 yield values
+            if record.end() > size:
+                raise ValueError("cut record")
             at = record.end()
         except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
             raise ValueError(f"{name}, byte {at}: {e}") from e
@@ -436,9 +438,9 @@ def base32_of_hex(sha1: Column) -> Column:
     return F.translate(F.upper(F.concat(*digits)), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def record_id(page_id: Column, digest: Column, n: Column) -> Column:
-    """A page's id, the digest of its payload, and a number among rows that are equal in both."""
-    return F.concat(F.lit("urn:x-page:"), F.coalesce(page_id.cast("string"), F.lit("")), F.lit(":"), digest, F.lit(":"), n.cast("string"))
+def record_id(page_id: Column, url: Column, digest: Column, n: Column) -> Column:
+    """A page's id, the digest of its payload, a number among rows that are equal in both, and a hash of its url."""
+    return F.concat_ws(":", F.lit("urn:x-page"), F.coalesce(page_id.cast("string"), F.lit("")), digest, n.cast("string"), F.lower(F.hex(F.xxhash64(url))))
 
 
 def page_records(pages: DataFrame, date: str, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
@@ -455,13 +457,14 @@ def page_records(pages: DataFrame, date: str, min_bytes: int = 0, id_col: str =
     owners = written(owners.select("sha", "owner.page_id", "owner.url", F.lit(True).alias("owns")))
     own = owners.select("sha", F.col("page_id").alias("owner_id"), F.col("url").alias("owner_url"))
     is_owner = F.col("page_id").eqNullSafe(F.col("owner_id")) & F.col("url").eqNullSafe(F.col("owner_url"))
-    copies = written(uses.join(own, "sha").select(*keys, "n", "payload_digest", "payload_bytes", "owner_id", is_owner.alias("owns")))
+    copies = written(uses.join(own, "sha").select(*keys, "n", "payload_digest", "payload_bytes", "owner_id", "owner_url", is_owner.alias("owns")))
 
     def same(a: str, b: str) -> Column:
         return F.expr(" AND ".join(f"{a}.{k} <=> {b}.{k}" for k in keys))
 
     date_col, none = F.lit(date), F.lit(None).cast("string")
-    number = F.lit(0)
+    # Of equal payloads one row is the response; below min_bytes all are, and rows equal in everything are told apart by where they lie.
+    number = F.when(F.octet_length("payload") < min_bytes, F.monotonically_increasing_id()).otherwise(0)
     plain = src.alias("s").join(copies.filter("NOT (owns AND n = 1)").select(*keys).alias("c"), same("s", "c"), "left_anti")
     again = copies.filter("owns AND n > 1").select(*keys)
     if not again.isEmpty():  # rows that are equal in everything: one of them is the response
@@ -469,13 +472,13 @@ def page_records(pages: DataFrame, date: str, min_bytes: int = 0, id_col: str =
         plain = plain.select(*keys, "payload").unionByName(twice.groupBy(*keys).agg(F.first("payload").alias("payload")))
     plain = plain.withColumn("payload_digest", digest)
     responses = plain.select(
-        record_id(F.col("page_id"), F.col("payload_digest"), number).alias("record_id"), F.lit("response").alias("record_type"), F.col("url").alias("target_uri"), date_col.alias("date"),
+        record_id(F.col("page_id"), F.col("url"), F.col("payload_digest"), number).alias("record_id"), F.lit("response").alias("record_type"), F.col("url").alias("target_uri"), date_col.alias("date"),
         none.alias("refers_to"), "payload_digest", F.octet_length("payload").cast("long").alias("payload_bytes"), F.col("payload").cast("binary").alias("payload"),
     )
     later = copies.withColumn("k", F.explode(F.expr("sequence(if(owns, 1L, 0L), n - 1)"))).filter("NOT owns OR n > 1")
     revisits = later.select(
-        record_id(F.col("page_id"), F.col("payload_digest"), F.col("k")).alias("record_id"), F.lit("revisit").alias("record_type"), F.col("url").alias("target_uri"), date_col.alias("date"),
-        record_id(F.col("owner_id"), F.col("payload_digest"), number).alias("refers_to"), "payload_digest", "payload_bytes", F.lit(None).cast("binary").alias("payload"),
+        record_id(F.col("page_id"), F.col("url"), F.col("payload_digest"), F.col("k")).alias("record_id"), F.lit("revisit").alias("record_type"), F.col("url").alias("target_uri"), date_col.alias("date"),
+        record_id(F.col("owner_id"), F.col("owner_url"), F.col("payload_digest"), F.lit(0)).alias("refers_to"), "payload_digest", "payload_bytes", F.lit(None).cast("binary").alias("payload"),
     )
     return responses.unionByName(revisits)
 
