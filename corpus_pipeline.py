@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from mailgrain.llm import exact_dedup, ngram_join, secret_scan, toxicity
-from mailgrain.llm.common import release, shared_dir, table
+from mailgrain.llm.common import release, scratch, shared_dir, table
 from mailgrain.llm.packing import pack_documents
 
 
@@ -65,7 +65,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         path = shared_dir(spark)
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):  # what the stage's operators write goes once its own result is stored
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
         release(spark)
     return STAGES[-1][1](spark, docs, sf_dir)
