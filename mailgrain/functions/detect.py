@@ -1,4 +1,4 @@
-"""Unsubscribe signals: header tiers, anchors of bodies, targets and their plausibility, as Column expressions."""
+"""How mail can be stopped: header tiers, anchors of bodies, targets and their plausibility, as Column expressions."""
 
 from __future__ import annotations
 

@@ -31,7 +31,7 @@ PREFERENCE_TOKENS = (
     "préférences", "preferences", "einstellungen", "e-mail-einstellungen", "preferencias", "preferenze", "voorkeuren",
 )
 
-# Fragments of a URL's path and query that mark an unsubscribe endpoint.
+# Fragments of a URL's path and query that mark an endpoint that stops mail.
 URL_TOKENS = (
     "unsubscribe", "unsub", "optout", "opt-out", "opt_out", "remove", "desabonner", "desinscription", "abmelden", "abbestellen",
     "uitschrijven", "baja", "cancel-subscription", "email-preferences", "subscription/manage", "list-manage", "preferences", "/leave", "stoppen",

@@ -34,11 +34,11 @@ def _(spark, d):
     return tables.read_table(spark, root, "message").groupBy("sender_id").agg(F.count("*").alias("messages"))
 
 
-@query("header_all", f"SELECT event_id AS uid, CAST(event_type IN ('click', 'view', 'purchase') AS INT) AS unsubscribe, concat('v=1; a=b; d=', {_DKIM}, '; s=k') AS signature FROM events", views=False)
+@query("header_all", f"SELECT event_id AS uid, CAST(event_type IN ('click', 'view', 'purchase') AS INT) AS stop_headers, concat('v=1; a=b; d=', {_DKIM}, '; s=k') AS signature FROM events", views=False)
 def _(spark, d):
     rows = mail_source.with_headers(dm.raw_mail(spark, d))
     h = F.col("headers")
-    return rows.select("uid", F.size(mime.header_all(h, "list-unsubscribe")).alias("unsubscribe"), mime.header(h, "dkim-signature").alias("signature"))
+    return rows.select("uid", F.size(mime.header_all(h, "list-unsubscribe")).alias("stop_headers"), mime.header(h, "dkim-signature").alias("signature"))
 
 
 @query("decode_encoded_words", "SELECT event_id AS uid, CASE event_id % 3 WHEN 0 THEN concat('né ', user_id) WHEN 1 THEN 'né Straße' ELSE 'plain' END AS decoded FROM events", views=False)
