@@ -84,8 +84,9 @@ FROM agg LEFT JOIN last USING (sender_id)
 
 def raw_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw messages whose headers and bodies are spelled out from the events, with folds, repeats and encoded words."""
-    # One small file is one scan task; building and parsing mail is worth all cores.
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").repartition(spark.sparkContext.defaultParallelism)
+    events, cores = spark.read.parquet(f"{sf_dir}/events.parquet"), spark.sparkContext.defaultParallelism
+    if len(events.inputFiles()) < cores:  # a few small files are a few scan tasks, and building and parsing mail is worth all cores; a large table has its own
+        events = events.repartition(cores)
     i, u, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
     own = F.concat(F.lit("s"), u % 10, F.lit(".example"))
     target = F.when(F.col("value") > 60, F.concat(F.lit("track"), i % 5, F.lit(".elsewhere.co.uk"))).otherwise(F.concat(F.lit("mail."), own))
