@@ -205,9 +205,9 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, size: int | Non
     """One row per document: tokens, mean losses under both models, and their difference."""
     texts = doc_texts(docs, id_col, text_col)
     vocab = None if size is None else vocabulary(texts, size)
-    # About 4 MB of text a range, and at least 1024 ranges, which deal evenly.
+    # About 32 MB of text a range, and at least 1024 ranges, which deal evenly: a chunk sends a row to each, so more ranges than needed cost rows.
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    bits = max(10, (chars >> 22).bit_length())
+    bits = max(10, (chars >> 25).bit_length())
     # Sorted and written, the ids take about a byte each: Spark broadcasts them if their files are under its threshold, else it shuffles.
     target = written(target.select("doc_id").repartitionByRange("doc_id").sortWithinPartitions("doc_id"))
     marked = texts.join(target.select("doc_id", F.lit(True).alias("good")), "doc_id", "left").select("doc_id", "text", "good")
