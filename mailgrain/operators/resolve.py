@@ -39,6 +39,11 @@ def sender_key(mailbox: str, key):
     return F.sha2(F.concat_ws("\x1f", F.lit(mailbox), key), 256)
 
 
+def tuple_key(named: list[str]):
+    """128 bits of a tuple of keys, so that no two of very many are taken for one."""
+    return F.unhex(F.md5(F.concat_ws("\x1f", *[F.coalesce(c, F.lit("\x00")) for c in named])))
+
+
 def decide(tuples: DataFrame) -> DataFrame:
     """(tuple, sender_id, outcome, also_matched) for tuples with first_ord, new_id, their keys, and each key's stored owner in own_<key>."""
     rows = cut(tuples.select("tuple", "first_ord", "new_id", *NAMED, *[f"own_{c}" for c in NAMED]))
@@ -85,13 +90,13 @@ def resolve_senders(messages: DataFrame, identities: DataFrame, mailbox: str = "
 
     named = list(NAMED)
     distinct = keyed.filter(usable).groupBy(*named).agg(F.min("ord").alias("first_ord"))
-    tuples = distinct.withColumn("tuple", F.xxhash64(*[F.coalesce(c, F.lit("\x00")) for c in named]))
+    tuples = distinct.withColumn("tuple", tuple_key(named))
     for kind, c in zip(RESOLVING, named, strict=True):
         own = stored.filter(F.col("kind") == kind).select(F.col("value").alias(c), F.col("sender_id").alias(f"own_{c}"))
         tuples = tuples.join(own, c, "left")
     first = F.coalesce(*[F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{k}\x1f"), F.col(c))) for k, c in zip(RESOLVING, named, strict=True)])
     by_tuple = decide(tuples.withColumn("new_id", sender_key(mailbox, first)))
-    with_tuple = keyed.withColumn("tuple", F.when(usable, F.xxhash64(*[F.coalesce(c, F.lit("\x00")) for c in named])))
+    with_tuple = keyed.withColumn("tuple", F.when(usable, tuple_key(named)))
     out = with_tuple.join(by_tuple, "tuple", "left")
     return out.select("id", F.coalesce("sender_id", sender_key(mailbox, F.concat(F.lit("message\x1f"), F.col("id")))).alias("sender_id"), F.coalesce("outcome", F.lit("new")).alias("outcome"), F.coalesce("also_matched", F.array().cast("array<string>")).alias("also_matched"))
 
