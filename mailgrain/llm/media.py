@@ -30,7 +30,7 @@ _TOKEN = re.compile(rb"(?:\s|#[^\n]*\n)*([^\s#]+)")
 
 
 def decode_netpbm(raw: bytes) -> np.ndarray:
-    """P1 to P6 → height x width (x 3) array; one bit per sample becomes 0 (ink) and 255, and samples of a smaller largest value are scaled to 8 or 16 bits."""
+    """P1 to P6 → height x width (x 3) array; one bit per sample becomes 0 (ink) and 255, samples of a largest value below 255 are scaled to it, and 16-bit samples stay as they are."""
     kind, at, head = raw[:2], 2, []
     if kind not in (b"P1", b"P2", b"P3", b"P4", b"P5", b"P6"):
         raise ValueError("not Netpbm")
@@ -70,9 +70,8 @@ def decode_netpbm(raw: bytes) -> np.ndarray:
     else:
         if out.max() > top:
             raise ValueError("Netpbm sample above the largest value")
-        full = 255 if top < 256 else 65535
-        if top < full:
-            out = (out.astype(np.int64) * full * 2 + top) // (2 * top)
+        if top < 255:
+            out = (out.astype(np.int64) * 510 + top) // (2 * top)
     out = out.astype(np.uint8 if top < 256 else np.uint16)
     return out.reshape((height, width, 3) if depth == 3 else (height, width))
 
