@@ -107,6 +107,33 @@ class Forest:
         return keys, slices[:, self.floor :].astype("<u2").tobytes()
 
 
+def slices(batches, rows: int = 64):
+    """Arrow batches in slices of a few rows: Spark's hold up to 10,000, and what is made of them is larger than their texts."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
+def sketch(batches, forest: Forest, base: int):
+    """ROWS of (doc_id, fp, text) batches, in small batches: a worker keeps neither the texts nor the sets of a whole one."""
+    keep_only(_words)  # here, not in a function that Spark pickles, which would bring a cache of its own
+    made, seen = 0, {}
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+    for b in slices(batches):
+        cols: list[list] = [[] for _ in kinds]
+        for doc_id, fp, text in zip(b.column("doc_id").to_pylist(), b.column("fp").to_pylist(), b.column("text").to_pylist(), strict=True):
+            s, same = shingles(text)
+            local = seen.get(same)
+            head = (None,) * 3
+            if local is None:
+                local = seen[same] = base + made
+                made += 1
+                head = (*forest.labels((s >> np.uint64(32)).astype(np.uint32)), s.astype("<u8").tobytes())
+            for c, v in zip(cols, (doc_id, fp, local, head[0] is not None, len(s), same, *head), strict=True):
+                c.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[f.split()[0] for f in ROWS.split(", ")])
+
+
 def common_prefixes(keys: np.ndarray, deeper: np.ndarray, floor: int) -> np.ndarray:
     """Longest common prefix of each pair over all trees, 0 below the floor: from the sorted labels, (text x tree) and (text x tree x level)."""
     n, trees = keys.shape
@@ -130,6 +157,18 @@ def common_prefixes(keys: np.ndarray, deeper: np.ndarray, floor: int) -> np.ndar
     return out
 
 
+def numbered(sets: list[np.ndarray]) -> np.ndarray:
+    """The sets' values, one after another, as numbers from 0 in their order: np.unique's inverse at half its memory."""
+    flat = np.concatenate(sets)
+    order = np.argsort(flat)
+    flat = flat[order]
+    new = flat[1:] != flat[:-1]
+    del flat
+    at = np.zeros(len(order), np.int32)
+    at[order[1:]] = np.cumsum(new, dtype=np.int32)
+    return at
+
+
 def link_block(frame: pd.DataFrame, threshold: float, floor: int, missed: float = 1e-5) -> pd.DataFrame:
     """Counts and forest of the links within one block, or between two: rows (rep, links, parent)."""
     own, first = frame["own"].to_numpy(), frame["first"].to_numpy()
@@ -143,9 +182,9 @@ def link_block(frame: pd.DataFrame, threshold: float, floor: int, missed: float
     wanted &= np.minimum(sizes[:, None], sizes) >= threshold * np.maximum(sizes[:, None], sizes) - 1e-9
     wanted &= np.minimum(sizes[:, None], sizes) >= least_size(threshold)  # the sets of different texts here are not equal
     depths[~wanted] = 0
-    flat, at = np.unique(np.concatenate(sets), return_inverse=True)
+    at = numbered(sets)
     starts = np.concatenate([[0], np.cumsum(sizes)])
-    mask, reps, copies = np.zeros(len(flat), bool), frame["rep"].to_numpy(), frame["copies"].to_numpy()
+    mask, reps, copies = np.zeros(int(at.max()) + 1, bool), frame["rep"].to_numpy(), frame["copies"].to_numpy()
     links, parent, expected, found = np.zeros(n, np.int64), np.arange(n), 0.0, []
 
     def find(x):
@@ -199,6 +238,7 @@ def only(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """
 
     def words(frame: pd.DataFrame) -> pd.DataFrame:
+        keep_only(None)
         at = frame["local"].to_numpy() & (2**40 - 1)
         bits = np.zeros(int(at.max()) // 64 + 1, np.uint64)
         np.bitwise_or.at(bits, at // 64, np.uint64(1) << (at % 64).astype(np.uint64))
@@ -229,7 +269,8 @@ def deal_blocks(groups: DataFrame, rows: DataFrame, reps: DataFrame, threshold:
         return whole, none
 
     def nearness(batches):
-        for b in batches:
+        keep_only(None)
+        for b in slices(batches):
             near = [is_near(s, m, threshold) for s, m in zip(b.column("shingles").to_pylist(), b.column("middle").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("root"), b.column("rep"), pa.array(near)], names=["root", "rep", "near"])
 
@@ -257,27 +298,11 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, trees: int
     """One row per input row: doc_id, class_id, n_links, kept (the first row of its class), fp (xxhash64 of its text)."""
     floor = floor_depth(threshold, trees, recall=recall)
 
-    def sketch(batches):
-        forest, base, made = Forest(trees, floor, MAX_DEPTH), TaskContext.get().partitionId() << 40, 0
-        seen: dict[bytes, int] = {}
-        keep_only(_words)
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
-        for b in batches:
-            cols: list[list] = [[] for _ in kinds]
-            for doc_id, fp, text in zip(b.column("doc_id").to_pylist(), b.column("fp").to_pylist(), b.column("text").to_pylist(), strict=True):
-                s, same = shingles(text)
-                local = seen.get(same)
-                head = (None,) * 3
-                if local is None:
-                    local = seen[same] = base + made
-                    made += 1
-                    head = (*forest.labels((s >> np.uint64(32)).astype(np.uint32)), s.astype("<u8").tobytes())
-                for c, v in zip(cols, (doc_id, fp, local, head[0] is not None, len(s), same, *head), strict=True):
-                    c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[f.split()[0] for f in ROWS.split(", ")])
+    def sketches(batches):
+        yield from sketch(batches, Forest(trees, floor, MAX_DEPTH), TaskContext.get().partitionId() << 40)
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = written(src.select("doc_id", F.xxhash64("text").alias("fp"), "text").mapInArrow(sketch, ROWS))
+    rows = written(src.select("doc_id", F.xxhash64("text").alias("fp"), "text").mapInArrow(sketches, ROWS))
 
     # Copies: the smallest number of a task's gathering stands for all equal sets.
     first_row = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp"))
@@ -302,6 +327,7 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, trees: int
     payload = pairs.join(sets.withColumnRenamed("local", "rep"), "rep").join(reps.select("rep", "copies"), "rep")
 
     def verify(frame: pd.DataFrame) -> pd.DataFrame:
+        keep_only(None)
         return link_block(frame.sort_values("rep", ignore_index=True), threshold, floor).assign(whole=bool(frame["whole"].iloc[0]))
 
     linked = written(payload.groupBy("root", "i", "j").applyInPandas(verify, "rep long, links long, parent long, whole boolean").unionByName(ball))

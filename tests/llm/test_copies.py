@@ -1,15 +1,18 @@
 """Exact copies and the n-gram join against brute force."""
 
 import random
+import tracemalloc
 import zlib
 import re
 
 import duckdb
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
-from mailgrain.llm import exact_dedup, ngram_join
+from mailgrain.llm import exact_dedup, ngram_join, toxicity
 from mailgrain.llm.common import written
 from mailgrain.llm.registry import SQL
 from mailgrain.operators import graph
@@ -191,6 +194,56 @@ def test_large_group_is_taken_by_its_centre(spark):
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == brute(rows)
 
 
+def peak_of(f):
+    """(result, MB that Python and numpy held at most meanwhile)."""
+    tracemalloc.start()
+    try:
+        return f(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_sketch_holds_few_texts_at_once():
+    """Of one Arrow batch with 10 MB of texts and sets; all together were held before."""
+    r = random.Random(6)
+    texts = [" ".join(f"w{r.randrange(1000)}" for _ in range(600)) for _ in range(1000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(1000), pa.int64()), "fp": pa.array(range(1000), pa.int64()), "text": pa.array(texts)})
+    made = []
+
+    def run():
+        for b in ngram_join.sketch([batch], ngram_join.Forest(32, 6, 8), 5 << 40):
+            assert b.nbytes < 1e6
+            made.append(b)
+
+    assert peak_of(run)[1] < 5
+    rows = pa.Table.from_batches(made).to_pydict()
+    assert rows["doc_id"] == list(range(1000)) and rows["local"] == [(5 << 40) + k for k in range(1000)] and all(rows["head"])
+    assert rows["shingles"] == [ngram_join.shingles(t)[0].tobytes() for t in texts]
+
+
+def test_block_numbers_its_shingles():
+    """np.unique's inverse, at half its memory."""
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 2**63, 20_000).astype(np.uint64) % np.uint64(500_000)) for _ in range(20)] + [np.array([2**64 - 1], np.uint64)]
+    want, before = peak_of(lambda: np.unique(np.concatenate(sets), return_inverse=True)[1])
+    got, now = peak_of(lambda: ngram_join.numbered(sets))
+    assert (got == want).all() and now < 0.7 * before
+    assert ngram_join.numbered([np.array([7], np.uint64)]).tolist() == [0]
+
+
+def test_words_are_let_go_by_the_next_operator(spark):
+    """What a worker keeps for the join's words is gone once another operator runs there."""
+    docs = spark.range(2000).selectExpr("id AS doc_id", "concat('x', id, ' y', id, ' z') AS text").repartition(8)
+    ngram_join.similar_documents(docs).write.format("noop").mode("overwrite").save()
+
+    def kept(batches):
+        toxicity.keep_words()
+        for b in batches:
+            yield pd.DataFrame({"n": [len(ngram_join._words)] * len(b)})
+
+    assert spark.range(64).repartition(16).mapInPandas(kept, "n long").filter("n > 0").count() == 0
+
+
 def test_clashing_names_stay(spark):
     docs = spark.createDataFrame([(1, "a b c", "x"), (1, "a b c", "x"), (2, "d e f", "y")], "doc_id long, text string, key string")
     for drop in (ngram_join.drop_near_copies, exact_dedup.drop_exact_copies):
