@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,6 +111,54 @@ def test_eml_files(spark, tmp_path):
     assert sorted((r.uid, r.raw) for r in got) == sorted((m[2], m[4]) for m in MAIL if m[0] == "INBOX")
 
 
+def test_eml_names_stay_out_of_the_driver(spark, tmp_path):
+    """Spark's reader of binary files has every name, and a task for each few, in the driver."""
+    for k in range(2):
+        (tmp_path / f"box{k}").mkdir()
+        for i in range(60):
+            (tmp_path / f"box{k}" / f"{i}.eml").write_text(f"{k} {i}")
+    got = mail.read_eml(spark, f"{tmp_path}/box[01]")
+    (tmp_path / "box0" / "99.eml").write_text("came later")
+    assert got.inputFiles() == [] and "Scan binaryFile" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.raw for r in got.collect()) == sorted(f"{k} {i}" for k in range(2) for i in range(60))
+    names = [tuple(x) for x in mail._files(spark, f"{tmp_path}/box0").select("path").collect()]
+    assert len(names) == 61 and len(set(names)) == 61
+
+
+def test_eml_files_are_those_of_sparks_reader(spark, tmp_path):
+    """Names, hidden and empty files, links, patterns, folders key=value and single files."""
+    odd = ["7-a.eml", "b.eml", "é ñ.eml", "x%20y.eml", "q?.eml", "h#.eml", "_h.eml", ".h.eml", "_a=b.eml", "_metadata1.eml", "X.EML", "t.txt", "[z]1.eml", "back\\s3.eml", "empty.eml"]
+    top = tmp_path / "a b%20#x"
+    for f in [*odd, "k=1/1.eml", "sub/2.eml"]:
+        for at in (top / "plain", top / "parts"):
+            if f.startswith("k=") == (at.name == "parts"):
+                (at / f).parent.mkdir(parents=True, exist_ok=True)
+                (at / f).write_bytes(b"" if f == "empty.eml" else b"a\xff" + f.encode())
+    (top / "plain" / "dead.eml").symlink_to("/nowhere/x")
+    (top / "plain" / "link.eml").symlink_to(top / "plain" / "b.eml")
+    (top / "none").mkdir()
+
+    def rows(frame):
+        return sorted(map(tuple, frame.select("path", "modificationTime", "content").collect()))
+
+    for path, n in (("plain", 10), ("parts", 1), ("none", 0), ("{plain,none}", 10), ("plain/", 10), ("plain/b.eml", 1), ("plain/[7b]*.eml", 3)):
+        for scheme in ("", "file://"):
+            expected = rows(spark.read.format("binaryFile").option("pathGlobFilter", "*.eml").load(f"{scheme}{top}/{path}"))
+            assert rows(mail._files(spark, f"{scheme}{top}/{path}")) == expected and len(expected) == n, path
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        mail.read_eml(spark, f"{top}/nothing")
+    (top / "parts" / "a:b3.eml").write_text("a colon, which Spark's reader can't open")
+    assert [r.raw for r in mail.read_eml(spark, f"{top}/parts").filter("uid = 3").collect()] == ["a colon, which Spark's reader can't open"]
+
+
+def test_messages_go_in_batches_of_bounded_size(tmp_path):
+    for i in range(6):
+        (tmp_path / f"{i}.eml").write_bytes(b"x" * (mail.BATCH // 2))
+    (names,) = mail._listed([str(tmp_path)])([pa.RecordBatch.from_pydict({"id": [0]})])
+    read = list(mail._contents([("file:/r", str(tmp_path))])([names]))
+    assert [b.num_rows for b in read] == [2, 2, 2] and sorted(p for b in read for p in b.column("path").to_pylist()) == [f"file:/r/{i}.eml" for i in range(6)]
+
+
 def plain_domain(host, rules):
     labels = host.split(".")
     tails = [".".join(labels[-k:]) for k in range(1, len(labels) + 1)]
